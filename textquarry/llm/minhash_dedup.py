@@ -15,8 +15,10 @@ of about 1e-6 (five standard errors).
 
 No group is expanded into all its pairs. In a first round each bucket's members
 are compared with its smallest node, in a second one those that are not yet
-connected with another member drawn by hash; only what is then still apart within one
-bucket is compared pair by pair, components against components.
+connected with another member drawn by hash. Buckets that are then still not of one
+component are cut into blocks of bounded size; intersections of the sets of two blocks
+are matrix products inside a task, from which only links come out. So no link between
+members of a bucket is lost, and rows follow members times blocks, not pairs.
 
 Null, empty and blank texts have empty sets and stand alone. Repeated rows and
 rows with equal sets fall into one group. A group's id is its smallest
@@ -47,6 +49,8 @@ BASE, TOP, SHIFT = 1.001, 65535, 4000
 SLACK = 5
 #: Bytes of text that are hashed together, about.
 PART = 4 << 20
+#: Members of a block of a bucket, and values in their sets, about.
+BLOCK, BLOCK_VALUES = 1024, 2_000_000
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +138,66 @@ def sketches(rows: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
-    """node and set (sorted 64-bit hashes) for rows (node, text)."""
+    """node, set (sorted 64-bit hashes) and small (their upper halves) for rows (node, text)."""
 
     def run(batches):
         for part in parts(batches, 1):
-            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in unique_runs(*shingles(part.column(1), k))], pa.binary())], ["node", "set"])
+            sets = unique_runs(*shingles(part.column(1), k))
+            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([(x >> U(32)).astype(np.uint32).tobytes() for x in sets], pa.binary())], ["node", "set", "small"])
+
+    return rows.mapInArrow(run, "node long, set binary, small binary")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, as products of 0/1 matrices over the values that occur twice or more."""
+    both = left + right
+    owner = np.repeat(np.arange(len(both)), list(map(len, both)))
+    values = np.concatenate(both)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1 if len(values) else new
+    values, owner = np.unique(column[often], return_inverse=True)[1], owner[often]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
+    cuts = np.searchsorted(values, np.arange(0, (values[-1] + 1 if len(values) else 0) + width, width))
+    for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        m = np.zeros((len(both), width), np.float32)
+        m[owner[a:b], values[a:b] - c * width] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
 
-    return rows.mapInArrow(run, "node long, set binary")
+def apart_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket but different components that may be linked, from rows (band, node, n, comp, blocks).
+
+    A bucket is cut into blocks of bounded size; each pair of blocks is one group, in which the sizes of all intersections come
+    from matrix products. Only pairs that reach the threshold leave the task. Upper halves of hashes never make an intersection smaller by
+    more than their few collisions, for which two are added; the links are verified on the full hashes after this.
+    """
+
+    def run(key, part):
+        _, low, high = (k.as_py() for k in key)
+        block, node, comp, n = (part.column(c).to_numpy() for c in ("block", "node", "comp", "n"))
+        small = [np.frombuffer(x, np.uint32) for x in part.column("small").to_pylist()]
+        small = [x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x for x in small]
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        if not len(one) or not len(two):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        common = common_counts([small[i] for i in one], [small[i] for i in two]) + 2
+        near = 100 * common >= percent * (n[one][:, None] + n[two][None, :] - common)
+        near &= comp[one][:, None] != comp[two][None, :]
+        i, j = np.nonzero(near)
+        a, b = node[one][i], node[two][j]
+        pairs = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    own = open_.withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = own.withColumn("other", other).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "comp")
+    dealt = dealt.join(sets.select("node", "small"), "node")
+    return dealt.groupBy("band", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -205,8 +262,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def open_members(comps: DataFrame) -> DataFrame:
         """Members, with their components, of buckets whose members are not all connected."""
         now = members.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        apart = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("node", "band").alias("x"), "node", "comp")).alias("p")).where("low != high")
-        return written(now.join(apart.select("band", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp")), "band"), "open")
+        apart = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("node", "band").alias("x"), "node", "comp")).alias("p"), F.count("*").alias("c"), F.sum("n").alias("s")).where("low != high")
+        blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_VALUES)).alias("blocks")
+        return written(now.join(apart.select("band", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"), blocks), "band"), "open")
 
     def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
         """Components after new links between them."""
@@ -224,12 +282,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = written(again.join(tested, ["a", "b"], "left_anti"), "pairs")
     comps = joined(comps, linked(again))
 
-    left = open_members(comps).select("band", "node", "n", "comp")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, F.expr(f"x.band = y.band and x.node > y.node and x.comp != y.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = rest.join(tested.unionByName(again), ["a", "b"], "left_anti")
-    comps = joined(comps, linked(written(rest, "pairs")))
+    rest = apart_links(open_members(comps).select("band", "node", "n", "comp", "blocks"), sets, percent)
+    comps = joined(comps, written(verified(rest, sets, percent), "links"))
 
     placed = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     of_row = rows.join(placed, "digest", "left").select("id", "h", "n", "row", "comp")
