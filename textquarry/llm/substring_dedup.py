@@ -1,7 +1,7 @@
 """Removal of repeated word windows, with a count-min prefilter.
 
 A window is a run of consecutive words of one document. Its sketch key is the
-smallest hash among its runs of eight words (leftmost on ties), so neighbouring
+smallest hash among its runs of sixteen words (leftmost on ties), so neighbouring
 windows share a key and two equal windows at different places always count it
 twice: the count of a key is never below that of any of its windows. Each
 partition counts keys in a count-min sketch; the sketches are merged by grouping
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.llm.common import col, table, text_of, written
+from textquarry.llm.common import col, table, text_of
 from textquarry.llm.minhash_dedup import parts
 from textquarry.llm.spans import U, hashes, mix, seeds, utf8, words
 
 WINDOW = 35
-GRAM = 8
+GRAM = 16
 DEPTH = 2
 #: Bits of a cell's number, at most and at least.
 MOST, LEAST = 28, 16
@@ -154,9 +154,9 @@ def merged_sketch(rows: DataFrame, bits: int, size: int, gram: int) -> list[np.n
 
 
 def cell_bits(rows: DataFrame) -> int:
-    """Four cells for each key of the input, within the bounds: a key is met once in about 90 bytes."""
+    """Four cells for each key of the input, within the bounds: a key is met once in about 60 bytes."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(np.clip(np.ceil(np.log2(max(1, 4 * size // 90))), LEAST, MOST))
+    return int(np.clip(np.ceil(np.log2(max(1, 4 * size // 60))), LEAST, MOST))
 
 
 def repeated_starts(rows: DataFrame, size: int, gram: int) -> DataFrame:
@@ -179,7 +179,7 @@ def repeated_starts(rows: DataFrame, size: int, gram: int) -> DataFrame:
             whole = pa.record_batch([p.column(0), p.column(1), lists(at - np.repeat((stop - n)[np.diff(cut) > 0], np.diff(cut)[np.diff(cut) > 0]), np.int32), lists(found.view(np.int64), np.int64)], ["id", "h", "at", "w"])
             yield whole.filter(pa.array(np.diff(cut) > 0))
 
-    often = written(rows.mapInArrow(flagged, "id long, h int, at array<int>, w array<long>"), "windows")
+    often = rows.mapInArrow(flagged, "id long, h int, at array<int>, w array<long>")  # made twice: cheaper than a written copy, which would be half the input
     counts = often.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
     places = often.select("id", "h", F.explode(F.arrays_zip("at", "w")).alias("x")).select("id", "h", "x.at", "x.w")
     return places.join(counts, "w").groupBy("id", "h").agg(F.collect_list("at").alias("starts"))
