@@ -1,16 +1,26 @@
 """Holds a query against its SQL on the smallest tables."""
 
 import os
+from decimal import Decimal
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+def cell(v):
+    if isinstance(v, (bool, np.bool_)):
+        return str(v)
+    if isinstance(v, (int, float, np.number, Decimal)):
+        return None if v != v else round(float(v), 5) + 0.0
+    return None if v is None or v is pd.NA or v is pd.NaT else str(v)
+
+
 def rows(df) -> list:
-    cell = lambda v: None if v is None or v != v else round(float(v), 5) + 0.0 if isinstance(v, float) else str(v)
-    return sorted((tuple(cell(v) for v in r) for r in df.itertuples(index=False)), key=lambda r: tuple((x is not None, str(x)) for x in r))
+    return sorted((tuple(map(cell, r)) for r in df.itertuples(index=False)), key=lambda r: tuple((x is not None, str(x)) for x in r))
 
 
 def check(spark, query, sql: str) -> int:
