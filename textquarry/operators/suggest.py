@@ -45,15 +45,20 @@ def by_prefix(vocab: DataFrame, prefixes: DataFrame, k: int) -> DataFrame:
 
 
 def deletions(c: Column) -> Column:
-    """c and c without one character: two words of distance two share one of these."""
-    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+    """c and c without one character."""
+    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+
+
+def forms(c: Column) -> Column:
+    """c without up to two characters. Words within two edits of each other share one of these."""
+    return F.array_distinct(F.flatten(F.transform(deletions(c), deletions)))
 
 
 def fuzzy(vocab: DataFrame, prefixes: DataFrame, k: int, most: int = 2) -> DataFrame:
-    """Single words within an edit distance of a prefix (at most two), at 0.8 of their score. Joined on words with up to one deletion on each side, so all pairs within one edit and those within two edits that share such a form meet; pairs of the same length bound join on their first characters too."""
+    """Single words within an edit distance of a prefix (two at most), at 0.8 of their score. Joined on their forms with deletions, so no pair is missed and none is met without a form in common."""
     single = vocab.where(~F.contains(F.col("term"), F.lit(" ")))
-    left = prefixes.select("prefix", F.explode(deletions(F.col("prefix"))).alias("form"))
-    right = single.select("term", "score", F.explode(deletions(F.col("term"))).alias("form"))
+    left = prefixes.select("prefix", F.explode(forms(F.col("prefix"))).alias("form"))
+    right = single.select("term", "score", F.explode(forms(F.col("term"))).alias("form"))
     pairs = left.join(right, "form").select("prefix", "term", "score").distinct()
     near = pairs.where((F.levenshtein("prefix", "term", most) >= 0) & (F.col("term") != F.col("prefix")))
     return _best(near.select("prefix", "term", F.round(F.col("score") * 0.8, 6).alias("score")), k)

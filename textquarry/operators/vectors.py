@@ -26,8 +26,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def stacked(vectors: list) -> np.ndarray:
+    return np.array(vectors, np.float64).reshape(len(vectors), -1) if vectors else np.zeros((0, 1))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+    return stacked(column.to_pylist())
 
 
 def best_of_block(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +45,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     batch = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("v")).where("v is not null").limit(QUERIES_MOST + 1).toPandas()
     if len(batch) > QUERIES_MOST:
         raise ValueError(f"more than {QUERIES_MOST} queries; split them")
-    qids, q = batch["qid"].to_numpy(np.int64), unit(np.array(batch["v"].tolist(), np.float64).reshape(len(batch), -1))
+    qids, q = batch["qid"].to_numpy(np.int64), unit(stacked(batch["v"].tolist()))
     held = rows.sparkSession.sparkContext.broadcast((qids, q))
 
     def run(batches):
@@ -63,7 +67,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 def centroids(rows: DataFrame, lists: int, vector_col: str = "embedding", most: int = 20_000, seed: int = 7, rounds: int = 15) -> np.ndarray:
     """Centres of spherical k-means, fitted on a sample of at most `most` rows drawn by hash."""
     x = rows.select(F.col(vector_col).alias("v")).where("v is not null").orderBy(F.xxhash64("v")).limit(most).toPandas()["v"]
-    x = unit(np.array(x.tolist(), np.float64).reshape(len(x), -1))
+    x = unit(stacked(x.tolist()))
     c = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
     for _ in range(rounds):
         near = (x @ c.T).argmax(1)
@@ -78,7 +82,7 @@ def ivf_search(rows: DataFrame, queries: DataFrame, k: int, lists: int = 16, pro
     def assign(n: int):
         def run(batches):
             for b in batches:
-                if b.num_rows:
+                if b.num_rows and len(c):
                     near = np.argsort(-(unit(matrix(b.column(1))) @ c.T), axis=1, kind="stable")[:, :n]
                     yield pa.record_batch([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))), b.column(1).take(pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))), pa.array(near.ravel())], ["id", "v", "list"])
 

@@ -150,8 +150,7 @@ vo AS (SELECT term, count(*) AS df FROM ph GROUP BY term HAVING count(*) >= 3),
 vs AS (SELECT term, df, round(least(df / 100, 1.0::DOUBLE) * 0.5::DOUBLE + CASE WHEN length(term) BETWEEN 3 AND 20 THEN 0.1::DOUBLE WHEN length(term) BETWEEN 21 AND 40 THEN 0.05::DOUBLE ELSE 0 END, 6) AS score FROM vo),
 pr AS (SELECT DISTINCT substring(regexp_extract(lower(text), '[a-z]{3,}'), 1, 4) AS prefix FROM benchmark WHERE length(regexp_extract(lower(text), '[a-z]{3,}')) >= 3),
 f0 AS (SELECT prefix, term, score FROM pr, vs WHERE starts_with(term, prefix) AND term <> prefix),
-del AS (SELECT DISTINCT t, unnest([t] || [substring(t, 1, i - 1) || substring(t, i + 1) FOR i IN range(1, length(t) + 1)]) AS form FROM (SELECT prefix AS t FROM pr UNION SELECT term FROM vs WHERE NOT contains(term, ' '))),
-f1 AS (SELECT DISTINCT prefix, term, round(score * 0.8::DOUBLE, 6) AS score FROM pr JOIN del a ON a.t = prefix JOIN del b ON a.form = b.form JOIN vs ON vs.term = b.t WHERE levenshtein(prefix, term) <= 2 AND term <> prefix AND NOT contains(term, ' ')),
+f1 AS (SELECT prefix, term, round(score * 0.8::DOUBLE, 6) AS score FROM pr, vs WHERE NOT contains(term, ' ') AND abs(length(term) - length(prefix)) <= 2 AND levenshtein(prefix, term) <= 2 AND term <> prefix),
 f2 AS (SELECT prefix, term, round(score * 0.6::DOUBLE, 6) AS score FROM pr, vs WHERE list_has_any(string_split(prefix, ' '), string_split(term, ' ')) AND term <> prefix)"""
 
 
