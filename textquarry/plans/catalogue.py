@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textquarry.plans import activity, results, retrieval, texts
+from textquarry.plans import activity, more, results, retrieval, texts
 
-MODULES = (retrieval, texts, activity, results)
+MODULES = (retrieval, texts, activity, results, more)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
