@@ -32,7 +32,7 @@ NONE = np.int32(2**31 - 1)
 #: Ranks whose positions are gathered together.
 SPAN = 512
 #: Distinct chunks that a worker remembers between batches.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 
 def byte_letters() -> list[str]:

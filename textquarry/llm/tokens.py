@@ -27,7 +27,7 @@ from textquarry.llm.common import col, table
 #: Ids that leave a worker in one batch, about.
 OUT_IDS = 2_000_000
 #: Characters of text that are encoded at a time, about.
-IN_BYTES = 32 << 20
+IN_BYTES = 8 << 20
 
 
 def word_vocabulary() -> str:
