@@ -98,7 +98,7 @@ def test_sentence_chunks_rejoin(spark):
     text = "One two three. Four five! Six seven eight nine? " * 6 + "a, b; " * 30
     got = [r["text"] for r in models.sentence_chunks(spark.createDataFrame([(1, text), (2, None)], "d long, t string"), "d", "t", 80, 10).orderBy("chunk_index").collect()]
     assert got and all(len(c) <= 80 for c in got)
-    assert models.long_pieces("x" * 120, 50) == ["x" * 50] * 2 + ["x" * 50, "x" * 0][:0] or all(len(p) <= 50 for p in models.long_pieces("x" * 120, 50))
+    assert all(len(p) <= 60 for p in models.long_pieces("x" * 150, 60)) and models.long_pieces("x" * 150, 60)[-1]
 
 
 def test_expansion(spark):
@@ -126,7 +126,15 @@ def test_suspicious_thresholds(spark):
 def test_alerts(spark):
     a = spark.createDataFrame([(1, [], [], []), (2, ["Nothing"], [], []), (3, ["WORD"], ["x"], ["b"]), (4, [], ["y"], [])], "alert_id long, keywords array<string>, categories array<string>, authors array<string>")
     p = spark.createDataFrame([(10, "A word", None, ["x"], ["a", "b"]), (11, None, "other", ["x", "x"], ["a"])], "paper_id long, title string, summary string, categories array<string>, authors array<string>")
-    assert sorted(map(tuple, alerts.matches(a, p).collect())) == [(1, 10), (1, 11), (3, 10)]
+    a = a.union(spark.createDataFrame([(5, [], [], ["b"]), (6, ["ord", "zzz"], [], []), (7, ["or"], [], ["a"])], a.schema))
+    want = [(1, 10), (1, 11), (3, 10), (5, 10), (6, 10), (7, 10)]
+    assert sorted(map(tuple, alerts.matches(a, p).collect())) == want
+    most = alerts.ALERTS_MOST
+    try:
+        alerts.ALERTS_MOST = 3
+        assert sorted(map(tuple, alerts.matches(a, p).collect())) == want
+    finally:
+        alerts.ALERTS_MOST = most
 
 
 def test_repository_forms(spark):

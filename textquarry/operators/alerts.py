@@ -2,7 +2,7 @@
 
 An alert has alert_id, keywords, categories and authors (arrays). An empty list matches everything. Alerts with
 categories are joined by category first, so that only the rest meets every paper; both sides are then tested in full.
-Alerts are a stated set of standing queries: broadcast while they are at most ALERTS_MOST.
+Alerts are a stated set of standing queries: broadcast while they are at most ALERTS_MOST, met by equality joins beyond that.
 """
 
 from __future__ import annotations
@@ -11,23 +11,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALERTS_MOST = 100_000
+#: Letters of a keyword that larger sets of alerts are joined on.
+GRAM = 3
 
 
 def matches(alerts: DataFrame, papers: DataFrame) -> DataFrame:
     """alert_id and paper_id of each match; papers have paper_id, title, summary, categories, authors."""
-    small = F.broadcast(alerts) if alerts.sparkSession and alerts.limit(ALERTS_MOST + 1).count() <= ALERTS_MOST else alerts
     text = F.lower(F.concat_ws(" ", "title", "summary"))
     any_of = lambda mine, test: (F.size(mine) == 0) | test
     words: Column = any_of("keywords", F.exists("keywords", lambda k: F.contains(F.col("low"), F.lower(k))))
     people = any_of("alert_authors", F.arrays_overlap("alert_authors", "authors"))
-    asked = small.select("alert_id", "keywords", "categories", F.col("authors").alias("alert_authors"))
+    asked = alerts.select("alert_id", "keywords", "categories", F.col("authors").alias("alert_authors"))
     rows = papers.select("paper_id", F.col("categories").alias("paper_categories"), "authors", text.alias("low"))
-    by_category = asked.where(F.size("categories") > 0).withColumn("category", F.explode(F.array_distinct("categories")))
-    first = rows.withColumn("category", F.explode(F.array_distinct("paper_categories"))).join(F.broadcast(by_category) if small is not alerts else by_category, "category")
-    first = first.where(words & people).select("alert_id", "paper_id").distinct()
+    few = asked.limit(ALERTS_MOST + 1).count() <= ALERTS_MOST
+    hint = F.broadcast if few else lambda df: df
+
+    limited = asked.where(F.size("categories") > 0).withColumn("category", F.explode(F.array_distinct("categories")))
+    first = rows.withColumn("category", F.explode(F.array_distinct("paper_categories"))).join(hint(limited), "category")
+    found = first.where(words & people).select("alert_id", "paper_id").distinct()
     open_ = asked.where(F.size("categories") == 0)
-    second = rows.join(F.broadcast(open_), words & people).select("alert_id", "paper_id")
-    return first.unionByName(second)
+    if few:
+        return found.unionByName(rows.join(F.broadcast(open_), words & people).select("alert_id", "paper_id"))
+
+    # Beyond the bound, alerts meet papers by equality: on the first letters of a keyword, or on an author.
+    short = F.exists("keywords", lambda k: F.length(k) < GRAM)
+    by_word = open_.where((F.size("keywords") > 0) & ~short).withColumn("gram", F.explode(F.transform("keywords", lambda k: F.substring(F.lower(k), 1, GRAM))))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(GRAM))))
+    second = rows.withColumn("gram", F.explode(grams)).join(by_word, "gram").where(words & people).select("alert_id", "paper_id").distinct()
+    by_author = open_.where((F.size("keywords") == 0) & (F.size("alert_authors") > 0)).withColumn("author", F.explode(F.array_distinct("alert_authors")))
+    third = rows.withColumn("author", F.explode(F.array_distinct("authors"))).join(by_author, "author").select("alert_id", "paper_id").distinct()
+    rest = open_.where(short | ((F.size("keywords") == 0) & (F.size("alert_authors") == 0)))
+    if rest.limit(ALERTS_MOST + 1).count() > ALERTS_MOST:
+        raise ValueError("too many alerts without a keyword of three letters, a category or an author")
+    fourth = rows.join(F.broadcast(rest), words & people).select("alert_id", "paper_id")
+    return found.unionByName(second).unionByName(third).unionByName(fourth)
 
 
 def events(found: DataFrame) -> DataFrame:
