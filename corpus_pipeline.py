@@ -1,6 +1,7 @@
 """From documents to packed sequences: quality classifier, exact and near deduplication, substring deduplication, packing.
 
-Each stage takes what its predecessor kept. Rows are told apart by id and text, so repeated ids do no harm.
+Each stage takes what its predecessor kept. Rows are told apart by id and text, so repeated ids do no harm; of rows that
+agree in both, and of copies without an id, exact deduplication leaves one.
 """
 
 from __future__ import annotations

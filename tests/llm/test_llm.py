@@ -410,3 +410,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     lib = library(tokens.word_vocabulary())
     want = {i: lib.encode(t, add_special_tokens=False).ids + [1] for i, t in kept[3].items()}
     check_packing(p.run(spark, d).collect(), want)
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
+    """Copies that share an id or have none: one stays, and the substring stage leaves it whole. Different texts without an id all stay."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(10)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 8))) for _ in range(3000)]
+    make = lambda n: " ".join(rng.choice(vocab, n)) + "."
+    texts = [make(120) for _ in range(26)]
+    rows = list(enumerate(texts[:20])) + [(3, texts[3]), (3, texts[3]), (4, texts[4].replace(" ", "  ")), (30, texts[3])]
+    rows += [(None, texts[20])] * 3 + [(None, t) for t in texts[21:24]] + [(None, texts[24]), (24, texts[24]), (None, texts[25]), (None, texts[25] + " ")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter([(i, t) for i, t in enumerate(texts[:20]) if i != 4] + [(4, texts[4].replace(" ", "  "))] + [(None, t) for t in texts[20:24]] + [(24, texts[24]), (None, texts[25] + " ")])
+    assert Counter((r["doc_id"], r["text"]) for r in exact_dedup.keep_first(docs).collect()) == want
+    d, now = str(tmp_path), docs
+    for name, stage in p.STAGES[1:-1]:
+        now = stage(spark, now, d)
+        assert now.columns == docs.columns, name
+        now = spark.createDataFrame(now.collect(), docs.schema)
+        assert Counter((r["doc_id"], r["text"]) for r in now.collect()) == want, name

@@ -54,10 +54,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay. Rows that agree in id and text count as one document and stay together."""
-    gone = exact_dedup(df, id_col, text_col).where(~F.col("kept") & ~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
-    match = col(id_col).eqNullSafe(F.col("gone_id")) & (F.sha2(squeezed(text_of(text_col)), 256) == F.col("gone_sha"))
-    return df.join(gone, match, "left_anti")
+    """The rows of df that stay, one of each group: where several share the kept id, null ids included, one that has the most code points."""
+    verdict, wins = exact_dedup(df, id_col, text_col), F.col(id_col).eqNullSafe(F.col("keep_id"))
+    lost = verdict.where(~F.col("kept")).groupBy(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_sha")).agg(F.first(wins).alias("lost_wins"))
+    lost = written(lost, "lost-copies")
+    sha = F.sha2(squeezed(text_of(text_col)), 256)
+    match = col(id_col).eqNullSafe(F.col("lost_id")) & (sha == F.col("lost_sha"))
+    alone = df.join(lost, match, "left_anti")
+    if lost.where("lost_wins").isEmpty():
+        return alone
+    shared = df.join(lost.where("lost_wins"), match, "left_semi")  # copies that the id can't tell apart
+    whole, order = F.struct(*map(col, df.columns)), F.struct(F.length(text_of(text_col)), text_of(text_col))
+    one = shared.groupBy(col(id_col), sha).agg(F.max_by(whole, order).alias("one"))
+    return alone.unionByName(one.select(*(F.col("one").getField(c).alias(c) for c in df.columns)))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
