@@ -21,3 +21,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_recall_of_the_registered_index(spark):
+    """ann_ivf_topk finds at least 0.9 of the ten nearest of all rows."""
+    near, exact = ({(r["qid"], r["doc_id"]) for r in catalogue.QUERIES[n](spark, SF).collect()} for n in ("ann_ivf_topk", "vector_topk"))
+    assert len(near & exact) / len(exact) >= 0.9

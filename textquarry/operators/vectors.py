@@ -75,7 +75,7 @@ def centroids(rows: DataFrame, lists: int, vector_col: str = "embedding", most:
     return c
 
 
-def ivf_search(rows: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "qid", query_vector: str = "vector") -> DataFrame:
+def ivf_search(rows: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 12, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "qid", query_vector: str = "vector") -> DataFrame:
     """As search, but each query looks only into the lists of its nearest centroids; every row is in one list, and lists are met by an equality join."""
     c = centroids(rows, lists, vector_col)
 
