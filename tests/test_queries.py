@@ -1,5 +1,6 @@
 """Every query of the catalogue that has SQL, on the smallest tables."""
 
+import duckdb
 import pytest
 from oracle import SF, check
 
@@ -27,3 +28,18 @@ def test_recall_of_the_registered_index(spark):
     """ann_ivf_topk finds at least 0.9 of the ten nearest of all rows."""
     near, exact = ({(r["qid"], r["doc_id"]) for r in catalogue.QUERIES[n](spark, SF).collect()} for n in ("ann_ivf_topk", "vector_topk"))
     assert len(near & exact) / len(exact) >= 0.9
+
+
+def test_combined_scores_are_not_cut(spark):
+    """norm_combine takes each hit's own keyword score, beyond the first 400 of the list too."""
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    sql = catalogue.ORACLES["norm_combine"]
+    want = {(q, i): s for q, i, s in con.execute(sql.replace("rank <= 400", "true")).fetchall()}
+    cut = {(q, i): s for q, i, s in con.execute(sql).fetchall()}
+    got = {(r["qid"], r["doc_id"]): r["score"] for r in catalogue.QUERIES["norm_combine"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    print("differs from the cut list:", sum(abs(cut[k] - want[k]) >= 1e-5 for k in want), "of", len(want))
+    assert any(abs(cut[k] - want[k]) >= 1e-5 for k in want)

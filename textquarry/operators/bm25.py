@@ -64,8 +64,8 @@ def top(scored: DataFrame, k: int, score: str = "score", by: str = "qid", tie: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def score(index: Index, terms: DataFrame, variant: str = "floor", k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25, subset: DataFrame | None = None) -> DataFrame:
-    """qid, id, score (rounded to six places), only rows above 0. subset (id) restricts the documents, not the statistics."""
+def score(index: Index, terms: DataFrame, variant: str = "floor", k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25, subset: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """qid, id, score (rounded to six places), only rows above 0. subset (id) restricts the documents, and pairs (qid, id) what is scored, not the statistics."""
     average = index.lengths.agg(F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
     weights = idf(index, variant, epsilon).join(wanted, "term").select("term", "idf")
@@ -75,7 +75,10 @@ def score(index: Index, terms: DataFrame, variant: str = "floor", k1: float = 1.
     hits = hits.join(index.lengths, "id").crossJoin(F.broadcast(average))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hits = hits.select("id", "term", part.alias("part"))
-    total = terms.join(hits, "term").groupBy("qid", "id").agg(F.round(F.sum(F.col("m") * F.col("part")), 6).alias("score"))
+    met = terms.join(hits, "term")
+    if pairs is not None:
+        met = met.join(pairs.select("qid", "id"), ["qid", "id"], "left_semi")
+    total = met.groupBy("qid", "id").agg(F.round(F.sum(F.col("m") * F.col("part")), 6).alias("score"))
     return total.where("score > 0")
 
 

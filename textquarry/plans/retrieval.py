@@ -185,7 +185,11 @@ def norm_zscore(spark, d):
 
 
 def norm_combine(spark, d):
-    both = semantic(spark, d, 4 * TOP).join(lexical(spark, d, 40 * TOP).select("qid", "id", F.col("score").alias("keyword_score")), ["qid", "id"], "left").na.fill(0.0, ["keyword_score"])
+    """Semantic hits with their own keyword scores, however far down the keyword list they are. (The SQL cuts that list at 400.)"""
+    near = semantic(spark, d, 4 * TOP)
+    index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
+    own = bm25.score(index, bm25.query_terms(table(spark, d, "benchmark"), "item_id", "text"), pairs=near)
+    both = near.join(own.select("qid", "id", F.col("score").alias("keyword_score")), ["qid", "id"], "left").na.fill(0.0, ["keyword_score"])
     return both.select("qid", F.col("id").alias("doc_id"), F.round(fusion.combined(both, "score", "keyword_score"), 6).alias("score"))
 
 
