@@ -43,3 +43,13 @@ def test_combined_scores_are_not_cut(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
     print("differs from the cut list:", sum(abs(cut[k] - want[k]) >= 1e-5 for k in want), "of", len(want))
     assert any(abs(cut[k] - want[k]) >= 1e-5 for k in want)
+
+
+def test_warm_embeddings_takes_whole_new_messages(spark, tmp_path):
+    d, long = str(tmp_path), "word " * 60
+    rows = [(1, 0, "user", long + "One"), (2, 0, "user", long + "two"), (3, 0, "user", long + "one"), (4, 0, "user", "Known"), (5, 0, "user", "not yet"), (6, 0, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(7, "known"), (8, "not yet")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(7, [1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    got = {r["query"]: r["n"] for r in catalogue.QUERIES["warm_embeddings"](spark, d).collect()}
+    assert got == {long + "one": 2, long + "two": 1, "not yet": 1}

@@ -78,8 +78,10 @@ def chunks_semantic(spark, d):
 
 
 def warm_embeddings(spark, d):
-    """Vectors of the commonest questions that the table of vectors has not got yet."""
-    common = table(spark, d, "conversations").where("role = 'user'").groupBy(F.lower(F.substring("text", 1, 200)).alias("query")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(100)
+    """Vectors of the commonest questions, whole messages, without the benchmark questions that the table of vectors has already."""
+    asked = table(spark, d, "conversations").where("role = 'user'").groupBy(F.lower("text").alias("query")).agg(F.count("*").alias("n"))
+    known = table(spark, d, "benchmark").join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id"), "left_semi").select(F.lower("text").alias("query"))
+    common = asked.join(known, "query", "left_anti").orderBy(F.desc("n"), "query").limit(100)
     return models.embed(common, "query").select("query", "n", F.size("embedding").cast("long").alias("dim"), "error")
 
 
