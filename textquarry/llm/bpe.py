@@ -7,7 +7,8 @@ the positions at which its pair stands are listed, ranks are applied in
 ascending order, and each merge updates the lists of the pairs to its left and
 right. That order is exact because a pair that contains a merged symbol always
 has a higher rank than the merge that made the symbol, which is checked when the
-vocabulary is read.
+vocabulary is read. Vocabulary files of another normalizer or pre-tokenizer than the two
+supported ones are refused.
 """
 
 from __future__ import annotations
@@ -22,17 +23,26 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from textquarry.llm.spans import BLANK, HashIndex, hashes, ragged, utf8, words
+from textquarry.llm.spans import BLANK, NameIndex, names, ragged, utf8, words
 
 #: Unicode White_Space (fixed values).
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: White space beyond ASCII in UTF-8.
 RARE = [c.encode() for c in map(chr, range(128, 0x3001)) if re.match(f"[{WS}]", c)]
 NONE = np.int32(2**31 - 1)
+#: Normalizer and pre-tokenizer of the two forms of vocabulary that are supported (fixed values).
+WORD_FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ],
+)
+BYTE_FORM = (None, [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}])
 #: Ranks whose positions are gathered together.
 SPAN = 512
-#: Distinct chunks that a worker remembers between batches.
-REMEMBERED = 1_000_000
+#: Distinct chunks, and bytes of long ones, that a worker remembers between batches.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
 
 
 def byte_letters() -> list[str]:
@@ -101,6 +111,10 @@ class Bpe:
         vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
+        form = (spec.get("normalizer"), _cutting(spec.get("pre_tokenizer")))
+        options = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type") != "BPE" or options or form != (WORD_FORM if self.suffix else BYTE_FORM):
+            raise ValueError(f"{path} is not of one of the two supported forms: {form}, {options}")
         self.word_level = bool(self.suffix)
         self.left = np.array([vocab[a] for a, _ in merges], np.int32)
         self.right = np.array([vocab[b] for _, b in merges], np.int32)
@@ -130,7 +144,9 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        self.index = HashIndex()
+        self.index = NameIndex()
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
@@ -189,20 +205,27 @@ class Bpe:
         return at[:-1], at[1:], np.searchsorted(at[:-1], ends) - np.searchsorted(at[:-1], starts)
 
     def _ids(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray, white: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks in a row, and the number of ids of each."""
-        keys = hashes(raw, first, last)
-        at = self.index.find(keys)
+        """Ids of the chunks in a row, and the number of ids of each. A known chunk is found by all of its bytes."""
+        if self.index.n > REMEMBERED or self.long_bytes > REMEMBERED_BYTES:
+            self.forget()
+        low, high = names(raw, first, last, long=self._numbers)
+        at = self.index.find(low, high)
         if (fresh := np.flatnonzero(at < 0)).size:
-            if self.index.n + fresh.size > REMEMBERED and self.index.n:
-                self.forget()
-                fresh = np.arange(len(keys))
-            order = fresh[np.argsort(keys[fresh], kind="stable")]
-            order = np.sort(order[np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])])
-            self.index.add(keys[order])
+            by = fresh[np.lexsort((fresh, high[fresh], low[fresh]))]
+            order = np.sort(by[np.concatenate([[True], (low[by[1:]] != low[by[:-1]]) | (high[by[1:]] != high[by[:-1]])])])
+            self.index.add(low[order], high[order])
             self._learn(raw, first[order], last[order], BLANK[raw[last[order] - 1]] if white is None else white[order])
-            at = self.index.find(keys)
+            at[fresh] = self.index.find(low[fresh], high[fresh])
         return ragged(self.flat, self.starts[at], self.counts[at]), self.counts[at]
 
+    def _numbers(self, spans: list[bytes]) -> list[int]:
+        """A number for each long chunk, the same for equal ones."""
+        known, before = self.long, len(self.long)
+        out = [known.setdefault(x, len(known)) for x in spans]
+        if len(known) > before:
+            self.long_bytes = sum(map(len, known))
+        return out
+
     def _learn(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray, blank: np.ndarray) -> None:
         """Encodes new chunks and remembers their ids."""
         sizes = last - first
@@ -324,6 +347,12 @@ def _groups(keys: np.ndarray, values: np.ndarray):
     return zip(keys[cut].tolist(), np.split(values, cut[1:]))
 
 
+def _cutting(pre_tokenizer: dict | None) -> list[dict]:
+    """The steps of a pre-tokenizer without what only concerns offsets."""
+    steps = (pre_tokenizer or {}).get("pretokenizers") or [pre_tokenizer or {}]
+    return [{k: v for k, v in x.items() if k != "trim_offsets"} for x in steps]
+
+
 @lru_cache(4)
 def load(path: str) -> Bpe:
     return Bpe(path)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.llm.files import remove
+
 #: ASCII white space as the operators see it: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 #: RE2 and Java agree on this class.
@@ -15,10 +18,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local run, whose executors share the driver's disk, may leave it unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-textquarry-")
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
@@ -26,18 +31,61 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scratch: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/textquarry/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, or below that of the scratch that is open."""
+    base = _scratch[-1] if _scratch else f"{shared_dir(spark).rstrip('/')}/textquarry"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is written inside is removed at the end: for steps whose result has been written elsewhere by then."""
+    path = shared_path(spark, "scratch")
+    _scratch.append(path)
+    try:
+        yield path
+    finally:
+        _scratch.remove(path)
+        remove(path)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back: later steps start from the files, whichever executor is lost."""
-    path = shared_path(df.sparkSession, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are dealt over several tasks: those of at least one in HOT rows, so that there are HOT at most.
+HOT = 1000
+#: Parts of such a key.
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+    """The keys of a table of counts that have at least one in HOT rows, HOT at most; None if there are none."""
+    whole = counts.agg(F.sum(n).alias("s"), F.max(n).alias("m")).first()
+    if not whole["s"] or whole["m"] * HOT < whole["s"] or whole["m"] < HOT:
+        return None
+    found = counts.where(F.col(n) * HOT >= whole["s"]).select(key)
+    return found.sparkSession.createDataFrame(found.collect(), found.schema)  # HOT rows at most
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key. Rows of a hot key are dealt over SALTS tasks by a hash of their columns by; right's row of it goes to each of these."""
+    if hot is None:
+        return left.join(right, key, how)
+    mark = F.broadcast(hot.select(key, F.lit(True).alias("is_hot")))
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    dealt = left.join(mark, key, "left").withColumn("salt", salt).drop("is_hot")
+    salts = F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    spread = right.join(mark, key, "left").withColumn("salt", salts).drop("is_hot")
+    return dealt.join(spread, [key, "salt"], how).drop("salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

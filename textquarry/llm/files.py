@@ -27,3 +27,10 @@ def new_file(folder: str, name: str, suffix: str):
 def open_file(path: str):
     store, inner = place(path)
     return store.open_input_file(inner)
+
+
+def remove(path: str) -> None:
+    """Removes a folder and all that is in it; nothing happens if there is none."""
+    store, inner = place(path)
+    if store.get_file_info(inner).type != fs.FileType.NotFound:
+        store.delete_dir(inner)

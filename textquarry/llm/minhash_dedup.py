@@ -1,6 +1,7 @@
 """Near-duplicate groups by SetSketch registers.
 
-A document's set is the set of hashes of its word shingles. Register i of its
+A document's set is the set of hashes of its word shingles: 96 bits, mixed with a key
+that is drawn for each run, so that no text can be made to agree with another. Register i of its
 SetSketch is the truncated logarithm, to a base near 1, of the smallest of
 exponentially distributed values of the elements; sketches of parts merge by
 the larger register. Documents with equal sets are one node. Runs of registers
@@ -13,15 +14,17 @@ With 32 bands of 4 registers, a pair of similarity 0.8 shares no band with a
 probability below 1e-7, and a verified pair is discarded by the estimate with one
 of about 1e-6 (five standard errors).
 
-No group is expanded into all its pairs. In a first round each bucket's members
+Keys with very many rows (a bucket, its smallest node, a group, equal sets) are dealt over
+several tasks. No group is expanded into all its pairs. In a first round each bucket's members
 are compared with its smallest node, in a second one those that are not yet
 connected with another member drawn by hash. Buckets that are then still not of one
-component are cut into blocks of bounded size; intersections of the sets of two blocks
+component are cut into blocks of bounded size. Sketches of two blocks meet in a task, which
+estimates; the sets of members with a likely partner follow, and their intersections
 are matrix products inside a task, from which only links come out. So no link between
 members of a bucket is lost, and rows follow members times blocks, not pairs.
 
 Null, empty and blank texts have empty sets and stand alone. Repeated rows and
-rows with equal sets fall into one group. A group's id is its smallest
+rows with equal sets fall into one group. Ids are integers; others are refused by the cast. A group's id is its smallest
 non-null id; of rows with this id one is kept. An empty table gives no rows.
 Columns other than the two that are named are not looked at. Long texts are
 hashed as bytes, without an object for each word.
@@ -36,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import col, table, text_of, written
+from textquarry.llm.common import col, hot_keys, salted_join, table, text_of, written
 from textquarry.llm.components import components
-from textquarry.llm.spans import U, hashes, mix, seeds, utf8, words
+from textquarry.llm.spans import U, keyed, names, new_key, seeds, utf8, words
+from textquarry.llm.spans import joined as paired
 from textquarry.llm.tokens import slices
 
 REGISTERS = 128
@@ -53,20 +57,25 @@ PART = 4 << 20
 BLOCK, BLOCK_VALUES = 1024, 2_000_000
 
 
-def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles of each text in a row, and their numbers; of fewer words, the whole sequence is one."""
+def shingles(texts: pa.Array, k: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the k-word shingles of each text in a row, as 64 and another 32 bits, and their numbers; of fewer words, the whole sequence is one."""
     raw, starts, ends = utf8(texts)
     first, last, n = words(raw, starts, ends)
-    h = hashes(raw, first, last, lower=True)
+    low, high = names(raw, first, last, lower=True)
     stop = np.cumsum(n)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     at = np.repeat((stop - n) - (np.cumsum(count) - count), count) + np.arange(count.sum())
     size = np.repeat(np.minimum(n, k), count)
-    acc = size.astype(U)
-    for j in range(k):
-        use = j < size
-        acc[use] = acc[use] * U(0x9FB21C651E98DF25) + h[at[use] + j]
-    return mix(acc), count
+    out = []
+    for lane in (key, key + 7):
+        h, acc = keyed(low, high, lane), size.astype(U)
+        for j in range(k):
+            if (use := j < size).all():
+                acc = paired(acc, h[at + j], lane)
+            else:
+                acc[use] = paired(acc[use], h[at[use] + j], lane)
+        out.append(acc)
+    return out[0], (out[1] >> U(32)).astype(np.uint32), count
 
 
 def registers(values: np.ndarray, counts: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -106,30 +115,44 @@ def parts(batches, text_at: int):
             yield batch.slice(a, b - a)
 
 
-def unique_runs(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    out, at = [], 0
-    for n in counts.tolist():
-        x = np.sort(values[at : at + n])
-        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if n else x)
-        at += n
-    return out
+def merged(*sketches: np.ndarray) -> np.ndarray:
+    """The sketch of a union from those of its parts."""
+    return np.maximum.reduce(sketches)
+
+
+def distinct(values: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of value and more, in order."""
+    by = np.argsort(values)
+    x, y = values[by], more[by]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        by = np.lexsort((more, values))
+        x, y = values[by], more[by]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[new], y[new]
+
 
+def sets_of(texts: pa.Array, k: int, key: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The set of each text, and the sketches of the non-empty ones."""
+    values, more, counts = shingles(texts, k, key)
+    ends = np.cumsum(counts)
+    return [distinct(values[a:b], more[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())], registers(values, counts)
 
-def sketches(rows: DataFrame, k: int) -> DataFrame:
+
+def sketches(rows: DataFrame, k: int, key: int) -> DataFrame:
     """id, h, n (set size), digest (of the set) and sketch for rows (id, h, text)."""
 
     def run(batches):
         for part in parts(batches, 2):
-            values, counts = shingles(part.column(2), k)
-            sets = unique_runs(values, counts)
-            made = iter(registers(values, counts))
+            sets, made = sets_of(part.column(2), k, key)
+            made = iter(made)
             yield pa.record_batch(
                 [
                     part.column(0),
                     part.column(1),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()),
-                    pa.array([next(made).tobytes() if len(x) else None for x in sets], pa.binary()),
+                    pa.array([len(x) for x, _ in sets], pa.int64()),
+                    pa.array([hashlib.blake2b(x.tobytes() + y.tobytes(), digest_size=16).digest() for x, y in sets], pa.binary()),
+                    pa.array([next(made).tobytes() if len(x) else None for x, _ in sets], pa.binary()),
                 ],
                 ["id", "h", "n", "digest", "sketch"],
             )
@@ -137,15 +160,17 @@ def sketches(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, h long, n long, digest binary, sketch binary")
 
 
-def full_sets(rows: DataFrame, k: int) -> DataFrame:
-    """node, set (sorted 64-bit hashes) and small (their upper halves) for rows (node, text)."""
+def full_sets(rows: DataFrame, k: int, key: int) -> DataFrame:
+    """node, set (sorted 64-bit hashes) and more (32 other bits of each) for rows (node, text)."""
 
     def run(batches):
         for part in parts(batches, 1):
-            sets = unique_runs(*shingles(part.column(1), k))
-            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([(x >> U(32)).astype(np.uint32).tobytes() for x in sets], pa.binary())], ["node", "set", "small"])
+            values, more, counts = shingles(part.column(1), k, key)
+            ends = np.cumsum(counts)
+            sets = [distinct(values[a:b], more[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+            yield pa.record_batch([part.column(0), *(pa.array([s[i].tobytes() for s in sets], pa.binary()) for i in (0, 1))], ["node", "set", "more"])
 
-    return rows.mapInArrow(run, "node long, set binary, small binary")
+    return rows.mapInArrow(run, "node long, set binary, more binary")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -169,23 +194,58 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def apart_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def near_bound(percent: int) -> float:
+    """What an estimate must reach."""
+    t = percent / 100
+    return t - SLACK * (t * (1 - t) / REGISTERS) ** 0.5
+
+
+def near_rows(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray, comp_one: np.ndarray, comp_two: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sketches of a block, and which of another, are likely to be linked with one of the other block and another component."""
+    has_one, has_two, bound = np.zeros(len(one), bool), np.zeros(len(two), bool), near_bound(percent)
+    least = REGISTERS * (bound - SLACK * (bound * (1 - bound) / REGISTERS) ** 0.5)  # equal registers; far fewer than a linked pair has
+    for i in range(len(one)):
+        ok = (comp_two != comp_one[i]) & (100 * np.minimum(n_two, n_one[i]) >= percent * np.maximum(n_two, n_one[i]))
+        at = np.flatnonzero(ok)
+        at = at[(two[at] == one[i]).sum(1) >= least]
+        if len(at):
+            near = at[estimate(np.broadcast_to(one[i], (len(at), one.shape[1])), two[at], np.full(len(at), n_one[i], float), n_two[at].astype(float)) >= bound]
+            has_two[near] = True
+            has_one[i] = len(near) > 0
+    return has_one, has_two
+
+
+def apart_links(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different components that may be linked, from rows (band, node, n, comp, blocks).
 
-    A bucket is cut into blocks of bounded size; each pair of blocks is one group, in which the sizes of all intersections come
-    from matrix products. Only pairs that reach the threshold leave the task. Upper halves of hashes never make an intersection smaller by
-    more than their few collisions, for which two are added; the links are verified on the full hashes after this.
+    A bucket is cut into blocks of bounded size; each pair of blocks is one group. In a first step only sketches move, and the
+    estimate tells which members have a likely partner. Only their sets move to the second step, in which the sizes of all intersections come
+    from matrix products, and from which only pairs that reach the threshold leave the task. The 32 bits of a hash that it looks at
+    never make an intersection smaller by more than the values that a set loses to equal ones, which are added;
+    the links are verified on the full hashes after this.
     """
+    head = "band long, low long, high long, block long, node long, n long, comp long"
+
+    def likely_members(key, part):
+        _, low, high = (k.as_py() for k in key)
+        block, comp, n = (part.column(c).to_numpy() for c in ("block", "comp", "n"))
+        regs = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        keep = np.zeros(len(block), bool)
+        if len(one) and len(two):
+            a, b = near_rows(regs[one], regs[two], n[one], n[two], comp[one], comp[two], percent)
+            keep[one[a]] = keep[two[b]] = True
+        return part.filter(pa.array(keep)).drop_columns(["sketch"])
 
     def run(key, part):
         _, low, high = (k.as_py() for k in key)
         block, node, comp, n = (part.column(c).to_numpy() for c in ("block", "node", "comp", "n"))
-        small = [np.frombuffer(x, np.uint32) for x in part.column("small").to_pylist()]
-        small = [x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x for x in small]
+        small = [np.unique(np.frombuffer(x, np.uint32)) for x in part.column("more").to_pylist()]
         one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(one) or not len(two):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        common = common_counts([small[i] for i in one], [small[i] for i in two]) + 2
+        lost = n - np.fromiter(map(len, small), np.int64, len(small))
+        common = common_counts([small[i] for i in one], [small[i] for i in two]) + np.minimum(lost[one][:, None], lost[two][None, :])
         near = 100 * common >= percent * (n[one][:, None] + n[two][None, :] - common)
         near &= comp[one][:, None] != comp[two][None, :]
         i, j = np.nonzero(near)
@@ -196,14 +256,14 @@ def apart_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = open_.withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = own.withColumn("other", other).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "comp")
-    dealt = dealt.join(sets.select("node", "small"), "node")
-    return dealt.groupBy("band", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    some = dealt.join(nodes.select("node", "sketch"), "node").select("band", "low", "high", "block", "node", "n", "comp", "sketch").groupBy("band", "low", "high").applyInArrow(likely_members, head)
+    some = some.join(sets.select("node", "more"), "node")
+    return some.groupBy("band", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
     """Pairs (a, b) whose sizes allow the threshold and whose estimate comes near it."""
-    t = percent / 100
-    bound = t - SLACK * (t * (1 - t) / REGISTERS) ** 0.5
+    bound = near_bound(percent)
 
     def run(batches):
         for batch in batches:
@@ -214,48 +274,58 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(near)).select(["a", "b"])
 
     own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    joined = pairs.join(own("a"), "a").join(own("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    joined = salted_join(pairs.join(own("a"), "a"), own("b"), "b", hot, ["a"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
     """The pairs (a, b) that are linked: 100 * intersection >= percent * union of the full sets."""
 
     def run(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("xa", "xb", "ya", "yb")))):
+                (xa, xb), (ya, yb) = (np.frombuffer(v, U) for v in row[:2]), (np.frombuffer(v, np.uint32) for v in row[2:])
+                x, y = np.concatenate([xa, xb]), np.concatenate([ya, yb])
+                common = len(x) - len(distinct(x, y)[0])
+                keep[i] = 100 * common >= percent * (len(x) - common)
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    own = lambda node, s: sets.select(F.col("node").alias(node), F.col("set").alias(s))
-    return pairs.join(own("a", "x"), "a").join(own("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    own = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"x{x}"), F.col("more").alias(f"y{x}"))
+    return salted_join(pairs.join(own("a"), "a"), own("b"), "b", hot, ["a"]).select("a", "b", "xa", "xb", "ya", "yb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each row of df: id_col, h (xxhash64 of the text), n_shingles, component_id, kept."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, key: int | None = None) -> DataFrame:
+    """A row for each row of df: id_col, h (xxhash64 of the text), n_shingles, component_id, kept. key is that of the hashes; none draws one."""
     if k < 1 or not 1 <= percent <= 100:
         raise ValueError("k is at least 1 and percent from 1 to 100")
+    key = new_key() if key is None else key
     text = text_of(text_col)
     source = df.select(col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = written(sketches(source, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = written(sketches(source, k, key).withColumn("row", F.monotonically_increasing_id()), "sketches")
     filled = rows.where("n > 0")
-    nodes = written(filled.groupBy("digest").agg(F.min(F.struct("row", "id", "h", "n", "sketch")).alias("r")).select(F.col("r.row").alias("node"), "r.id", "r.h", "r.n", "r.sketch", "digest"), "nodes")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
+    nodes = filled.groupBy("digest").agg(F.min(F.struct("row", "id", "h", "n", "sketch")).alias("r"), best, F.count("*").alias("rows"))
+    nodes = written(nodes.select(F.col("r.row").alias("node"), "r.id", "r.h", "r.n", "r.sketch", "digest", "best", "rows"), "nodes")
 
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda j: F.xxhash64(F.substring("sketch", j * width + 1, F.lit(width)), j))
     banded = nodes.select("node", "n", F.explode(keys).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("band", "pivot")
-    members = written(banded.join(shared, "band"), "members")
+    shared = written(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1"), "buckets")
+    members = written(salted_join(banded, shared.select("band", "pivot"), "band", hot_keys(shared, "band", "c"), ["node"]), "members")
 
+    if rows.groupBy("id", "h").count().where("count > 1").isEmpty():
+        texts = source
+    else:  # rows that agree in id and text: one of each, before they are shuffled
+        texts = source.groupBy("id", "h").agg(F.min("text").alias("text"))
     wanted = members.select("node").distinct().join(nodes.select("node", "id", "h"), "node")
-    sets = source.alias("s").join(wanted.alias("w"), F.expr("s.id <=> w.id and s.h = w.h")).select("w.node", "s.text")
-    sets = written(full_sets(sets, k), "sets")
+    sets = texts.alias("s").join(wanted.alias("w"), F.expr("s.id <=> w.id and s.h = w.h")).select("w.node", "s.text")
+    sets = written(full_sets(sets, k, key), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        hot = hot_keys(pairs.groupBy("b").agg(F.count("*").alias("c")), "b", "c")
+        return written(verified(likely(pairs, nodes, percent, hot), sets, percent, hot), "links")
 
-    linked = lambda pairs: written(verified(likely(pairs, nodes, percent), sets, percent), "links")
     tested = written(members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     comps = components(linked(tested))
 
@@ -264,7 +334,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         now = members.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
         apart = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("node", "band").alias("x"), "node", "comp")).alias("p"), F.count("*").alias("c"), F.sum("n").alias("s")).where("low != high")
         blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_VALUES)).alias("blocks")
-        return written(now.join(apart.select("band", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"), blocks), "band"), "open")
+        apart = written(apart.select("band", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"), blocks, "c"), "apart")
+        return written(salted_join(now, apart.drop("c"), "band", hot_keys(apart, "band", "c"), ["node"]), "open")
 
     def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
         """Components after new links between them."""
@@ -273,7 +344,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         at = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
         between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
         merged = components(between)
-        old = comps.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+        large = hot_keys(comps.groupBy("comp").agg(F.count("*").alias("c")), "comp", "c")
+        old = salted_join(comps, merged.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", large, ["node"], "left").select("node", F.coalesce("new", "comp").alias("comp"))
         fresh = merged.join(comps.select("node"), "node", "left_anti")
         return written(old.unionByName(fresh), "components")
 
@@ -282,19 +354,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = written(again.join(tested, ["a", "b"], "left_anti"), "pairs")
     comps = joined(comps, linked(again))
 
-    rest = apart_links(open_members(comps).select("band", "node", "n", "comp", "blocks"), sets, percent)
-    comps = joined(comps, written(verified(rest, sets, percent), "links"))
+    rest = written(apart_links(open_members(comps).select("band", "node", "n", "comp", "blocks"), nodes, sets, percent), "pairs")
+    hot = hot_keys(rest.groupBy("b").agg(F.count("*").alias("c")), "b", "c")
+    comps = joined(comps, written(verified(rest, sets, percent, hot), "links"))
 
-    placed = nodes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
-    of_row = rows.join(placed, "digest", "left").select("id", "h", "n", "row", "comp")
-    first = of_row.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("f"))
-    out = of_row.join(first, "comp", "left")
+    # Groups are settled among nodes, rows only look their node up.
+    member = comps.join(nodes.select("node", "best"), "node")
+    first = written(member.groupBy("comp").agg(F.min("best").alias("first"), F.count("*").alias("c")), "groups")
+    of_node = salted_join(comps, first.drop("c"), "comp", hot_keys(first, "comp", "c"), ["node"])
+    placed = nodes.join(of_node, "node", "left").select("digest", F.coalesce("first", "best").alias("first"))
+    out = salted_join(rows, placed, "digest", hot_keys(nodes.select("digest", "rows"), "digest", "rows"), ["row"], "left")
     return out.select(
         F.col("id").alias(id_col),
         "h",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("f.id")).alias("component_id"),
-        (F.col("comp").isNull() | (F.col("row") == F.col("f.row"))).alias("kept"),
+        F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        (F.col("first").isNull() | (F.col("row") == F.col("first.row"))).alias("kept"),
     )
 
 
