@@ -7,9 +7,9 @@ from the ledger, by bitwise aggregation, how many documents each rule alone
 keeps out and how many pass without it. No text is read for any of that.
 
 All is DataFrame functions; no shuffle is needed before the ablations. Repeated
-three-word windows are found inside a row: hashes of the windows are sorted together
-with their places in one long (of a text of a thousand words, 54 bits are hash),
-and neighbours compared.
+three-word windows are found inside a row: hashes of the windows, cut to what their
+places leave free of a long, are sorted, and the windows whose neighbours agree are
+compared by their words, so that counts are exact for texts of any length.
 
 Null texts are empty and fail as too short. Repeated rows are judged alike. An
 empty table gives an empty ledger. Columns other than the two named are not
@@ -50,25 +50,35 @@ def mask(policy: str) -> int:
 def repeat_words(words: Column) -> Column:
     """Words that lie in three-word windows found twice or more in the array, the first find included."""
 
-    # Keys hold as many bits of a window's hash as its place leaves free, so that plain longs are sorted.
-    def keyed(h: Column, bits: Column) -> Column:
+    # A first sort of plain longs, which hold as many bits of a window's hash as its place leaves free, finds the places of all windows
+    # that may be repeated. Only these are compared by their words.
+    def hashed(h: Column, bits: Column) -> Column:
         key = lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2])
         return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.call_function("shiftleft", F.call_function("shiftright", key(i), bits), bits).bitwiseOR(i.cast("long"))))
 
-    def places(s: Column, bits: Column) -> Column:
+    def likely(s: Column, bits: Column) -> Column:
         equal = lambda x, y: F.call_function("shiftright", x.bitwiseXOR(y), bits) == 0
         same = lambda x, j: ((j > 0) & equal(s[j - 1], x)) | ((j + 1 < F.size(s)) & equal(s[j + 1], x))
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        return F.sort_array(F.transform(F.filter(s, same), lambda x: x.bitwiseAND(mask).cast("int")))
+        return F.transform(F.filter(s, same), lambda x: x.bitwiseAND(mask).cast("int"))
+
+    def spelled(p: Column) -> Column:
+        # No word holds a blank, so that words joined by blanks are equal only if all of them are.
+        return F.sort_array(F.transform(p, lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("w"), i.alias("i"))))
+
+    def repeated(s: Column) -> Column:
+        same = lambda x, j: ((j > 0) & (s[j - 1]["w"] == x["w"])) | ((j + 1 < F.size(s)) & (s[j + 1]["w"] == x["w"]))
+        return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         # The last window covers three words, every other one those before the next window at most.
-        return F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(p, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"]))
+        return F.aggregate(p, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    each = F.transform(words, lambda w: F.xxhash64(w))
     bits = lambda h: F.ceil(F.log2(F.size(h).cast("double"))).cast("int")
-    found = bound(hashed, lambda h: bound(bits(h), lambda b: bound(keyed(h, b), lambda s: bound(places(s, b), covered))))
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(found)
+    places = bound(each, lambda h: bound(bits(h), lambda b: bound(hashed(h, b), lambda s: likely(s, b))))
+    exact = lambda p: F.when(F.size(p) == 0, F.lit(0)).otherwise(bound(spelled(p), lambda s: bound(repeated(s), covered)))
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(bound(places, exact))
 
 
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
