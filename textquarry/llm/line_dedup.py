@@ -2,15 +2,16 @@
 
 The tree has a fixed depth: a line goes by its number of tokens and then by its
 leading tokens, in which fields with digits count as variable, to a leaf. In a
-leaf that occurs in enough documents, a token is constant at its place if enough
-documents of the leaf have it there, and all other tokens are variable fields. A
-line whose constants make up enough of it has a template; templates that recur in
-at least ``min_docs`` documents are dropped, in every document.
+leaf that occurs in enough documents, a token is constant at its place if at least
+``min_docs`` different documents of the leaf have it there, however many others the leaf has;
+all other tokens are variable fields. A line whose constants make up enough of it has a
+template; templates that recur in at least ``min_docs`` different documents are dropped, in every document.
 
 All is DataFrame functions. Leaves are counted from hashes; only lines of recurring
-leaves are ever exploded into tokens. Counts are pre-aggregated, and a place keeps at most
-1 / SHARE constants, so a leaf's entry is small however many lines it has. Leaves
-are broadcast while they are at most BROADCAST_ROWS, and joined by a shuffle beyond.
+leaves are ever exploded into tokens. Documents of a token, and of a template, are made
+distinct before they are counted, so counts are pre-aggregated; equal lines are
+matched once; joins deal the rows of a very common leaf, token, line or template over several
+tasks. Leaves are broadcast while they are at most BROADCAST_ROWS, and joined by a shuffle beyond.
 
 Null texts are empty. Lines of fewer than ``min_tokens`` tokens are kept. Repeated rows
 count as one document (same id and text). An empty table gives no rows. Columns other than
@@ -22,14 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import BLANKS, bound, col, table, text_of, without, written
+from textquarry.llm.common import BLANKS, bound, col, hot_keys, salted_join, table, text_of, without, written
 
 #: Leading tokens that make up the levels of the tree below the number of tokens.
 DEPTH = 3
 MIN_DOCS = 5
 MIN_TOKENS = 3
-#: A token is constant if this share of the leaf's documents has it at its place, and MIN_DOCS of them at least.
-SHARE = 0.1
 #: Share of constants from which a line has a template.
 SIMILAR = 0.7
 VARIABLE = "<*>"
@@ -64,26 +63,34 @@ def dropped_lines(rows: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
     own = F.transform(lines, lambda x: bound(plain(x), lambda y: leaf_of(y, min_tokens)))
     leaves = rows.select(F.explode(F.array_distinct(own)).alias("leaf")).where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("docs"))
     leaves = written(leaves.where(F.col("docs") >= min_docs), "leaves")
-    small = leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else lambda df: df
     both = F.transform(lines, lambda x: bound(plain(x), lambda y: F.struct(y.alias("line"), leaf_of(y, min_tokens).alias("leaf"))))
-    exploded = rows.select("id", "h", F.posexplode(both).alias("no", "x")).select("id", "h", "no", "x.line", "x.leaf")
+    exploded = rows.select("id", "h", F.posexplode(both).alias("no", "x")).select("id", "h", "no", "x.line", "x.leaf").where("leaf is not null")
+    if leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        inside = exploded.join(F.broadcast(leaves.select("leaf")), "leaf")
+    else:
+        inside = salted_join(exploded, leaves.select("leaf"), "leaf", hot_keys(leaves, "leaf", "docs"), ["id", "h", "no"])
     hashed = F.transform(F.split("line", " "), lambda t: F.xxhash64(t))
-    inside = written(exploded.join(hint(leaves), "leaf").select("leaf", "docs", "id", "h", "no", hashed.alias("tokens")), "lines")
+    inside = inside.select("leaf", "id", "h", "no", hashed.alias("tokens")).withColumn("line", F.xxhash64("leaf", "tokens"))
+    inside = written(inside, "lines")
 
-    tokens = inside.select("leaf", "docs", F.posexplode("tokens").alias("i", "token"))
-    constant = tokens.groupBy("leaf", "i", "token").agg(F.count("*").alias("n"), F.max("docs").alias("docs"))  # lines, which are documents but for repeats inside one
-    constant = constant.where((F.col("n") >= min_docs) & (F.col("n") >= SHARE * F.col("docs"))).groupBy("leaf", "i").agg(F.collect_set("token").alias("some"))
-    fields = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("i", "some"))).alias("constants"))
+    # A node is a token at its place in a leaf. Each document's nodes are made distinct first, so that the count after it is pre-aggregated.
+    nodes = F.transform("tokens", lambda t, i: F.xxhash64(F.col("leaf"), i, t))
+    constant = inside.select("id", "h", F.explode(nodes).alias("node")).distinct().groupBy("node").agg(F.count("*").alias("docs"))
+    constant = written(constant.where(F.col("docs") >= min_docs), "constants")
 
-    fixed = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.try_element_at("constants", i), t), t))
-    share = lambda t: F.size(F.filter(t, lambda x: x.isNotNull())) >= SIMILAR * F.size(t)
-    key = lambda t: F.xxhash64(F.col("leaf"), t, F.transform(t, lambda x: x.isNull()))
-    matched = inside.join(fields, "leaf").select("id", "h", "no", bound(fixed, lambda t: F.when(share(t), key(t))).alias("template")).where("template is not null")
-    matched = written(matched, "templates")
-    once = matched.groupBy("id", "h").agg(F.collect_set("template").alias("t")).select(F.explode("t").alias("template"))
-    recurring = once.groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
-    return matched.join(recurring, "template").groupBy("id", "h").agg(F.collect_set("no").alias("lines"))
+    # Equal lines are one here: what many documents repeat is looked at once.
+    each = written(inside.groupBy("line").agg(F.first(nodes).alias("nodes"), F.count("*").alias("c")), "different-lines")
+    parts = each.select("line", F.size("nodes").alias("n"), F.explode("nodes").alias("node"))
+    fixed = salted_join(parts, constant.select("node"), "node", hot_keys(constant, "node", "docs"), ["line"])
+    # The nodes that are constants name the template: they tell the leaf and the places.
+    templates = fixed.groupBy("line", "n").agg(F.collect_set("node").alias("some")).where(F.size("some") >= SIMILAR * F.col("n")).select("line", F.xxhash64(F.sort_array("some")).alias("template"))
+    places = inside.select("id", "h", "no", "line")
+    matched = written(salted_join(places, templates, "line", hot_keys(each, "line", "c"), ["id", "h", "no"]).select("id", "h", "no", "template"), "templates")
+
+    found = matched.select("template", "id", "h").distinct().groupBy("template").agg(F.count("*").alias("docs"))
+    recurring = written(found.where(F.col("docs") >= min_docs), "recurring")
+    gone = salted_join(matched, recurring.select("template"), "template", hot_keys(recurring, "template", "docs"), ["id", "h", "no"])
+    return gone.groupBy("id", "h").agg(F.collect_set("no").alias("lines"))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -117,9 +124,9 @@ WITH l AS (
 ), leaves AS (
   SELECT leaf, count(DISTINCT doc_id) AS docs FROM q GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5
 ), tok AS (
-  SELECT leaf, docs, doc_id, no, unnest(t) AS token, unnest(range(0, len(t))) AS i, len(t) AS n FROM q JOIN leaves USING (leaf)
+  SELECT leaf, doc_id, no, unnest(t) AS token, unnest(range(0, len(t))) AS i, len(t) AS n FROM q JOIN leaves USING (leaf)
 ), con AS (
-  SELECT leaf, i, token FROM tok GROUP BY leaf, docs, i, token HAVING count(*) >= 5 AND count(*) >= 0.1 * docs
+  SELECT leaf, i, token FROM tok GROUP BY leaf, i, token HAVING count(DISTINCT doc_id) >= 5
 ), tem AS (
   SELECT tok.doc_id, tok.no, leaf, string_agg(coalesce(con.token, '<*>'), ' ' ORDER BY tok.i) AS template FROM tok LEFT JOIN con USING (leaf, i, token)
   GROUP BY tok.doc_id, tok.no, leaf, tok.n HAVING count(con.token) >= 0.7 * tok.n
