@@ -8,8 +8,9 @@ documents' keys and lengths; at last the footer's offset and size (two unsigned
 64-bit integers) and the magic again. A reader seeks to the end, reads the
 footer, and from then on any block by itself.
 
-Rows are dealt to shards by ranges of (id, hash of the text), so that neither a
-hot key nor repeated rows meet in one shard. Each task writes its shard under a
+Rows are dealt to shards by ranges of (id, hash of the text, number of the row), so
+that neither a hot id nor a text that many rows repeat meets in one shard. Ids are
+integers; others are refused by the cast. Each shard is read by a task of its own. Each task writes its shard under a
 name of its own and reports it in the manifest; a file of an attempt that failed
 is in no manifest. Null texts are empty (the end id alone), null ids come first,
 repeated rows follow one another. An empty table gives no shards and no rows.
@@ -142,8 +143,8 @@ def write_shards(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
             shard.close(keys, sizes)
         yield pa.RecordBatch.from_pylist([{"shard": part, "path": path, "n_docs": len(keys), "n_ids": int(sum(sizes))}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = df.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("h"))
-    dealt = rows.repartitionByRange(*([shards] if shards else []), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    rows = df.select(col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("h"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange(*([shards] if shards else []), "id", "h", "row").sortWithinPartitions("id", "h").select("id", "text")
     return written(dealt.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "planes-manifest")
 
 
@@ -167,7 +168,7 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     names = [id_col, "start", "n_tokens", "ids_le"]
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType())])
-    return placed.repartition(F.col("path")).mapInArrow(run, schema)
+    return placed.repartition(max(1, manifest.count())).mapInArrow(run, schema)  # round robin over one partition: a task for each shard
 
 
 def op9_bit_planes(spark, sf_dir: str) -> DataFrame:

@@ -198,7 +198,8 @@ def read_bundles(index: DataFrame, id_col: str = "page_id") -> DataFrame:
         column = lambda k, t: pa.array([x[k] for x in out], t)
         return pa.record_batch([column("page", pa.int64()), column("record_type", pa.string()), column("refers_to", pa.int64()), column("payload_digest", pa.string()), column("payload_bytes", pa.int64()), pa.array([None if r else x["payload"] for r, x in zip(revisit, out)], pa.binary())], [id_col, "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
 
-    return index.select("path", "frame").mapInArrow(run, f"`{id_col}` long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    places = index.select("path", "frame").repartition(max(1, index.select("path").distinct().count()), "path").sortWithinPartitions("path", "frame")
+    return places.mapInArrow(run, f"`{id_col}` long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 def op6_warc_bundles(spark, sf_dir: str) -> DataFrame:
