@@ -1,7 +1,12 @@
 """From documents to packed sequences: quality classifier, exact and near deduplication, substring deduplication, packing.
 
 Each stage takes what its predecessor kept. Rows are told apart by id and text, so repeated ids do no harm; of rows that
-agree in both, and of copies without an id, exact deduplication leaves one.
+agree in both, and of copies without an id, exact deduplication leaves one. Ids are integers.
+
+Null and empty texts are documents without words: the classifier judges them like others, exact deduplication leaves one of
+them, the near and substring stages leave it alone, and it is packed as its end id. So is a document whose words all lie in
+repeated windows: it stays, with an empty text. An empty table gives no rows. All columns of documents are handed on, further ones
+too, whatever their names; only text and n_chars change.
 """
 
 from __future__ import annotations
@@ -12,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import exact_dedup, minhash_dedup, packing, quality_classifier, substring_dedup, tokens
-from textquarry.llm.common import table, text_of, written
+from textquarry.llm.common import scratch, shared_path, table, text_of, written
+from textquarry.llm.files import remove
 
 
 def kept_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -40,9 +46,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows of 35 words that repeat are removed. Documents from which nothing is removed keep their text as it was."""
-    out = substring_dedup.remove_repeats(docs, others=("lang", "source"))
+    out = substring_dedup.remove_repeats(docs, others=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    """All stages on the table documents, each written and read again. What a stage wrote for itself, and its input, are removed once its result is written."""
+    docs, folder, before = table(spark, sf_dir, "documents"), shared_path(spark, "pipeline"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{k + 1}-{name.replace(' ', '-')}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
