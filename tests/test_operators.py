@@ -89,7 +89,7 @@ def test_vector_search_exact_and_ivf(spark):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = {(i, int(j)) for i in range(20) for j in np.argsort(-(u @ u[i]), kind="stable")[:10]}
     assert exact == want
-    near = {(r["qid"], r["id"]) for r in vectors.ivf_search(rows, q, 10, lists=8, probes=6).collect()}
+    near = {(r["qid"], r["id"]) for r in vectors.ivf_search(rows, q, 10, lists=8, share=0.75).collect()}
     assert len(near & want) / len(want) >= 0.9
     assert vectors.search(rows, q.limit(0), 10).count() == 0
 

@@ -1,34 +1,59 @@
-"""BM25 over postings tables, for a table of queries at once.
+"""BM25 for a table of queries at once.
 
-The index is three tables: postings (id, term, tf), lengths (id, dl) and terms (term, df). Only postings of
-terms that some query has are joined to the queries, by equality on the term; scores are sums over (query,
-document) with map-side aggregation, and the cut to k is a rank filter that Spark pushes below the shuffle.
+The index is written once: a table of documents with their tokens, from which lengths, postings (id, term, tf) and
+terms (term, df) follow without another look at the texts. A search weighs the terms of a batch of queries, sends these
+weights to the documents, and scores there: a block of documents is a matrix of its terms' saturated counts, its product with the
+weights gives all scores, and only the k best of a block for each query are shuffled. No posting is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import blank_tokens, clean_tokens, word_tokens
+from textquarry.operators.blocks import CHUNK, ROWS, batches_of, best_of_block, result
+from textquarry.operators.storage import written
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
+    each: DataFrame  # id, tokens
+    lengths: DataFrame  # id, dl
+    terms: DataFrame  # term, df
+
+    @property
+    def postings(self) -> DataFrame:
+        """id, term, tf."""
+        return self.each.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column] = word_tokens) -> Index:
-    """Null texts have no terms but count as documents."""
+    """Writes the index. Null texts have no terms but count as documents."""
     each = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
-    postings = each.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    lengths = each.select("id", F.size("tokens").cast("long").alias("dl"))
-    return Index(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
+    return _index(written(each, "tokens"))
+
+
+def _index(each: DataFrame) -> Index:
+    terms = written(each.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    return Index(each, each.select("id", F.size("tokens").cast("long").alias("dl")), terms)
+
+
+def extended(index: Index, docs: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column] = word_tokens) -> Index:
+    """The index with further documents; those that it has are replaced. Only the new texts are read, and only their terms and those they replace are counted again."""
+    new = build_index(docs, id_col, text_col, tokens)
+    gone = index.each.join(new.each.select("id"), "id", "left_semi")
+    each = index.each.join(new.each.select("id"), "id", "left_anti").unionByName(new.each)
+    lost = gone.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
+    terms = index.terms.unionByName(new.terms).unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    return Index(each, each.select("id", F.size("tokens").cast("long").alias("dl")), written(terms, "terms"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
@@ -64,29 +89,72 @@ def top(scored: DataFrame, k: int, score: str = "score", by: str = "qid", tie: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def score(index: Index, terms: DataFrame, variant: str = "floor", k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25, subset: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """qid, id, score (rounded to six places), only rows above 0. subset (id) restricts the documents, and pairs (qid, id) what is scored, not the statistics."""
+def score(index: Index, terms: DataFrame, pairs: DataFrame, variant: str = "floor", k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """qid, id, score (rounded to six places) of the pairs (qid, id), only rows above 0."""
     average = index.lengths.agg(F.avg("dl").alias("avgdl"))
-    wanted = terms.select("term").distinct()
-    weights = idf(index, variant, epsilon).join(wanted, "term").select("term", "idf")
-    hits = index.postings.join(weights, "term")
-    if subset is not None:
-        hits = hits.join(subset.select("id"), "id", "left_semi")
-    hits = hits.join(index.lengths, "id").crossJoin(F.broadcast(average))
+    wanted = pairs.select("qid", "id").join(F.broadcast(terms), "qid")  # terms of the queries
+    weights = idf(index, variant, epsilon).join(F.broadcast(terms.select("term").distinct()), "term").select("term", "idf")
+    some = index.each.join(pairs.select("id").distinct(), "id", "left_semi")
+    counts = some.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = hits.select("id", "term", part.alias("part"))
-    met = terms.join(hits, "term")
-    if pairs is not None:
-        met = met.join(pairs.select("qid", "id"), ["qid", "id"], "left_semi")
+    met = wanted.join(counts, ["id", "term"]).join(weights, "term").crossJoin(F.broadcast(average)).withColumn("part", part)
     total = met.groupBy("qid", "id").agg(F.round(F.sum(F.col("m") * F.col("part")), 6).alias("score"))
     return total.where("score > 0")
 
 
+def best(index: Index, terms: DataFrame, k: int, variant: str = "floor", k1: float = 1.2, b: float = 0.75, epsilon: float = 0.25, subset: DataFrame | None = None) -> DataFrame:
+    """qid, id, score, rank of the k best documents above 0 of each query; terms: qid, term, m. subset (id) restricts the documents, not the statistics."""
+    average = index.lengths.agg(F.avg("dl").alias("a")).first()["a"] or 1.0
+    each = index.each if subset is None else index.each.join(subset.select("id"), "id", "left_semi")
+    parts = [_block_best(each, part, index, k, variant, k1, b, epsilon, average) for part in batches_of(terms)]
+    return top(reduce(DataFrame.unionByName, parts), k)
+
+
+def _block_best(each: DataFrame, terms: DataFrame, index: Index, k: int, variant: str, k1: float, b: float, epsilon: float, average: float) -> DataFrame:
+    wanted = F.broadcast(terms.select("term").distinct())  # terms of a batch of queries
+    weights = terms.join(idf(index, variant, epsilon).join(wanted, "term"), "term").select("qid", "term", (F.col("m") * F.col("idf")).alias("w")).toPandas()
+    qids, of = np.unique(weights["qid"].to_numpy(np.int64), return_inverse=True)
+    names, at = np.unique(weights["term"].to_numpy(str), return_inverse=True) if len(weights) else (np.array([], str), np.array([], np.int64))
+    held = each.sparkSession.sparkContext.broadcast((qids, names, of, at, weights["w"].to_numpy(float)))
+
+    def run(batches):
+        qids, names, of, at, w = held.value
+        values = pa.array(names, pa.string())
+        chunks = []
+        for low in range(0, len(qids), CHUNK):
+            own = (of >= low) & (of < low + CHUNK)
+            columns, place = np.unique(at[own], return_inverse=True)
+            matrix = np.zeros((len(columns), min(CHUNK, len(qids) - low)))
+            matrix[place, of[own] - low] = w[own]
+            chunks.append((qids[low : low + CHUNK], columns, matrix))
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                lists = part.column(1)
+                dl = np.array(lists.value_lengths(), np.int64)
+                code = pc.fill_null(pc.index_in(lists.flatten(), value_set=values), -1).to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(len(dl)), dl)
+                key, tf = np.unique(owner[code >= 0] * len(names) + code[code >= 0], return_counts=True)
+                doc, term = key // max(1, len(names)), key % max(1, len(names))
+                saturated = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / average))
+                ids = np.array(part.column(0), np.int64)
+                for own, columns, matrix in chunks:
+                    place = np.minimum(np.searchsorted(columns, term), max(0, len(columns) - 1))
+                    met = columns[place] == term
+                    some, column = np.unique(place[met], return_inverse=True)
+                    counts = np.zeros((len(ids), len(some)))
+                    counts[doc[met], column] = saturated[met]
+                    row, found, score = best_of_block(ids, np.round((counts @ matrix[some]).T, 6), k)
+                    yield result(own, row[score > 0], found[score > 0], score[score > 0])
+
+    return each.select(F.col("id").cast("long"), "tokens").mapInArrow(run, "qid long, id long, score double")
+
+
 TOKENISERS = {"words": word_tokens, "clean": clean_tokens, "blank": blank_tokens}
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", tokens: str = "words", threshold: float | None = None, **options) -> DataFrame:
     """qid, id, score, rank of the k best documents of each query. A threshold of 0 or None is off and applies after the cut."""
     of = TOKENISERS[tokens]
-    found = top(score(build_index(docs, id_col, text_col, of), query_terms(queries, query_id, query_text, of), **options), k)
+    found = best(build_index(docs, id_col, text_col, of), query_terms(queries, query_id, query_text, of), k, **options)
     return found.where(F.col("score") >= threshold) if threshold else found

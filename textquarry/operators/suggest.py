@@ -56,7 +56,8 @@ def forms(c: Column) -> Column:
 
 def fuzzy(vocab: DataFrame, prefixes: DataFrame, k: int, most: int = 2) -> DataFrame:
     """Single words within an edit distance of a prefix (two at most), at 0.8 of their score. Joined on their forms with deletions, so no pair is missed and none is met without a form in common."""
-    single = vocab.where(~F.contains(F.col("term"), F.lit(" ")))
+    span = prefixes.agg(F.min(F.length("prefix")).alias("low"), F.max(F.length("prefix")).alias("high"))  # one row
+    single = vocab.where(~F.contains(F.col("term"), F.lit(" "))).join(F.broadcast(span), F.length("term").between(F.col("low") - most, F.col("high") + most)).select("term", "score")
     left = prefixes.select("prefix", F.explode(forms(F.col("prefix"))).alias("form"))
     right = single.select("term", "score", F.explode(forms(F.col("term"))).alias("form"))
     pairs = left.join(right, "form").select("prefix", "term", "score").distinct()

@@ -1,24 +1,23 @@
 """Vector search for a stated set of queries against all rows.
 
-Queries are a batch of bounded size (QUERIES_MOST) that is broadcast; each Arrow block of rows is multiplied
-with all of them at once, keeps its k best for each query, and only those are shuffled to the final ranking.
-The inverted-file form assigns every row to its nearest centroid and probes few lists for each query.
+Queries are taken in batches that are broadcast; each Arrow block of rows is multiplied with a chunk of
+them at a time, keeps its k best for each query, and only those are shuffled to the final ranking.
+The inverted-file form assigns every row to its nearest centroid, of which there are about the square root of the number of
+rows, and probes a share of the lists for each query; blocks of a list meet the queries that probe it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.operators.blocks import CHUNK, ROWS, batches_of, best_of_block, result
 from textquarry.operators.bm25 import top
 
-#: Vectors of one batch of queries; larger sets are split by the caller.
-QUERIES_MOST = 50_000
-#: Rows of a block that is multiplied at once.
-ROWS = 2048
-
 
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one; zero vectors stay zero."""
@@ -26,48 +25,47 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def stacked(vectors: list) -> np.ndarray:
-    return np.array(vectors, np.float64).reshape(len(vectors), -1) if vectors else np.zeros((0, 1))
-
-
 def matrix(column: pa.Array) -> np.ndarray:
-    return stacked(column.to_pylist())
+    """Vectors of one length as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def best_of_block(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of sims, places of the k best by (score, id)."""
-    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-    return order, np.take_along_axis(sims, order, 1)
+def asked_vectors(queries: DataFrame, query_id: str, query_vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of one batch of queries."""
+    batch = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vector).alias("v")).where("v is not null").toArrow()
+    return batch.column("qid").to_numpy(), unit(matrix(batch.column("v").combine_chunks()))
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "qid", query_vector: str = "vector", condition=None, least: float | None = None) -> DataFrame:
     """qid, id, score (cosine, rounded to six places), rank. condition is a filter on rows, applied before the search. Null vectors are left out."""
-    batch = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("v")).where("v is not null").limit(QUERIES_MOST + 1).toPandas()
-    if len(batch) > QUERIES_MOST:
-        raise ValueError(f"more than {QUERIES_MOST} queries; split them")
-    qids, q = batch["qid"].to_numpy(np.int64), unit(stacked(batch["v"].tolist()))
-    held = rows.sparkSession.sparkContext.broadcast((qids, q))
+    source = rows.where(condition) if condition is not None else rows
+    source = source.select(F.col(id_col).cast("long"), F.col(vector_col)).where(F.col(vector_col).isNotNull())
+    parts = [_search(source, *asked_vectors(q, query_id, query_vector), k, least) for q in batches_of(queries, query_id)]
+    return top(reduce(DataFrame.unionByName, parts), k)
+
+
+def _search(source: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, least: float | None) -> DataFrame:
+    held = source.sparkSession.sparkContext.broadcast((qids, q))
 
     def run(batches):
         qids, q = held.value
         for b in batches:
             for at in range(0, b.num_rows if len(qids) else 0, ROWS):
                 part = b.slice(at, ROWS)
-                ids = np.array(part.column(0), np.int64)
-                sims = np.round(q @ unit(matrix(part.column(1))).T, 6) + 0.0
-                places, scores = best_of_block(ids, sims, k)
-                out = pa.record_batch([pa.array(np.repeat(qids, places.shape[1])), pa.array(ids[places].ravel()), pa.array(scores.ravel())], ["qid", "id", "score"])
-                yield out if least is None else out.filter(pa.array(scores.ravel() >= least))
+                ids, x = np.array(part.column(0), np.int64), unit(matrix(part.column(1)))
+                for low in range(0, len(qids), CHUNK):
+                    row, found, score = best_of_block(ids, np.round(q[low : low + CHUNK] @ x.T, 6) + 0.0, k)
+                    keep = slice(None) if least is None else score >= least
+                    yield result(qids[low : low + CHUNK], row[keep], found[keep], score[keep])
 
-    source = rows.where(condition) if condition is not None else rows
-    found = source.select(F.col(id_col).cast("long"), F.col(vector_col)).where(F.col(vector_col).isNotNull()).mapInArrow(run, "qid long, id long, score double")
-    return top(found, k)
+    return source.mapInArrow(run, "qid long, id long, score double")
 
 
 def centroids(rows: DataFrame, lists: int, vector_col: str = "embedding", most: int = 20_000, seed: int = 7, rounds: int = 15) -> np.ndarray:
     """Centres of spherical k-means, fitted on a sample of at most `most` rows drawn by hash."""
-    x = rows.select(F.col(vector_col).alias("v")).where("v is not null").orderBy(F.xxhash64("v")).limit(most).toPandas()["v"]
-    x = unit(stacked(x.tolist()))
+    x = rows.select(F.col(vector_col).alias("v")).where("v is not null").orderBy(F.xxhash64("v")).limit(most).toArrow()["v"].combine_chunks()
+    x = unit(matrix(x))
     c = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
     for _ in range(rounds):
         near = (x @ c.T).argmax(1)
@@ -75,23 +73,34 @@ def centroids(rows: DataFrame, lists: int, vector_col: str = "embedding", most:
     return c
 
 
-def ivf_search(rows: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 12, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "qid", query_vector: str = "vector") -> DataFrame:
-    """As search, but each query looks only into the lists of its nearest centroids; every row is in one list, and lists are met by an equality join."""
-    c = centroids(rows, lists, vector_col)
+def ivf_search(rows: DataFrame, queries: DataFrame, k: int, lists: int | None = None, share: float = 0.7, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "qid", query_vector: str = "vector") -> DataFrame:
+    """As search, but each query meets only the rows of the lists of its nearest centroids: a share of all lists, whose number is about the square root of that of the rows unless it is given. Every row is in one list."""
+    count = rows.where(F.col(vector_col).isNotNull()).count()
+    c = centroids(rows, lists or int(np.clip(np.sqrt(count), 1, 4096)), vector_col)
+    probes = max(1, int(np.ceil(share * len(c))))
+    source = rows.select(F.col(id_col).cast("long"), F.col(vector_col)).where(F.col(vector_col).isNotNull())
+
+    def found(part: DataFrame) -> DataFrame:
+        qids, q = asked_vectors(part, query_id, query_vector)
+        near = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes] if len(qids) else np.zeros((0, 1), np.int64)
+        probed = np.zeros((len(c), len(qids)), bool)
+        probed[near.ravel(), np.repeat(np.arange(len(qids)), near.shape[1])] = True
+        held = rows.sparkSession.sparkContext.broadcast((c, qids, q, probed))
 
-    def assign(n: int):
         def run(batches):
+            c, qids, q, probed = held.value
             for b in batches:
-                if b.num_rows and len(c):
-                    near = np.argsort(-(unit(matrix(b.column(1))) @ c.T), axis=1, kind="stable")[:, :n]
-                    yield pa.record_batch([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))), b.column(1).take(pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))), pa.array(near.ravel())], ["id", "v", "list"])
-
-        return run
-
-    schema = "id long, v array<float>, list long"
-    placed = rows.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<float>")).where(F.col(vector_col).isNotNull()).mapInArrow(assign(1), schema)
-    asked = queries.select(F.col(query_id).cast("long"), F.col(query_vector).cast("array<float>")).mapInArrow(assign(probes), schema)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    pairs = asked.select(F.col("id").alias("qid"), F.col("v").alias("q"), "list").join(placed, "list")
-    return top(pairs.select("qid", "id", F.round(dot(F.col("q"), F.col("v")) / (norm(F.col("q")) * norm(F.col("v"))), 6).alias("score")), k)
+                if not b.num_rows or not len(qids):
+                    continue
+                ids, x = np.array(b.column(0), np.int64), unit(matrix(b.column(1)))
+                own = (x @ c.T).argmax(1)
+                for at in np.unique(own):  # rows of one list with the queries that probe it
+                    mine = np.flatnonzero(own == at)
+                    for low in range(0, int(probed[at].sum()), CHUNK):
+                        who = np.flatnonzero(probed[at])[low : low + CHUNK]
+                        row, got, score = best_of_block(ids[mine], np.round(q[who] @ x[mine].T, 6) + 0.0, k)
+                        yield result(qids[who], row, got, score)
+
+        return source.mapInArrow(run, "qid long, id long, score double")
+
+    return top(reduce(DataFrame.unionByName, map(found, batches_of(queries, query_id))), k)

@@ -52,9 +52,8 @@ def rate_minute(spark, d):
 
 
 def rate_fixed(spark, d):
-    """Calls in aligned windows of an hour by client; those with two or more."""
-    by = log(spark, d).groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
-    return by.where("n >= 2")
+    """Calls in aligned windows of a minute by client."""
+    return log(spark, d).groupBy("user_id", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("n"))
 
 
 def rolling_failure(spark, d):
@@ -96,9 +95,9 @@ def trending_window(spark, d):
 
 
 def query_frequency(spark, d):
-    """How often each lower-cased first word is said by users."""
+    """How often each lower-cased message is sent by users."""
     t = table(spark, d, "conversations").where("role = 'user'")
-    return t.groupBy(F.lower(F.split("text", " ")[0]).alias("query")).agg(F.count("*").alias("n")).where("n >= 2")
+    return t.groupBy(F.lower("text").alias("query")).agg(F.count("*").alias("n"))
 
 
 def error_labels(spark, d):
@@ -225,7 +224,7 @@ ORACLES = {
     "audit_retention": "SELECT ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY AS kept, count(*) AS n, min(ts) AS oldest FROM events GROUP BY 1",
     "rate_minute": """WITH c AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '59.999999 seconds' PRECEDING AND CURRENT ROW) - 1 AS last_minute, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) - 1 AS last_hour FROM events)
       SELECT *, last_minute >= 2 OR last_hour >= 4 AS blocked FROM c""",
-    "rate_fixed": "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 2",
+    "rate_fixed": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2",
     "rolling_failure": "SELECT event_id, round(avg((event_type = 'error')::INT::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS failure_rate FROM events",
     "latency_quantiles": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(count_if(value > 20) / count(*)::DOUBLE, 6) AS slow_rate FROM events GROUP BY 1",
     "metric_histogram": f"WITH b AS (SELECT unnest([{', '.join(map(str, BOUNDS))}, 1e308]::DOUBLE[]) AS b, unnest(range(0, {len(BOUNDS) + 1})) AS i) SELECT event_type AS label, i AS bucket, count(*) AS n FROM events JOIN b ON value <= b GROUP BY 1, 2",
@@ -233,7 +232,7 @@ ORACLES = {
     "metric_totals": "SELECT event_type, count(*) AS requests, round(sum(value), 4) AS total, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY 1",
     "trending_window": """WITH b AS (SELECT date_trunc('day', ts) AS day, event_type, round(sum(pow(0.95, (epoch(date_trunc('day', ts))::BIGINT + 86400 - floor(epoch(ts))::BIGINT) / 3600.0)), 6) AS score FROM events GROUP BY 1, 2 HAVING score >= 2)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, event_type) AS rank FROM b) WHERE rank <= 3""",
-    "query_frequency": "SELECT lower(string_split(text, ' ')[1]) AS query, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1 HAVING count(*) >= 2",
+    "query_frequency": "SELECT lower(text) AS query, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
     "error_labels": f"""SELECT CASE {_K}::INT % 6 WHEN 0 THEN 'warning' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' WHEN 3 THEN 'error' WHEN 4 THEN 'warning' ELSE 'error' END AS severity, CASE {_K}::INT % 6 WHEN 0 THEN 'connection' WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'authentication' WHEN 3 THEN 'invalid_request' WHEN 4 THEN 'server_error' ELSE 'unknown' END AS type,
       {_K}::INT % 6 IN (0, 1, 4) AS retryable, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2, 3""",
     "conv_context": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, role, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 4",

@@ -9,9 +9,9 @@ from textquarry.plans.retrieval import TOP, lexical, lexical_sql, semantic, tabl
 from textquarry.sources import reports
 
 
-def results(spark, d):
-    """Lexical hits with the metadata of their documents."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.concat(F.col("source"), F.lit(", "), F.col("lang")).alias("authors"), F.concat((F.lit(2000) + F.col("doc_id") % 25).cast("string"), F.lit("-01-02")).alias("published"), F.concat(F.lit("http://x/"), F.col("doc_id")).alias("link"), F.substring("text", 1, 300).alias("text"))
+def results(spark, d, excerpt: int = 300):
+    """Lexical hits with the metadata of their documents and the beginning of their texts."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), F.concat(F.col("source"), F.lit(", "), F.col("lang")).alias("authors"), F.concat((F.lit(2000) + F.col("doc_id") % 25).cast("string"), F.lit("-01-02")).alias("published"), F.concat(F.lit("http://x/"), F.col("doc_id")).alias("link"), F.substring("text", 1, excerpt).alias("text"))
     return lexical(spark, d, 5).join(docs, "id").withColumnRenamed("id", "doc_id")
 
 
@@ -28,9 +28,13 @@ def context_strings(spark, d):
     return reports.contexts(results(spark, d))
 
 
+#: Characters of a source, and of all sources, in a prompt.
+EACH, WHOLE = 2000, 32_000
+
+
 def prompts(spark, d):
-    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 80).alias("question"))
-    return reports.prompts(reports.bounded_contexts(results(spark, d), 100, 400), questions)
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return reports.prompts(reports.bounded_contexts(results(spark, d, EACH), EACH, WHOLE), questions)
 
 
 def export_csv(spark, d):
@@ -126,7 +130,7 @@ ORACLES = {
     "citations": f"WITH {_RES} SELECT qid, rank, {', '.join(f'{_style(t)} AS {chr(34)}{s}{chr(34)}' for s, t in reports.STYLES.items())} FROM re",
     "bibtex": f"WITH {_RES} SELECT qid, rank, '@article{{' || trim(string_split(authors, ',')[1]) || substring(published, 1, 4) || doc_id || ',' || chr(10) || '  title={{{{' || title || '}}}},' || chr(10) || '  author={{{{' || authors || '}}}},' || chr(10) || '  journal={{{{arXiv preprint arXiv:' || doc_id || '}}}},' || chr(10) || '  year={{{{' || substring(published, 1, 4) || '}}}},' || chr(10) || '}}' || chr(10) AS entry FROM re".replace("{{{{", "{{").replace("}}}}", "}}").replace("'}}' || chr(10) AS", "'}' || chr(10) AS").replace("@article{{'", "@article{'"),
     "context_strings": f"WITH {_RES} {_JOIN.format(line='''concat('[', rank, '] ', title, chr(10), 'SOURCE: ', link, chr(10), 'EXCERPT: ', text, chr(10))''', sep='chr(10)')}",
-    "prompts": f"WITH {_RES}, c AS ({_JOIN.format(line='''concat('[', rank, '] ', title, chr(10), substring(text, 1, 100), chr(10))''', sep='chr(10)')}), d AS (SELECT qid, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || chr(10) || '...(truncated)' ELSE text END AS text FROM c) SELECT qid, 'Answer the question from the numbered sources below and cite them by number.' || chr(10) || chr(10) || 'Question: ' || substring(b.text, 1, 80) || chr(10) || chr(10) || 'Sources:' || chr(10) || d.text || chr(10) || 'Answer:' AS prompt FROM d JOIN benchmark b ON item_id = qid",
+    "prompts": f"WITH {_RES.replace('substring(text, 1, 300)', 'substring(text, 1, 2000)')}, c AS ({_JOIN.format(line='''concat('[', rank, '] ', title, chr(10), substring(text, 1, 2000), chr(10))''', sep='chr(10)')}), d AS (SELECT qid, CASE WHEN length(text) > 32000 THEN substring(text, 1, 32000) || chr(10) || '...(truncated)' ELSE text END AS text FROM c) SELECT qid, 'Answer the question from the numbered sources below and cite them by number.' || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || chr(10) || 'Sources:' || chr(10) || d.text || chr(10) || 'Answer:' AS prompt FROM d JOIN benchmark b ON item_id = qid",
     "export_csv": f"WITH {_RES} SELECT qid, rank, title, authors, substring(published, 1, 4) AS year, link, score FROM re",
     "export_markdown": f"WITH {_RES}, c AS ({_JOIN.format(line='''concat(rank, '. **', title, '** - ', authors, ' (', substring(published, 1, 4), ')  ', chr(10), '   <', link, '>')''', sep='chr(10)')}) SELECT qid, '# Results' || chr(10) || chr(10) || text || chr(10) AS text FROM c",
     "export_audit": "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE (user_id % 2 = 0)::VARCHAR END, '') AS success FROM events",

@@ -121,11 +121,17 @@ def vector_topk_filtered(spark, d):
     return ranked(semantic(spark, d, TOP, condition="label between 1 and 3"))
 
 
+#: Similarity from which a stored answer serves another question.
+SAME = 0.85
+
+
 def semantic_near_dupes(spark, d):
-    """Questions that another question's answer could serve: the best other one of a similarity of 0.25 or more."""
-    q = asked(spark, d)
-    found = vectors.search(q, q, 2, id_col="qid", vector_col="vector").where("qid != id and score >= 0.25")
-    return found.groupBy("qid").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("match_id"), F.max("score").alias("score"))
+    """Stored vectors that could serve others: for every row whose id is divisible by 100 the best other row of all, and whether it is similar enough."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    found = vectors.search(e, q, 2).where("qid != id")
+    best = found.groupBy("qid").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("match_id"), F.max("score").alias("score"))
+    return best.withColumn("same", F.col("score") >= SAME)
 
 
 def hybrid_rrf_alpha(spark, d):
@@ -185,10 +191,10 @@ def norm_zscore(spark, d):
 
 
 def norm_combine(spark, d):
-    """Semantic hits with their own keyword scores, however far down the keyword list they are. (The SQL cuts that list at 400.)"""
+    """Semantic hits with their own keyword scores, however far down the keyword list they are."""
     near = semantic(spark, d, 4 * TOP)
     index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
-    own = bm25.score(index, bm25.query_terms(table(spark, d, "benchmark"), "item_id", "text"), pairs=near)
+    own = bm25.score(index, bm25.query_terms(table(spark, d, "benchmark"), "item_id", "text"), near)
     both = near.join(own.select("qid", "id", F.col("score").alias("keyword_score")), ["qid", "id"], "left").na.fill(0.0, ["keyword_score"])
     return both.select("qid", F.col("id").alias("doc_id"), F.round(fusion.combined(both, "score", "keyword_score"), 6).alias("score"))
 
@@ -250,14 +256,14 @@ OKAPI = dict(tokens=CLEAN, variant="okapi", k1=1.5)
 RRF = "SELECT qid, id, round(sum(w / (60.0 + rank)), 6) AS score FROM ({src}) GROUP BY qid, id"
 ORACLES = {
     "tokenize_counts": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM (SELECT doc_id, {WORDS.format(t='text')} AS t FROM documents)",
-    "postings_df_idf": f"WITH {lexical_sql(TOP)} SELECT term, df, round(idf, 6) AS idf FROM te JOIN idf USING (term)",
+    "postings_df_idf": f"WITH {lexical_sql(TOP).split('qt AS')[0].rstrip().rstrip(',')} SELECT term, df, round(idf, 6) AS idf FROM te JOIN idf USING (term)",
     "bm25_floor_topk": f"WITH {lexical_sql(TOP)} {OUT.format(t='lex')}",
     **{f"bm25_{v}_topk": f"WITH {lexical_sql(TOP, CLEAN, v, 1.5)} {OUT.format(t='lex')}" for v in ("okapi", "l", "plus")},
     "bm25_subset": f"WITH {lexical_sql(TOP, **OKAPI, keep='''id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3'))''')} {OUT.format(t='lex')}",
     "vector_topk": f"WITH {semantic_sql(TOP)} {OUT.format(t='sem')}",
     "vector_topk_filtered": f"WITH {semantic_sql(TOP, 'label BETWEEN 1 AND 3')} {OUT.format(t='sem')}",
-    "semantic_near_dupes": f"""WITH {semantic_sql(TOP)}, o AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM sv WHERE id IN (SELECT qid FROM qv))
-      SELECT qid, id AS match_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r2 FROM o WHERE r <= 2 AND qid <> id AND score >= 0.25) WHERE r2 = 1""",
+    "semantic_near_dupes": f"""WITH {semantic_sql(TOP).replace('FROM benchmark JOIN embeddings ON item_id = vec_id', 'FROM embeddings WHERE vec_id % 100 = 0').replace('SELECT item_id AS qid', 'SELECT vec_id AS qid')},
+      o AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM sv WHERE qid <> id) SELECT qid, id AS match_id, score, score >= {SAME} AS same FROM o WHERE r = 1""",
     "hybrid_rrf_alpha": final_sql(f"{semantic_sql(K2)}, {lexical_sql(K2)}", RRF.format(src=f"SELECT *, CASE list_no WHEN 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w FROM ({BOTH})")),
     "hybrid_rrf_weighted": final_sql(f"{semantic_sql(K2)}, {lexical_sql(K2, **OKAPI)}", RRF.format(src=f"SELECT *, 0.5::DOUBLE AS w FROM ({BOTH})")),
     "hybrid_maxnorm": final_sql(f"{semantic_sql(K4)}, {lexical_sql(K4, **PACKAGE)}, nl AS (SELECT qid, id, score / greatest(max(score) OVER (PARTITION BY qid), 0.001) AS l FROM lex)", "SELECT qid, id, round(0.7::DOUBLE * score + (1 - 0.7::DOUBLE) * coalesce(l, 0), 8) AS score FROM sem LEFT JOIN nl USING (qid, id)"),
@@ -269,7 +275,7 @@ ORACLES = {
     "ensemble_flattened": final_sql(three_sql(), RRF.format(src="SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY list_no, rank, id) AS rank, 1.0::DOUBLE AS w FROM sem3")),
     "norm_minmax": f"WITH {lexical_sql(TOP)} SELECT qid, id AS doc_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM lex WINDOW w AS (PARTITION BY qid)",
     "norm_zscore": f"WITH {lexical_sql(TOP)} SELECT qid, id AS doc_id, round(CASE WHEN count(*) OVER w < 2 THEN 1.0 WHEN stddev_pop(score) OVER w < 1e-12 THEN 0.0 ELSE (score - avg(score) OVER w) / stddev_pop(score) OVER w END, 6) AS score FROM lex WINDOW w AS (PARTITION BY qid)",
-    "norm_combine": f"""WITH {semantic_sql(K4)}, {lexical_sql(40 * TOP)}, j AS (SELECT s.qid, s.id, s.score AS a, coalesce(l.score, 0) AS b FROM sem s LEFT JOIN lex l USING (qid, id))
+    "norm_combine": f"""WITH {semantic_sql(K4)}, {lexical_sql(TOP)}, j AS (SELECT s.qid, s.id, s.score AS a, greatest(coalesce(l.score, 0), 0) AS b FROM sem s LEFT JOIN sc l USING (qid, id))
       SELECT qid, id AS doc_id, round(0.7::DOUBLE * CASE WHEN max(a) OVER w = min(a) OVER w THEN 0 ELSE (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) END + (1 - 0.7::DOUBLE) * CASE WHEN max(b) OVER w = min(b) OVER w THEN 0 ELSE (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) END, 6) AS score FROM j WINDOW w AS (PARTITION BY qid)""",
     "low_quality_flag": f"WITH {semantic_sql(K2)} SELECT qid, max(score) AS top_score, count(*) AS n_candidates, max(score) < 0.3 AS low_quality FROM sem WHERE qid <> id GROUP BY qid",
 }

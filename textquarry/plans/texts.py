@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import expand, screen
 from textquarry.functions.text import cache_key, fixed_chunks, normalised, token_estimate
 from textquarry.operators import suggest
+from textquarry.operators.storage import written
 from textquarry.plans.retrieval import table
 
 
@@ -58,7 +59,7 @@ def query_templates(spark, d):
 
 
 def vocab_freq(spark, d):
-    return suggest.vocabulary(table(spark, d, "documents"), "text").where("df >= 3")
+    return suggest.vocabulary(table(spark, d, "documents"), "text")
 
 
 def _prefixes(spark, d):
@@ -67,7 +68,7 @@ def _prefixes(spark, d):
 
 
 def _vocab(spark, d):
-    return suggest.scored(vocab_freq(spark, d))
+    return written(suggest.scored(vocab_freq(spark, d)), "vocabulary")
 
 
 def suggest_prefix(spark, d):
@@ -94,7 +95,7 @@ def screen_threats(spark, d):
 def screen_injection(spark, d):
     """Matches in web pages."""
     out = _pages(spark, d).select("page_id", screen.injections(F.col("html")).alias("t"))
-    return out.select("page_id", F.size("t").cast("long").alias("n_found"), F.array_join(F.slice("t", 1, 5), "|").alias("first_found"))
+    return out.select("page_id", F.size("t").cast("long").alias("n_found"), F.array_join("t", "|").alias("found"))
 
 
 def screen_rules(spark, d):
@@ -146,7 +147,7 @@ def _expanded(q: str, both: bool) -> str:
 
 _VOCAB = """w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_matches(x, '^[a-z]{3,}$')) AS w FROM documents),
 ph AS (SELECT doc_id, unnest(list_distinct(w || list_filter([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))] || [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)], lambda p: length(p) >= 5))) AS term FROM w),
-vo AS (SELECT term, count(*) AS df FROM ph GROUP BY term HAVING count(*) >= 3),
+vo AS (SELECT term, count(*) AS df FROM ph GROUP BY term),
 vs AS (SELECT term, df, round(least(df / 100, 1.0::DOUBLE) * 0.5::DOUBLE + CASE WHEN length(term) BETWEEN 3 AND 20 THEN 0.1::DOUBLE WHEN length(term) BETWEEN 21 AND 40 THEN 0.05::DOUBLE ELSE 0 END, 6) AS score FROM vo),
 pr AS (SELECT DISTINCT substring(regexp_extract(lower(text), '[a-z]{3,}'), 1, 4) AS prefix FROM benchmark WHERE length(regexp_extract(lower(text), '[a-z]{3,}')) >= 3),
 f0 AS (SELECT prefix, term, score FROM pr, vs WHERE starts_with(term, prefix) AND term <> prefix),
@@ -178,7 +179,7 @@ ORACLES = {
     "suggest_fuzzy": f"WITH {_VOCAB} SELECT prefix, term, score, rank FROM {_best('f1', 5)}",
     "suggest_all": f"WITH {_VOCAB}, a AS (SELECT *, 0 AS stage FROM {_best('f0', 8)} UNION ALL SELECT *, 1 FROM {_best('f1', 8)} UNION ALL SELECT *, 2 FROM {_best('f2', 8)}), o AS (SELECT *, row_number() OVER (PARTITION BY prefix, term ORDER BY stage, rank) AS r FROM a), p AS (SELECT prefix, term, score FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY stage, rank) AS r2 FROM o WHERE r = 1) WHERE r2 <= 8) SELECT prefix, term, score, rank FROM {_best('p', 8)}",
     "screen_threats": "SELECT doc_id, t AS threats FROM (SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {_lit(p)}) THEN {_lit(k)} END" for k, p in _T.items()) + "], lambda x: x IS NOT NULL), ',') AS t FROM documents) WHERE t <> ''",
-    "screen_injection": f"WITH m AS (SELECT page_id, regexp_extract_all(html, {_INJ}) AS a FROM pages), z AS (SELECT page_id, unnest(a) AS x, unnest(range(0, len(a))) AS i FROM m), u AS (SELECT page_id, x, min(i) AS i FROM z GROUP BY page_id, x), r AS (SELECT page_id, count(*) AS n, array_to_string(list_slice(list(x ORDER BY i), 1, 5), '|') AS f FROM u GROUP BY page_id) SELECT page_id, coalesce(n, 0) AS n_found, coalesce(f, '') AS first_found FROM pages LEFT JOIN r USING (page_id)",
+    "screen_injection": f"WITH m AS (SELECT page_id, regexp_extract_all(html, {_INJ}) AS a FROM pages), z AS (SELECT page_id, unnest(a) AS x, unnest(range(0, len(a))) AS i FROM m), u AS (SELECT page_id, x, min(i) AS i FROM z GROUP BY page_id, x), r AS (SELECT page_id, count(*) AS n, array_to_string(list(x ORDER BY i), '|') AS f FROM u GROUP BY page_id) SELECT page_id, coalesce(n, 0) AS n_found, coalesce(f, '') AS found FROM pages LEFT JOIN r USING (page_id)",
     "screen_rules": f"SELECT doc_id, array_to_string({_P}, ',') AS problems FROM documents",
     "sanitize_text": f"SELECT page_id, md5({_SAN}) AS digest, length({_SAN}) AS n FROM pages",
     "text_keys": "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n, length(text) / 4.0::DOUBLE AS tokens, 'q:' || md5(lang || ':' || source || ':' || text) AS key FROM documents",
