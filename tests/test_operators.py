@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import expand, screen
 from textquarry.functions.text import fixed_chunks
-from textquarry.operators import alerts, bm25, fusion, logs, models, repository, talks, vectors
+from textquarry.operators import alerts, blocks, bm25, fusion, logs, models, repository, talks, vectors
 from textquarry.sources import feeds, reports
 from textquarry.streaming import jobs
 
@@ -123,18 +123,14 @@ def test_suspicious_thresholds(spark):
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False}
 
 
-def test_alerts(spark):
+def test_alerts(spark, monkeypatch):
     a = spark.createDataFrame([(1, [], [], []), (2, ["Nothing"], [], []), (3, ["WORD"], ["x"], ["b"]), (4, [], ["y"], [])], "alert_id long, keywords array<string>, categories array<string>, authors array<string>")
     p = spark.createDataFrame([(10, "A word", None, ["x"], ["a", "b"]), (11, None, "other", ["x", "x"], ["a"])], "paper_id long, title string, summary string, categories array<string>, authors array<string>")
     a = a.union(spark.createDataFrame([(5, [], [], ["b"]), (6, ["ord", "zzz"], [], []), (7, ["or"], [], ["a"])], a.schema))
     want = [(1, 10), (1, 11), (3, 10), (5, 10), (6, 10), (7, 10)]
     assert sorted(map(tuple, alerts.matches(a, p).collect())) == want
-    most = alerts.ALERTS_MOST
-    try:
-        alerts.ALERTS_MOST = 3
-        assert sorted(map(tuple, alerts.matches(a, p).collect())) == want
-    finally:
-        alerts.ALERTS_MOST = most
+    monkeypatch.setattr(blocks, "BATCH", 1)  # in several passes
+    assert sorted(map(tuple, alerts.matches(a, p).collect())) == want
 
 
 def test_repository_forms(spark):

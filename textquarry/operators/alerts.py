@@ -1,50 +1,77 @@
 """Alerts: which papers match which standing searches.
 
-An alert has alert_id, keywords, categories and authors (arrays). An empty list matches everything. Alerts with
-categories are joined by category first, so that only the rest meets every paper; both sides are then tested in full.
-Alerts are a stated set of standing queries: broadcast while they are at most ALERTS_MOST, met by equality joins beyond that.
+An alert has alert_id, keywords, categories and authors (arrays). An empty list matches everything. All keywords of a batch of
+alerts are looked for in one pass over each text; alerts then meet papers by equality only: on a keyword that was found, on a
+category or on an author. Alerts that ask for nothing match every paper.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALERTS_MOST = 100_000
-#: Letters of a keyword that larger sets of alerts are joined on.
-GRAM = 3
+from textquarry.operators.blocks import batches_of
+from textquarry.operators.storage import spread
+
+
+def finder(words: list[str]) -> Callable[[str], set[str]]:
+    """The words that a text holds, found in one pass."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {w for w in words if w in text}
+    tree = ahocorasick.Automaton()
+    for w in filter(None, words):
+        tree.add_word(w, w)
+    tree.make_automaton()
+    always = {w for w in words if not w}
+    return lambda text: always | ({w for _, w in tree.iter(text)} if len(tree) else set())
+
+
+def found_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """paper_id and keyword for each word (column keyword, lower case) that a text (paper_id, low) holds."""
+
+    def one(part: DataFrame) -> DataFrame:
+        held = texts.sparkSession.sparkContext.broadcast([r["keyword"] for r in part.select("keyword").distinct().collect()])  # one batch
+
+        def run(batches):
+            find = finder(held.value)
+            for b in batches:
+                hits = [sorted(find(t)) for t in b.column(1).to_pylist()]
+                of = [i for i, h in enumerate(hits) for _ in h]
+                yield pa.record_batch([b.column(0).take(pa.array(of, pa.int64())), pa.array([w for h in hits for w in h], pa.string())], ["paper_id", "keyword"])
+
+        return texts.mapInArrow(run, texts.select("paper_id").withColumn("keyword", F.lit("")).schema)
+
+    return reduce(DataFrame.unionByName, map(one, batches_of(words, "keyword")))
 
 
 def matches(alerts: DataFrame, papers: DataFrame) -> DataFrame:
     """alert_id and paper_id of each match; papers have paper_id, title, summary, categories, authors."""
-    text = F.lower(F.concat_ws(" ", "title", "summary"))
-    any_of = lambda mine, test: (F.size(mine) == 0) | test
-    words: Column = any_of("keywords", F.exists("keywords", lambda k: F.contains(F.col("low"), F.lower(k))))
-    people = any_of("alert_authors", F.arrays_overlap("alert_authors", "authors"))
-    asked = alerts.select("alert_id", "keywords", "categories", F.col("authors").alias("alert_authors"))
-    rows = papers.select("paper_id", F.col("categories").alias("paper_categories"), "authors", text.alias("low"))
-    few = asked.limit(ALERTS_MOST + 1).count() <= ALERTS_MOST
-    hint = F.broadcast if few else lambda df: df
-
-    limited = asked.where(F.size("categories") > 0).withColumn("category", F.explode(F.array_distinct("categories")))
-    first = rows.withColumn("category", F.explode(F.array_distinct("paper_categories"))).join(hint(limited), "category")
-    found = first.where(words & people).select("alert_id", "paper_id").distinct()
-    open_ = asked.where(F.size("categories") == 0)
-    if few:
-        return found.unionByName(rows.join(F.broadcast(open_), words & people).select("alert_id", "paper_id"))
-
-    # Beyond the bound, alerts meet papers by equality: on the first letters of a keyword, or on an author.
-    short = F.exists("keywords", lambda k: F.length(k) < GRAM)
-    by_word = open_.where((F.size("keywords") > 0) & ~short).withColumn("gram", F.explode(F.transform("keywords", lambda k: F.substring(F.lower(k), 1, GRAM))))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(GRAM))))
-    second = rows.withColumn("gram", F.explode(grams)).join(by_word, "gram").where(words & people).select("alert_id", "paper_id").distinct()
-    by_author = open_.where((F.size("keywords") == 0) & (F.size("alert_authors") > 0)).withColumn("author", F.explode(F.array_distinct("alert_authors")))
-    third = rows.withColumn("author", F.explode(F.array_distinct("authors"))).join(by_author, "author").select("alert_id", "paper_id").distinct()
-    rest = open_.where(short | ((F.size("keywords") == 0) & (F.size("alert_authors") == 0)))
-    if rest.limit(ALERTS_MOST + 1).count() > ALERTS_MOST:
-        raise ValueError("too many alerts without a keyword of three letters, a category or an author")
-    fourth = rows.join(F.broadcast(rest), words & people).select("alert_id", "paper_id")
-    return found.unionByName(second).unionByName(third).unionByName(fourth)
+    asked = alerts.select("alert_id", "keywords", F.col("categories").alias("alert_categories"), F.col("authors").alias("alert_authors"))
+    texts = spread(papers.select("paper_id", F.coalesce(F.lower(F.concat_ws(" ", "title", "summary")), F.lit("")).alias("low")))
+    rows = papers.select("paper_id", "categories", "authors")
+    fits = lambda mine, theirs: (F.size(mine) == 0) | F.coalesce(F.arrays_overlap(mine, theirs), F.lit(False))
+    rest = fits("alert_categories", "categories") & fits("alert_authors", "authors")
+
+    keyed = asked.select("alert_id", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("keyword"))
+    by_word = found_words(texts, keyed).join(keyed, "keyword").select("alert_id", "paper_id").distinct()
+    first = by_word.join(asked, "alert_id").join(rows, "paper_id").where(rest)
+
+    open_ = asked.where(F.size("keywords") == 0)
+    by_category = open_.where(F.size("alert_categories") > 0).withColumn("c", F.explode(F.array_distinct("alert_categories")))
+    second = rows.withColumn("c", F.explode(F.array_distinct("categories"))).join(by_category, "c").where(rest)
+    open_ = open_.where(F.size("alert_categories") == 0)
+    by_author = open_.where(F.size("alert_authors") > 0).withColumn("a", F.explode(F.array_distinct("alert_authors")))
+    third = rows.withColumn("a", F.explode(F.array_distinct("authors"))).join(by_author, "a")
+    pairs = first.select("alert_id", "paper_id").unionByName(second.select("alert_id", "paper_id").distinct()).unionByName(third.select("alert_id", "paper_id").distinct())
+    for part in batches_of(open_.where(F.size("alert_authors") == 0), "alert_id"):  # the result itself is all pairs here
+        pairs = pairs.unionByName(rows.select("paper_id").crossJoin(F.broadcast(part.select("alert_id"))).select("alert_id", "paper_id"))
+    return pairs
 
 
 def events(found: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.text import blank_tokens, clean_tokens, word_tokens
 from textquarry.operators.blocks import CHUNK, ROWS, batches_of, best_of_block, result
-from textquarry.operators.storage import written
+from textquarry.operators.storage import spread, written
 
 
 @dataclass(frozen=True)
@@ -37,8 +37,8 @@ class Index:
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column] = word_tokens) -> Index:
     """Writes the index. Null texts have no terms but count as documents."""
-    each = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
-    return _index(written(each, "tokens"))
+    texts = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return _index(written(texts.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens")), "tokens"))
 
 
 def _index(each: DataFrame) -> Index:

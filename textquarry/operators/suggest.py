@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import word_tokens
+from textquarry.operators.storage import spread
 
 
 def phrases(text: Column) -> Column:
@@ -20,7 +21,7 @@ def phrases(text: Column) -> Column:
 
 def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
     """term and df; a document counts a term once."""
-    return docs.select(F.explode(phrases(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return spread(docs.select(text_col)).select(F.explode(phrases(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def scored(vocab: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -68,7 +69,7 @@ def fuzzy(vocab: DataFrame, prefixes: DataFrame, k: int, most: int = 2) -> DataF
 def related(vocab: DataFrame, prefixes: DataFrame, k: int) -> DataFrame:
     """Phrases that share a word with a prefix, at 0.6 of their score."""
     words = lambda df, c: df.withColumn("word", F.explode(F.array_distinct(F.split(c, " "))))
-    pairs = words(prefixes, "prefix").join(words(vocab, "term"), "word").select("prefix", "term", "score").distinct().where("term != prefix")
+    pairs = words(vocab, "term").join(F.broadcast(words(prefixes, "prefix")), "word")  # a stated batch of prefixes.select("prefix", "term", "score").distinct().where("term != prefix")
     return _best(pairs.select("prefix", "term", F.round(F.col("score") * 0.6, 6).alias("score")), k)
 
 

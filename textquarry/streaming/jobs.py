@@ -6,14 +6,18 @@ dropped, except by ingest, which has none. State of the two exact forms is kept
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.operators import alerts, logs, repository
+from textquarry.operators import logs, repository
+from textquarry.operators.blocks import batches_of
 
 
 def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
@@ -49,9 +53,8 @@ def alert_stream(papers: DataFrame, standing: DataFrame, ts: str = "ts", late: s
     low = F.lower(F.concat_ws(" ", "title", "summary"))
     asked = standing.select("alert_id", "keywords", F.col("categories").alias("c"), F.col("authors").alias("a"))
     test = ((F.size("keywords") == 0) | F.exists("keywords", lambda k: F.contains(low, F.lower(k)))) & ((F.size("c") == 0) | F.arrays_overlap("c", "categories")) & ((F.size("a") == 0) | F.arrays_overlap("a", "authors"))
-    if asked.count() > alerts.ALERTS_MOST:
-        raise ValueError("too many alerts to broadcast; match them in batches")
-    return once.join(F.broadcast(asked), test).select("alert_id", "paper_id", ts)
+    found = [once.join(F.broadcast(part), test).select("alert_id", "paper_id", ts) for part in batches_of(asked, "alert_id")]
+    return reduce(DataFrame.unionByName, found)
 
 
 def failed_logins(stream: DataFrame, window: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
@@ -75,13 +78,12 @@ def trending(stream: DataFrame, key: str, query: str, ts: str = "ts", window: in
     """Exact trends by key: scores of the last `window` queries; once that many are held, each arrival decays all scores, takes 1 from the oldest's and adds 1 to its own. Emits the leaders after each batch: key, query, score."""
 
     def step(k, frames, state):
-        held, scores = state.get if state.exists else ("", "")
-        queue = held.split("\x1f") if held else []
-        now = {a: float(b) for a, b in (x.split("\x1e") for x in scores.split("\x1f"))} if scores else {}
+        queue, now = map(json.loads, state.get) if state.exists else ([], {})
+        queue = deque(queue)
         rows = pd.concat(list(frames)).sort_values([ts, query], kind="stable")
         for q in rows[query]:
             queue, now = arrived(queue, now, q, window, decay)
-        state.update(("\x1f".join(queue), "\x1f".join(f"{a}\x1e{b!r}" for a, b in now.items())))
+        state.update((json.dumps(list(queue)), json.dumps(now)))
         top = leaders(now, most, least)
         yield pd.DataFrame({"key": [str(k[0])] * len(top), "query": [a for a, _ in top], "score": [b for _, b in top]})
 
@@ -89,15 +91,19 @@ def trending(stream: DataFrame, key: str, query: str, ts: str = "ts", window: in
     return rows.groupBy("k").applyInPandasWithState(step, "key string, query string, score double", "held string, scores string", "update", "NoTimeout")
 
 
-def arrived(queue: list[str], scores: dict[str, float], q: str, window: int, decay: float) -> tuple[list[str], dict[str, float]]:
-    """State after one more query."""
+def arrived(queue: deque, scores: dict[str, float], q: str, window: int, decay: float) -> tuple[deque, dict[str, float]]:
+    """State after one more query; both are changed in place."""
+    queue = queue if isinstance(queue, deque) else deque(queue)
     if len(queue) >= window:
-        oldest, *queue = queue
-        scores = {a: b * decay for a, b in scores.items()}
+        oldest = queue.popleft()
+        for a in scores:
+            scores[a] *= decay
         scores[oldest] = scores.get(oldest, 0.0) - 1
-        scores = {a: b for a, b in scores.items() if a != oldest or b > 0}
+        if scores[oldest] <= 0:
+            del scores[oldest]
     scores[q] = scores.get(q, 0.0) + 1
-    return [*queue, q], scores
+    queue.append(q)
+    return queue, scores
 
 
 def leaders(scores: dict[str, float], n: int, least: float) -> list[tuple[str, float]]:
@@ -118,15 +124,20 @@ def admitted(times: list[float], accepted: list[float], minute: int, hour: int)
     return out, accepted
 
 
-def rate_limit(stream: DataFrame, client: str = "user_id", ts: str = "ts", minute: int = 60, hour: int = 1000) -> DataFrame:
-    """Calls with admitted, by client: at most minute accepted ones within 60 s and hour within 3600 s before."""
+def rate_limit(stream: DataFrame, client: str = "user_id", ts: str = "ts", minute: int = 60, hour: int = 1000, late: str = "10 minutes") -> DataFrame:
+    """Calls with admitted, by client: at most minute accepted ones within 60 s and hour within 3600 s before. A client's state goes an hour after its last call, by event time."""
 
     def step(k, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values("t", kind="stable")
-        ok, held = admitted(rows["t"].tolist(), held, minute, hour)
+        t = rows["t"].astype("int64").to_numpy() / 1e6 if str(rows["t"].dtype).endswith("[us]") else rows["t"].map(lambda x: x.timestamp()).to_numpy()
+        ok, held = admitted(t.tolist(), held, minute, hour)
         state.update((held,))
-        yield pd.DataFrame({"client": [str(k[0])] * len(rows), "t": rows["t"].to_numpy(), "admitted": ok})
+        state.setTimeoutTimestamp(max(int(max(t) * 1000) + 3_600_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"client": [str(k[0])] * len(rows), "t": t, "admitted": ok})
 
-    rows = stream.select(F.col(client).cast("string").alias("client"), F.col(ts).cast("timestamp").cast("double").alias("t"))
-    return rows.groupBy("client").applyInPandasWithState(step, "client string, t double, admitted boolean", "held array<double>", "append", "NoTimeout")
+    rows = timed(stream, ts, late).select(F.col(client).cast("string").alias("client"), F.col(ts).alias("t"))
+    return rows.groupBy("client").applyInPandasWithState(step, "client string, t double, admitted boolean", "held array<double>", "append", "EventTimeTimeout")
