@@ -151,7 +151,7 @@ def test_blocks_find_all_links_of_a_bucket(spark):
     made = minhash_dedup.sketches(rows.select(F.col("node").alias("id"), F.lit(0).cast("long").alias("h"), "text"), 1, 5)
     nodes = made.select(F.col("id").alias("node"), "n", "sketch")
     open_ = nodes.select(F.lit(1).cast("long").alias("band"), "node", "n", F.col("node").alias("comp"), F.lit(4).cast("long").alias("blocks"))
-    found = minhash_dedup.verified(minhash_dedup.apart_links(open_, nodes, sets, 80), sets, 80, None).collect()
+    found = minhash_dedup.verified(minhash_dedup.apart_links(open_, sets, 80), sets, 80, None).collect()
     words = [set(t.split()) for t in texts]
     want = {(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(words[a] & words[b]) >= 80 * len(words[a] | words[b])}
     assert want and {(r["a"], r["b"]) for r in found} == want

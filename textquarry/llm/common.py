@@ -65,24 +65,22 @@ HOT = 1000
 SALTS = 64
 
 
-def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+def hot_keys(counts: DataFrame, key: str, n: str) -> list | None:
     """The keys of a table of counts that have at least one in HOT rows, HOT at most; None if there are none."""
     whole = counts.agg(F.sum(n).alias("s"), F.max(n).alias("m")).first()
     if not whole["s"] or whole["m"] * HOT < whole["s"] or whole["m"] < HOT:
         return None
-    found = counts.where(F.col(n) * HOT >= whole["s"]).select(key)
-    return found.sparkSession.createDataFrame(found.collect(), found.schema)  # HOT rows at most
+    found = counts.where(F.col(n) * HOT >= whole["s"]).select(key).collect()  # HOT rows at most
+    return [bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in found]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list | None, by: list[str], how: str = "inner") -> DataFrame:
     """left joined with right, which has a row for each key. Rows of a hot key are dealt over SALTS tasks by a hash of their columns by; right's row of it goes to each of these."""
     if hot is None:
         return left.join(right, key, how)
-    mark = F.broadcast(hot.select(key, F.lit(True).alias("is_hot")))
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    dealt = left.join(mark, key, "left").withColumn("salt", salt).drop("is_hot")
-    salts = F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    spread = right.join(mark, key, "left").withColumn("salt", salts).drop("is_hot")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    dealt = left.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    spread = right.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(spread, [key, "salt"], how).drop("salt")
 
 

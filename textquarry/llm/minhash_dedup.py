@@ -18,9 +18,9 @@ Keys with very many rows (a bucket, its smallest node, a group, equal sets) are
 several tasks. No group is expanded into all its pairs. In a first round each bucket's members
 are compared with its smallest node, in a second one those that are not yet
 connected with another member drawn by hash. Buckets that are then still not of one
-component are cut into blocks of bounded size. Sketches of two blocks meet in a task, which
-estimates; the sets of members with a likely partner follow, and their intersections
-are matrix products inside a task, from which only links come out. So no link between
+component are cut into blocks of bounded size; intersections of the sets of two blocks
+are matrix products inside a task, from which only pairs at the threshold come out, to be
+estimated and verified like all others. So no link between
 members of a bucket is lost, and rows follow members times blocks, not pairs.
 
 Null, empty and blank texts have empty sets and stand alone. Repeated rows and
@@ -200,42 +200,14 @@ def near_bound(percent: int) -> float:
     return t - SLACK * (t * (1 - t) / REGISTERS) ** 0.5
 
 
-def near_rows(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray, comp_one: np.ndarray, comp_two: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which sketches of a block, and which of another, are likely to be linked with one of the other block and another component."""
-    has_one, has_two, bound = np.zeros(len(one), bool), np.zeros(len(two), bool), near_bound(percent)
-    least = REGISTERS * (bound - SLACK * (bound * (1 - bound) / REGISTERS) ** 0.5)  # equal registers; far fewer than a linked pair has
-    for i in range(len(one)):
-        ok = (comp_two != comp_one[i]) & (100 * np.minimum(n_two, n_one[i]) >= percent * np.maximum(n_two, n_one[i]))
-        at = np.flatnonzero(ok)
-        at = at[(two[at] == one[i]).sum(1) >= least]
-        if len(at):
-            near = at[estimate(np.broadcast_to(one[i], (len(at), one.shape[1])), two[at], np.full(len(at), n_one[i], float), n_two[at].astype(float)) >= bound]
-            has_two[near] = True
-            has_one[i] = len(near) > 0
-    return has_one, has_two
-
-
-def apart_links(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def apart_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different components that may be linked, from rows (band, node, n, comp, blocks).
 
-    A bucket is cut into blocks of bounded size; each pair of blocks is one group. In a first step only sketches move, and the
-    estimate tells which members have a likely partner. Only their sets move to the second step, in which the sizes of all intersections come
-    from matrix products, and from which only pairs that reach the threshold leave the task. The 32 bits of a hash that it looks at
+    A bucket is cut into blocks of bounded size; each pair of blocks is one group, in which the sizes of all intersections come
+    from matrix products. Only pairs that reach the threshold leave the task. The 32 bits of a hash that it looks at
     never make an intersection smaller by more than the values that a set loses to equal ones, which are added;
-    the links are verified on the full hashes after this.
+    the links are estimated and verified on the full hashes after this.
     """
-    head = "band long, low long, high long, block long, node long, n long, comp long"
-
-    def likely_members(key, part):
-        _, low, high = (k.as_py() for k in key)
-        block, comp, n = (part.column(c).to_numpy() for c in ("block", "comp", "n"))
-        regs = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        keep = np.zeros(len(block), bool)
-        if len(one) and len(two):
-            a, b = near_rows(regs[one], regs[two], n[one], n[two], comp[one], comp[two], percent)
-            keep[one[a]] = keep[two[b]] = True
-        return part.filter(pa.array(keep)).drop_columns(["sketch"])
 
     def run(key, part):
         _, low, high = (k.as_py() for k in key)
@@ -256,12 +228,11 @@ def apart_links(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
     own = open_.withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = own.withColumn("other", other).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "comp")
-    some = dealt.join(nodes.select("node", "sketch"), "node").select("band", "low", "high", "block", "node", "n", "comp", "sketch").groupBy("band", "low", "high").applyInArrow(likely_members, head)
-    some = some.join(sets.select("node", "more"), "node")
-    return some.groupBy("band", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    dealt = dealt.join(sets.select("node", "more"), "node")
+    return dealt.groupBy("band", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int, hot: list | None) -> DataFrame:
     """Pairs (a, b) whose sizes allow the threshold and whose estimate comes near it."""
     bound = near_bound(percent)
 
@@ -278,7 +249,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int, hot: DataFrame | No
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: list | None) -> DataFrame:
     """The pairs (a, b) that are linked: 100 * intersection >= percent * union of the full sets."""
 
     def run(batches):
@@ -354,9 +325,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = written(again.join(tested, ["a", "b"], "left_anti"), "pairs")
     comps = joined(comps, linked(again))
 
-    rest = written(apart_links(open_members(comps).select("band", "node", "n", "comp", "blocks"), nodes, sets, percent), "pairs")
-    hot = hot_keys(rest.groupBy("b").agg(F.count("*").alias("c")), "b", "c")
-    comps = joined(comps, written(verified(rest, sets, percent, hot), "links"))
+    rest = written(apart_links(open_members(comps).select("band", "node", "n", "comp", "blocks"), sets, percent), "pairs")
+    comps = joined(comps, linked(rest))
 
     # Groups are settled among nodes, rows only look their node up.
     member = comps.join(nodes.select("node", "best"), "node")
