@@ -222,7 +222,7 @@ def test_trending_state():
         queue, s = jobs.arrived(queue, s, q, 1000, 0.95)
     assert jobs.leaders(s, 2, 2.0) == [("a", 10.0), ("b", 5.0)]
     queue, s = jobs.arrived(["x", "y"], {"x": 1.0, "y": 1.0}, "y", 2, 0.95)
-    assert queue == ["y", "y"] and s == {"y": 1.95}
+    assert list(queue) == ["y", "y"] and s == {"y": 1.95}
 
 
 def test_trending_and_rates_as_streams(spark, tmp_path):
