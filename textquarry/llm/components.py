@@ -21,10 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
         degrees = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("c"))
         labels = written(degrees.select(F.col("a").alias("node"), F.least("low", "a").alias("comp"), "c"), "labels")
-        hubs = hot_keys(labels.select(F.col("node").alias("b"), "c"), "b", "c")
+        hubs = hot_keys(labels.select(F.col("node").alias("far"), "c"), "far", "c")
+        both = both.withColumnRenamed("b", "far")
         labels, large = labels.select("node", "comp"), None
         while True:
-            near = salted_join(both, labels.select(F.col("node").alias("b"), "comp"), "b", hubs, ["a"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+            near = salted_join(both, labels.select(F.col("node").alias("far"), "comp"), "far", hubs, ["a"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
             low = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
             jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
             moved = written(salted_join(low, jump, "comp", large, ["node"]).select("node", "old", F.least("comp", "further").alias("comp")), "labels")
