@@ -152,7 +152,7 @@ vs AS (SELECT term, df, round(least(df / 100, 1.0::DOUBLE) * 0.5::DOUBLE + CASE
 pr AS (SELECT DISTINCT substring(regexp_extract(lower(text), '[a-z]{3,}'), 1, 4) AS prefix FROM benchmark WHERE length(regexp_extract(lower(text), '[a-z]{3,}')) >= 3),
 f0 AS (SELECT prefix, term, score FROM pr, vs WHERE starts_with(term, prefix) AND term <> prefix),
 f1 AS (SELECT prefix, term, round(score * 0.8::DOUBLE, 6) AS score FROM pr, vs WHERE NOT contains(term, ' ') AND abs(length(term) - length(prefix)) <= 2 AND levenshtein(prefix, term) <= 2 AND term <> prefix),
-f2 AS (SELECT prefix, term, round(score * 0.6::DOUBLE, 6) AS score FROM pr, vs WHERE list_has_any(string_split(prefix, ' '), string_split(term, ' ')) AND term <> prefix)"""
+f2 AS (SELECT DISTINCT prefix, term, round(score * 0.6::DOUBLE, 6) AS score FROM (SELECT prefix, unnest(string_split(prefix, ' ')) AS w FROM pr) JOIN (SELECT term, score, unnest(string_split(term, ' ')) AS w FROM vs) USING (w) WHERE term <> prefix)"""
 
 
 def _best(src: str, k: int) -> str:
