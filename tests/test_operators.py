@@ -280,3 +280,25 @@ def test_ingest_takes_newer_versions_and_keeps_the_table(spark, tmp_path):
     with pytest.raises(Exception):
         arrive([("d", "1", at(9))], "other")
     assert len(list(out.glob("current-*"))) == n
+
+
+def test_extended_index_equals_a_new_one(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None)], "id long, text string")
+    more = spark.createDataFrame([(2, "c d"), (4, "a d d")], "id long, text string")
+    got = bm25.extended(bm25.build_index(docs, "id", "text"), more, "id", "text")
+    want = bm25.build_index(docs.where("id != 2").union(more), "id", "text")
+    for x, y in ((got.terms, want.terms), (got.lengths, want.lengths), (got.postings, want.postings)):
+        assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.select(x.columns).collect()))
+
+
+def test_complete_chunks_and_reranker_chain(spark):
+    from textquarry.operators import chains
+
+    rows = spark.createDataFrame([(1, "t", "l"), (2, " ", "l"), (3, None, "")], "id long, title string, link string")
+    good, bad = chains.complete(rows)
+    assert [r["id"] for r in good.collect()] == [1] and {r["id"]: r["missing"] for r in bad.collect()} == {2: ["title"], 3: ["title", "link"]}
+    ranked = spark.createDataFrame([(1, 10, 3.0, 1), (1, 11, 2.0, 2), (1, 12, 1.0, 3)], "qid long, id long, score double, rank long")
+    out = chains.reranked(ranked, [lambda df: df.withColumn("score", -F.col("score"))], 2).orderBy("rank").collect()
+    assert [r["id"] for r in out] == [12, 11]
+    with pytest.raises(ValueError):
+        chains.by_method("other", None, None, 1)
