@@ -114,7 +114,10 @@ def eval_compare(spark, d):
 
 QUERIES = {f.__name__: f for f in (citations, bibtex, context_strings, prompts, export_csv, export_markdown, export_audit, embed_hash, mmr_topk, mmr_full, rerank_overlap, chunks_sentence, chunks_semantic, warm_embeddings, eval_quality, eval_run, eval_compare)}
 
-from textquarry.plans.retrieval import semantic_sql  # noqa: E402
+from textquarry.plans.retrieval import WORDS, semantic_sql  # noqa: E402
+
+#: Length of the vectors of the built-in embedding.
+DIM = 64
 
 _RES = f"""{lexical_sql(5)}, re AS (SELECT qid, id AS doc_id, score, rank, string_split(text, chr(10))[1] AS title, source || ', ' || lang AS authors, (2000 + doc_id % 25) || '-01-02' AS published, 'http://x/' || doc_id AS link, substring(text, 1, 300) AS text FROM lex JOIN documents ON doc_id = id)"""
 
@@ -127,6 +130,10 @@ _JOIN = "SELECT qid, string_agg({line}, {sep} ORDER BY rank) AS text FROM re GRO
 _RUN = f"""{semantic_sql(5)}, {lexical_sql(5)}, ru AS (SELECT 'semantic' AS config, qid, id, rank, score FROM sem UNION ALL SELECT 'lexical', qid, id, rank, score FROM lex),
 rs AS (SELECT config, qid, count(*) AS n, round(avg(score), 6) AS mean_score, max(score) AS max_score, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM ru GROUP BY config, qid)"""
 ORACLES = {
+    "rerank_overlap": f"""WITH {lexical_sql(20)}, tx AS (SELECT doc_id AS id, list_distinct({WORDS.format(t='text')}) AS tw FROM documents), qx AS (SELECT item_id AS qid, list_distinct({WORDS.format(t='text')}) AS qw FROM benchmark),
+      s AS (SELECT qid, id, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, tw)) / len(qw)::DOUBLE ELSE 0 END AS s FROM lex JOIN tx USING (id) JOIN qx USING (qid)) SELECT qid, id AS doc_id, round(s, 6) AS rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM s) WHERE rank <= 5""",
+    "warm_embeddings": f"""WITH k AS (SELECT lower(text) AS q FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)), a AS (SELECT lower(text) AS q, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1)
+      SELECT q AS query, n, {DIM}::BIGINT AS dim, NULL::VARCHAR AS error FROM a WHERE q NOT IN (SELECT q FROM k) ORDER BY n DESC, q LIMIT 100""",
     "citations": f"WITH {_RES} SELECT qid, rank, {', '.join(f'{_style(t)} AS {chr(34)}{s}{chr(34)}' for s, t in reports.STYLES.items())} FROM re",
     "bibtex": f"WITH {_RES} SELECT qid, rank, '@article{{' || trim(string_split(authors, ',')[1]) || substring(published, 1, 4) || doc_id || ',' || chr(10) || '  title={{{{' || title || '}}}},' || chr(10) || '  author={{{{' || authors || '}}}},' || chr(10) || '  journal={{{{arXiv preprint arXiv:' || doc_id || '}}}},' || chr(10) || '  year={{{{' || substring(published, 1, 4) || '}}}},' || chr(10) || '}}' || chr(10) AS entry FROM re".replace("{{{{", "{{").replace("}}}}", "}}").replace("'}}' || chr(10) AS", "'}' || chr(10) AS").replace("@article{{'", "@article{'"),
     "context_strings": f"WITH {_RES} {_JOIN.format(line='''concat('[', rank, '] ', title, chr(10), 'SOURCE: ', link, chr(10), 'EXCERPT: ', text, chr(10))''', sep='chr(10)')}",
