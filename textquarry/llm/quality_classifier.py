@@ -129,10 +129,11 @@ def with_odds(rows: DataFrame, weights: np.ndarray | None) -> DataFrame:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, each solved by conjugate gradients; weights on x as it is, the intercept first. The counts are scaled for it."""
+    """Ridge logistic regression by Newton steps, each solved by conjugate gradients; weights on x as it is, the intercept first. The counts are scaled for it, within x."""
     mean, scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
     mean[:COUNTS], scale[:COUNTS] = x[:, :COUNTS].mean(0), x[:, :COUNTS].std(0) + 1e-3
-    z = ((x - mean) / scale).astype(np.float32)
+    x[:, :COUNTS] = (x[:, :COUNTS] - mean[:COUNTS]) / scale[:COUNTS]
+    z = x
     ridge = np.r_[1e-3, np.full(z.shape[1], RIDGE)]
     times = lambda w: z @ w[1:].astype(np.float32) + w[0]
     back = lambda r: np.r_[r.sum(), z.T @ r.astype(np.float32)]
@@ -161,16 +162,30 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.r_[w[0] - own @ mean, own]
 
 
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights for batches (id, y, x), as bytes; none if y has fewer than two values."""
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.float16).reshape(b.num_rows, -1)) for b in batches if b.num_rows]
+    if not found:
+        return
+    ids, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    if len(np.unique(y)) < 2:
+        return
+    order = np.argsort(ids, kind="stable")
+    x, place = np.empty((len(y), found[0][2].shape[1]), np.float32), np.empty_like(order)
+    place[order] = np.arange(len(order))
+    for part in reversed(np.split(place, np.cumsum([len(f[0]) for f in found])[:-1])):
+        x[part] = found.pop()[2]
+    yield pa.record_batch([pa.array([fit(x, y[order]).tobytes()], pa.binary())], ["weights"])
+
+
 def train(rows: DataFrame, labels: DataFrame, label_id_col: str, label_col: str, max_train: int = MAX_TRAIN) -> np.ndarray | None:
-    """Weights from rows (id, text), or None if the labels have fewer than two classes."""
+    """Weights from rows (id, text), or None if the labels have fewer than two classes. One task fits them; only they come to the driver."""
     given = labels.select(col(label_id_col).cast("long").alias("id"), col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     chosen = given.orderBy(F.xxhash64("id"), "id", "y").limit(max_train)
     known = rows.select(F.expr("try_cast(id AS long)").alias("id"), "text").join(F.broadcast(chosen), "id")  # max_train rows at most are broadcast
-    found = sampled(known.select("id", (F.col("y") > 0).cast("double").alias("y"), "text")).limit(max_train).toArrow().sort_by("id")  # max_train rows at most
-    y = found.column("y").to_numpy()
-    if len(np.unique(y)) < 2:
-        return None
-    return fit(np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(len(y), -1).astype(np.float32), y)
+    sample = sampled(known.select("id", (F.col("y") > 0).cast("double").alias("y"), "text")).limit(max_train)  # max_train rows at most, in one partition
+    weights = sample.coalesce(1).mapInArrow(fitted, "weights binary").collect()
+    return np.frombuffer(weights[0]["weights"]) if weights else None
 
 
 def strength(means: DataFrame, center: str) -> float:
