@@ -359,3 +359,20 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
     d, docs = pipeline_docs(spark, tmp_path, [])
     assert p.run(spark, d).count() == 0
+
+
+def test_fit_in_batches():
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 40)).astype(np.float16)
+    y, ids = (x[:, 0] > 0.5).astype(float), rng.permutation(60)
+
+    def batch(a, b):
+        return pa.record_batch([pa.array(ids[a:b]), pa.array(y[a:b]), pa.array([r.tobytes() for r in x[a:b]], pa.binary())], ["id", "y", "x"])
+
+    order = np.argsort(ids)
+    whole = quality_classifier.fit(x[order].astype(np.float32), y[order])
+    for cuts in ([0, 60], [0, 1, 1, 25, 60]):
+        (got,) = quality_classifier.fitted(batch(a, b) for a, b in zip(cuts, cuts[1:]))
+        assert np.array_equal(np.frombuffer(got.column(0)[0].as_py()), whole)
+    assert not list(quality_classifier.fitted(iter([])))
+    assert not list(quality_classifier.fitted(pa.record_batch([pa.array(ids[k]), pa.array(y[k]), pa.array([r.tobytes() for r in x[k]], pa.binary())], ["id", "y", "x"]) for k in [y > 0]))
