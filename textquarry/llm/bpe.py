@@ -42,7 +42,7 @@ BYTE_FORM = (None, [{"type": "ByteLevel", "add_prefix_space": False, "use_regex"
 #: Ranks whose positions are gathered together.
 SPAN = 512
 #: Distinct chunks, and bytes of long ones, that a worker remembers between batches.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 250_000, 8 << 20
 
 
 def byte_letters() -> list[str]:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import col, hot_keys, salted_join, table, text_of, written
 from textquarry.llm.components import components
-from textquarry.llm.spans import U, keyed, names, new_key, seeds, utf8, words
+from textquarry.llm.spans import U, give_back, keyed, names, new_key, seeds, utf8, words
 from textquarry.llm.spans import joined as paired
 from textquarry.llm.tokens import slices
 
@@ -52,7 +52,7 @@ BASE, TOP, SHIFT = 1.001, 65535, 4000
 #: Standard errors by which an estimate may miss the threshold.
 SLACK = 5
 #: Bytes of text that are hashed together, about.
-PART = 4 << 20
+PART = 2 << 20
 #: Members of a block of a bucket, and values in their sets, about.
 BLOCK, BLOCK_VALUES = 1024, 2_000_000
 
@@ -108,11 +108,13 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
 
 
 def parts(batches, text_at: int):
+    """Runs of rows with about PART bytes of text each."""
     for batch in batches:
         column = batch.column(text_at).cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
         for a, b in slices(batch, np.diff(offsets), PART):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def merged(*sketches: np.ndarray) -> np.ndarray:

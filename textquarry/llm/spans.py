@@ -11,6 +11,7 @@ for each run, so that no text can be made to collide; they are not linear in the
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import secrets
 from collections.abc import Callable
@@ -22,6 +23,13 @@ import pyarrow.compute as pc
 U = np.uint64
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers wait for their next task, and what each holds adds up."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads their bits (splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

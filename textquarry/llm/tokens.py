@@ -23,11 +23,12 @@ from pyspark.sql import types as T
 
 from textquarry.llm import bpe
 from textquarry.llm.common import col, table
+from textquarry.llm.spans import give_back
 
 #: Ids that leave a worker in one batch, about.
 OUT_IDS = 2_000_000
 #: Characters of text that are encoded at a time, about.
-IN_BYTES = 8 << 20
+IN_BYTES = 4 << 20
 
 
 def word_vocabulary() -> str:
@@ -66,6 +67,7 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | No
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 sizes = sizes + 1
             yield part.column(0), ids, sizes
+    give_back()
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
