@@ -1,7 +1,10 @@
 """The queries of this subpackage and the SQL that states their results."""
 
+from textquarry.llm.chat import OP11_SQL, op11_chat_format
 from textquarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from textquarry.llm.lexical import OP13_SQL, op13_lexical_search
 from textquarry.llm.line_dedup import OP1_SQL, op1_line_dedup
+from textquarry.llm.merkle import OP12_SQL, op12_merkle_manifest
 from textquarry.llm.minhash_dedup import OP4_SQL, op4_minhash_dedup
 from textquarry.llm.packing import op3_pack
 from textquarry.llm.planes import op9_bit_planes
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bit_planes": op9_bit_planes,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_chat_format": op11_chat_format,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
@@ -30,4 +36,7 @@ ORACLES = {
     "op6_warc_bundles": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_chat_format": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
 }

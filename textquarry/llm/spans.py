@@ -61,9 +61,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at[:-1] - at[0], at[1:] - at[0]
 
 
-def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run without blanks, and the number of runs of each text. Texts lie end to end in raw."""
-    solid = ~BLANK[raw]
+def words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run without blanks (blank tells which bytes are), and the number of runs of each text. Texts lie end to end in raw."""
+    solid = ~blank[raw]
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
     edge = np.concatenate([[False], solid[:-1]])
