@@ -69,8 +69,9 @@ def fuzzy(vocab: DataFrame, prefixes: DataFrame, k: int, most: int = 2) -> DataF
 def related(vocab: DataFrame, prefixes: DataFrame, k: int) -> DataFrame:
     """Phrases that share a word with a prefix, at 0.6 of their score."""
     words = lambda df, c: df.withColumn("word", F.explode(F.array_distinct(F.split(c, " "))))
-    pairs = words(vocab, "term").join(F.broadcast(words(prefixes, "prefix")), "word")  # a stated batch of prefixes.select("prefix", "term", "score").distinct().where("term != prefix")
-    return _best(pairs.select("prefix", "term", F.round(F.col("score") * 0.6, 6).alias("score")), k)
+    pairs = words(vocab, "term").join(words(prefixes, "prefix"), "word").where("term != prefix")
+    once = pairs.select("prefix", "term", "score").distinct()  # phrases that share several words
+    return _best(once.select("prefix", "term", F.round(F.col("score") * 0.6, 6).alias("score")), k)
 
 
 def suggest(vocab: DataFrame, prefixes: DataFrame, k: int) -> DataFrame:
