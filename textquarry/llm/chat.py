@@ -156,10 +156,14 @@ def joined(rows: DataFrame, id_col: str, fields: list[str], strings: dict[str, C
         return whole(rows, [id_col], fields, strings)
     is_hot = F.coalesce(F.col(id_col).isin(hot), F.lit(False))
     blocks = whole(rows.where(is_hot).withColumn("block", F.floor(F.col(turn_col) / BLOCK)), [id_col, "block"], fields, strings)
-    again = {name: (lambda x, name=name: x[name]) for name in strings}
+    again = {name: _field(name) for name in strings}
     return whole(rows.where(~is_hot), [id_col], fields, strings).unionByName(whole(blocks, [id_col], ["block", *strings], again))
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
 def assembled(pieces: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """A row for each conversation that fits into one: id_col, formatted, loss (start, length in it), attachments with their turn's number from 0, expanded_tokens."""
     turns = pieces.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("turn"), "formatted", "loss", "attachments", "expanded_tokens"))).alias("turns"))
