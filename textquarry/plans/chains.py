@@ -9,7 +9,7 @@ from textquarry.functions.text import word_tokens
 from textquarry.operators import bm25, chains, fusion, repository, vectors
 from textquarry.plans.results import warm_embeddings
 from textquarry.plans.texts import _expanded as expanded_sql
-from textquarry.plans.retrieval import BOTH, CLEAN, RRF, TOP, WORDS, final_sql, lexical, lexical_sql, ranked, second, semantic, semantic_sql, table
+from textquarry.plans.retrieval import BOTH, CLEAN, RRF, TOP, WORDS, final_sql, index_of, lexical, lexical_sql, ranked, second, semantic, semantic_sql, table
 
 #: Languages that a filter on both sides of a search lets through.
 SOME = ("en", "fr")
@@ -25,7 +25,7 @@ def _variants(spark, d):
 def ensemble_rrf(spark, d):
     """Every variant of a question against the documents, and the question's vector against all vectors, fused list by list; both sides are filtered by language."""
     docs = table(spark, d, "documents").where(F.col("lang").isin(*SOME))
-    found = bm25.search(docs, _variants(spark, d), 3 * TOP).select(F.floor(F.col("qid") / 10).cast("long").alias("qid"), "id", "rank", "score", (F.pmod("qid", F.lit(10)) + 1).cast("int").alias("list_no"))
+    found = bm25.search(index_of(spark, d, where=f"lang IN {SOME}"), _variants(spark, d), 3 * TOP).select(F.floor(F.col("qid") / 10).cast("long").alias("qid"), "id", "rank", "score", (F.pmod("qid", F.lit(10)) + 1).cast("int").alias("list_no"))
     rows = table(spark, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     q = table(spark, d, "benchmark").join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("qid"), F.col("embedding").alias("vector"))
     near = vectors.search(rows, q, 3 * TOP).select("qid", "id", "rank", "score", F.lit(0).alias("list_no"))
@@ -41,7 +41,7 @@ def search_switch(spark, d):
 
 def bm25_threshold(spark, d):
     """Keyword hits that reach a score of 20 after the cut to ten."""
-    return ranked(bm25.search(table(spark, d, "documents"), table(spark, d, "benchmark"), TOP, threshold=20.0))
+    return ranked(bm25.search(index_of(spark, d), table(spark, d, "benchmark"), TOP, threshold=20.0))
 
 
 def text_key_rrf(spark, d):
@@ -65,7 +65,7 @@ def _sentences(spark, d):
 def sub_questions(spark, d):
     """Three documents for each sub-question, put together for the question."""
     subs = _sentences(spark, d)
-    found = bm25.search(table(spark, d, "documents"), subs, 3)
+    found = bm25.search(index_of(spark, d), subs, 3)
     out = chains.combined_sources(found, subs.select(F.col("item_id").alias("sub_id"), "qid", "no"))
     return out.select("qid", "n_sources", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import expand, rows
 from textquarry.operators import bm25, fusion
-from textquarry.plans.retrieval import TOP, WORDS, lexical, lexical_sql, table
+from textquarry.plans.retrieval import TOP, WORDS, index_of, lexical, lexical_sql, table
 from textquarry.sources import reports
 
 
@@ -34,7 +34,7 @@ def multi_query(spark, d):
     b = table(spark, d, "benchmark")
     first, last = F.split("text", "[.]")[0], F.substring("text", -80, 80)
     variants = b.select("item_id", F.posexplode(F.array("text", first, last)).alias("no", "variant")).select((F.col("item_id") * 10 + F.col("no")).alias("item_id"), F.col("variant").alias("text"))
-    found = bm25.search(table(spark, d, "documents"), variants, 2 * TOP)
+    found = bm25.search(index_of(spark, d), variants, 2 * TOP)
     lists = found.select((F.floor(F.col("qid") / 10)).cast("long").alias("qid"), "id", "rank", "score", F.pmod("qid", F.lit(10)).cast("int").alias("list_no"))
     return fusion.rrf(lists, TOP).select("qid", "rank", F.col("id").alias("doc_id"), "score", "n_lists")
 

@@ -15,8 +15,13 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lexical(spark, d: str, k: int, **options) -> DataFrame:
-    return bm25.search(table(spark, d, "documents"), table(spark, d, "benchmark"), k, **options)
+def index_of(spark, d: str, tokens: str = "words", where: str = "true") -> bm25.Index:
+    """The stored index of the documents that meet a condition; the first query that needs it builds it."""
+    return bm25.stored_index(spark, f"{d}/documents.parquet", "doc_id", "text", tokens, where)
+
+
+def lexical(spark, d: str, k: int, tokens: str = "words", **options) -> DataFrame:
+    return bm25.search(index_of(spark, d, tokens), table(spark, d, "benchmark"), k, tokens=tokens, **options)
 
 
 def asked(spark, d: str) -> DataFrame:
@@ -92,7 +97,7 @@ def tokenize_counts(spark, d):
 
 def postings_df_idf(spark, d):
     """Document frequency and floored inverse document frequency of every term."""
-    index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = index_of(spark, d)
     return bm25.idf(index).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -193,7 +198,7 @@ def norm_zscore(spark, d):
 def norm_combine(spark, d):
     """Semantic hits with their own keyword scores, however far down the keyword list they are."""
     near = semantic(spark, d, 4 * TOP)
-    index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = index_of(spark, d)
     own = bm25.score(index, bm25.query_terms(table(spark, d, "benchmark"), "item_id", "text"), near)
     both = near.join(own.select("qid", "id", F.col("score").alias("keyword_score")), ["qid", "id"], "left").na.fill(0.0, ["keyword_score"])
     return both.select("qid", F.col("id").alias("doc_id"), F.round(fusion.combined(both, "score", "keyword_score"), 6).alias("score"))
