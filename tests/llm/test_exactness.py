@@ -376,3 +376,47 @@ def test_fit_in_batches():
         assert np.array_equal(np.frombuffer(got.column(0)[0].as_py()), whole)
     assert not list(quality_classifier.fitted(iter([])))
     assert not list(quality_classifier.fitted(pa.record_batch([pa.array(ids[k]), pa.array(y[k]), pa.array([r.tobytes() for r in x[k]], pa.binary())], ["id", "y", "x"]) for k in [y > 0]))
+
+
+def colliding():
+    """Two words of 64 letters with one xxhash64 (seed 42): the second stripe of a lane makes up for the first."""
+    p1, p2, m = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+    rng = np.random.default_rng(0)
+    back, start = pow(p2, -1, 1 << 64), (42 + p1 + p2) & m
+    turned = lambda x: ((x << 31) | (x >> 33)) & m
+    after = lambda x: turned((start + x * p2) & m) * p1 & m
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    number = lambda b: int.from_bytes(b, "little")
+    while True:
+        a, b, x = letters(8), letters(8), letters(8)
+        y = ((number(x) + (after(number(a)) - after(number(b))) * back) & m).to_bytes(8, "little")
+        if a != b and all(33 <= c < 127 for c in y):
+            rest, more = letters(24), letters(24)
+            return (a + rest + x + more).decode(), (b + rest + y + more).decode()
+
+
+def test_lines_with_colliding_words(spark):
+    """Tokens, lines and templates are told apart by themselves: two words of one xxhash64 are two words."""
+    a, b = colliding()
+    one = spark.createDataFrame([(a, b)], "a string, b string").select(F.xxhash64("a") == F.xxhash64("b")).first()
+    assert a != b and one[0]
+    lines = [f"{i}a {i}b {i}c one two three four five six {a if i < 3 else b}" for i in range(5)]
+    got = line_dedup.line_dedup(documents(spark, lines)).collect()
+    assert [r["n_dropped"] for r in got] == [0] * 5
+    same = [f"{i}a {i}b {i}c one two three four five six {a}" for i in range(5)]
+    assert [r["n_dropped"] for r in line_dedup.line_dedup(documents(spark, same)).collect()] == [1] * 5
+    long = ["x" * 70_000 + f" tail of {w} it" for w in (a, a, a, b, b)]  # leading tokens and lines beyond any length
+    assert [r["n_dropped"] for r in line_dedup.line_dedup(documents(spark, long)).collect()] == [1] * 5
+    pair = spark.createDataFrame([(a * 40, b * 40)], "a string, b string").select(common.row_key(F.col("a")), common.row_key(F.col("b"))).first()
+    assert pair[0] != pair[1] and len(pair[0]) == 16
+
+
+def test_sites_beyond_the_broadcast(spark, monkeypatch):
+    """The verdicts are those of the broadcast, whatever the number of sites, with a site of most documents."""
+    texts = [f"good words in a row {i}" if i % 2 else f"bad {i} $$$ buy" for i in range(80)]
+    docs = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") < 60, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id"))))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    want = {r["doc_id"]: round(r["posterior"], 9) for r in quality_classifier.classify(docs, labels).collect()}
+    monkeypatch.setattr(quality_classifier, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "HOT", 3)
+    assert {r["doc_id"]: round(r["posterior"], 9) for r in quality_classifier.classify(docs, labels).collect()} == want

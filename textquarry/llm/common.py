@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.files import remove
+from textquarry.operators.storage import shared_dir
 
 #: ASCII white space as the operators see it: blank and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -17,26 +18,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir. Only a local run, whose executors share the driver's disk, may leave it unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-textquarry-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-_scratch: list[str] = []
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, or below that of the scratch that is open."""
-    base = _scratch[-1] if _scratch else f"{shared_dir(spark).rstrip('/')}/textquarry"
+    base = _scratch.get()[-1] if _scratch.get() else f"{shared_dir(spark).rstrip('/')}/textquarry"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,11 +31,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def scratch(spark: SparkSession):
     """What is written inside is removed at the end: for steps whose result has been written elsewhere by then."""
     path = shared_path(spark, "scratch")
-    _scratch.append(path)
+    before = _scratch.set((*_scratch.get(), path))
     try:
         yield path
     finally:
-        _scratch.remove(path)
+        _scratch.reset(before)
         remove(path)
 
 
@@ -98,6 +85,11 @@ def text_of(name: str) -> Column:
     return F.coalesce(col(name), F.lit(""))
 
 
+def row_key(text: Column) -> Column:
+    """128 bits of a text's SHA-256: with the id, it tells rows apart."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def without(text: Column, letters: str, instead: str = "") -> Column:
     """text with each of the letters replaced; one byte search per letter, which is much cheaper than translate."""
     for c in letters:

@@ -7,7 +7,7 @@ leaf that occurs in enough documents, a token is constant at its place if at lea
 all other tokens are variable fields. A line whose constants make up enough of it has a
 template; templates that recur in at least ``min_docs`` different documents are dropped, in every document.
 
-All is DataFrame functions. Leaves are counted from hashes; only lines of recurring
+All is DataFrame functions. Tokens, lines and leaves are compared by themselves, those of more than LONG bytes and templates by SHA-256; only lines of recurring
 leaves are ever exploded into tokens. Documents of a token, and of a template, are made
 distinct before they are counted, so counts are pre-aggregated; equal lines are
 matched once; joins deal the rows of a very common leaf, token, line or template over several
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import BLANKS, bound, col, hot_keys, salted_join, table, text_of, without, written
+from textquarry.llm.common import BLANKS, bound, col, hot_keys, row_key, salted_join, table, text_of, without, written
 
 #: Leading tokens that make up the levels of the tree below the number of tokens.
 DEPTH = 3
@@ -33,6 +33,8 @@ MIN_TOKENS = 3
 SIMILAR = 0.7
 VARIABLE = "<*>"
 BROADCAST_ROWS = 500_000
+#: Bytes from which a token, a line or a leaf is named by its SHA-256.
+LONG = 64
 
 
 def lines_of(text: Column) -> Column:
@@ -49,12 +51,17 @@ def blanks_of(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
 
 
+def exact(text: Column) -> Column:
+    """text itself, or for a long one its SHA-256 behind a mark: one is shorter, the other longer than LONG bytes."""
+    return F.when(F.octet_length(text) > LONG, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
+
 def leaf_of(line: Column, min_tokens: int) -> Column:
     """Where a plain line belongs: number of tokens, then the leading tokens, fields with digits as variables. Null for short lines."""
     leading = F.substring_index(line, " ", DEPTH)
     leading = F.when(leading.rlike("[0-9]"), F.regexp_replace(leading, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(leading)
     n = blanks_of(line)
-    return F.when((n >= min_tokens - 1) & (F.length(line) >= 2 * min_tokens - 1), F.xxhash64(n, leading))
+    return F.when((n >= min_tokens - 1) & (F.length(line) >= 2 * min_tokens - 1), F.concat(n.cast("string"), F.lit(" "), exact(leading)))
 
 
 def dropped_lines(rows: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
@@ -62,30 +69,31 @@ def dropped_lines(rows: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
     lines = lines_of(without(F.col("text"), BLANKS[1:].replace("\n", ""), " "))
     own = F.transform(lines, lambda x: bound(plain(x), lambda y: leaf_of(y, min_tokens)))
     leaves = rows.select(F.explode(F.array_distinct(own)).alias("leaf")).where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("docs"))
-    leaves = written(leaves.where(F.col("docs") >= min_docs), "leaves")
+    leaves = written(leaves.where(F.col("docs") >= min_docs).withColumn("leaf_no", F.monotonically_increasing_id()), "leaves")
     both = F.transform(lines, lambda x: bound(plain(x), lambda y: F.struct(y.alias("line"), leaf_of(y, min_tokens).alias("leaf"))))
     exploded = rows.select("id", "h", F.posexplode(both).alias("no", "x")).select("id", "h", "no", "x.line", "x.leaf").where("leaf is not null")
+    numbers = leaves.select("leaf", "leaf_no")
     if leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        inside = exploded.join(F.broadcast(leaves.select("leaf")), "leaf")
+        inside = exploded.join(F.broadcast(numbers), "leaf")
     else:
-        inside = salted_join(exploded, leaves.select("leaf"), "leaf", hot_keys(leaves, "leaf", "docs"), ["id", "h", "no"])
-    hashed = F.transform(F.split("line", " "), lambda t: F.xxhash64(t))
-    inside = inside.select("leaf", "id", "h", "no", hashed.alias("tokens")).withColumn("line", F.xxhash64("leaf", "tokens"))
-    inside = written(inside, "lines")
+        inside = salted_join(exploded, numbers, "leaf", hot_keys(leaves, "leaf", "docs"), ["id", "h", "no"])
+    inside = written(inside.select("leaf_no", "id", "h", "no", "line"), "lines")
 
     # A node is a token at its place in a leaf. Each document's nodes are made distinct first, so that the count after it is pre-aggregated.
-    nodes = F.transform("tokens", lambda t, i: F.xxhash64(F.col("leaf"), i, t))
+    nodes = F.transform(F.split("line", " "), lambda t, i: F.concat_ws(" ", F.col("leaf_no").cast("string"), i.cast("string"), exact(t)))
     constant = inside.select("id", "h", F.explode(nodes).alias("node")).distinct().groupBy("node").agg(F.count("*").alias("docs"))
     constant = written(constant.where(F.col("docs") >= min_docs), "constants")
 
     # Equal lines are one here: what many documents repeat is looked at once.
-    each = written(inside.groupBy("line").agg(F.first(nodes).alias("nodes"), F.count("*").alias("c")), "different-lines")
-    parts = each.select("line", F.size("nodes").alias("n"), F.explode("nodes").alias("node"))
-    fixed = salted_join(parts, constant.select("node"), "node", hot_keys(constant, "node", "docs"), ["line"])
-    # The nodes that are constants name the template: they tell the leaf and the places.
-    templates = fixed.groupBy("line", "n").agg(F.collect_set("node").alias("some")).where(F.size("some") >= SIMILAR * F.col("n")).select("line", F.xxhash64(F.sort_array("some")).alias("template"))
-    places = inside.select("id", "h", "no", "line")
-    matched = written(salted_join(places, templates, "line", hot_keys(each, "line", "c"), ["id", "h", "no"]).select("id", "h", "no", "template"), "templates")
+    each = inside.groupBy("leaf_no", exact(F.col("line")).alias("key")).agg(F.first("line").alias("line"), F.count("*").alias("c"))
+    each = written(each.withColumn("line_no", F.monotonically_increasing_id()), "different-lines")
+    parts = each.select("line_no", F.size(F.split("line", " ")).alias("n"), F.explode(nodes).alias("node"))
+    fixed = salted_join(parts, constant.select("node"), "node", hot_keys(constant, "node", "docs"), ["line_no"])
+    # The nodes that are constants name the template: they tell the leaf and the places, and no token has a blank.
+    templates = fixed.groupBy("line_no", "n").agg(F.collect_set("node").alias("some")).where(F.size("some") >= SIMILAR * F.col("n"))
+    templates = templates.select("line_no", F.sha2(F.array_join(F.sort_array("some"), " "), 256).alias("template")).join(each.select("line_no", "key"), "line_no").select("key", "template")
+    places = inside.select("id", "h", "no", exact(F.col("line")).alias("key"))
+    matched = written(salted_join(places, templates, "key", hot_keys(each, "key", "c"), ["id", "h", "no"]).select("id", "h", "no", "template"), "templates")
 
     found = matched.select("template", "id", "h").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     recurring = written(found.where(F.col("docs") >= min_docs), "recurring")
@@ -96,7 +104,7 @@ def dropped_lines(rows: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """A row for each row of df: id_col, n_lines, n_dropped, kept_text (the other lines in their order)."""
     text = text_of(text_col)
-    rows = df.select(col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = df.select(col(id_col).alias("id"), row_key(text).alias("h"), text.alias("text"))
     marks = dropped_lines(rows, min_docs, min_tokens)
     joined = rows.alias("r").join(marks.alias("m"), F.expr("r.id <=> m.id and r.h = m.h"), "left").select("r.id", "r.text", "m.lines")
     left = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lines")), lambda i: F.get(x, i)), "\n")

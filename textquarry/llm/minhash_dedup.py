@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import col, hot_keys, salted_join, table, text_of, written
+from textquarry.llm.common import col, hot_keys, row_key, salted_join, table, text_of, written
 from textquarry.llm.components import components
 from textquarry.llm.spans import U, give_back, keyed, names, new_key, seeds, utf8, words
 from textquarry.llm.spans import joined as paired
@@ -159,7 +159,7 @@ def sketches(rows: DataFrame, k: int, key: int) -> DataFrame:
                 ["id", "h", "n", "digest", "sketch"],
             )
 
-    return rows.mapInArrow(run, "id long, h long, n long, digest binary, sketch binary")
+    return rows.mapInArrow(run, "id long, h binary, n long, digest binary, sketch binary")
 
 
 def full_sets(rows: DataFrame, k: int, key: int) -> DataFrame:
@@ -269,12 +269,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: list | None)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, key: int | None = None) -> DataFrame:
-    """A row for each row of df: id_col, h (xxhash64 of the text), n_shingles, component_id, kept. key is that of the hashes; none draws one."""
+    """A row for each row of df: id_col, h (row_key of the text), n_shingles, component_id, kept. key is that of the hashes; none draws one."""
     if k < 1 or not 1 <= percent <= 100:
         raise ValueError("k is at least 1 and percent from 1 to 100")
     key = new_key() if key is None else key
     text = text_of(text_col)
-    source = df.select(col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    source = df.select(col(id_col).cast("long").alias("id"), row_key(text).alias("h"), text.alias("text"))
     rows = written(sketches(source, k, key).withColumn("row", F.monotonically_increasing_id()), "sketches")
     filled = rows.where("n > 0")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")

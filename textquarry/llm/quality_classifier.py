@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.llm.common import col, table, text_of, written
+from textquarry.llm.common import col, hot_keys, row_key, salted_join, table, text_of, written
 from textquarry.llm.minhash_dedup import parts
 from textquarry.llm.spans import U, joined, keyed, mix, names, utf8, words
 
@@ -199,10 +199,10 @@ def strength(means: DataFrame, center: str) -> float:
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_id_col: str = "doc_id", label_col: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
-    """A row for each row of df: id_col, h (hash of the text), evidence (the document's own probability), site (its path's posterior), posterior and kept (posterior of at least one half)."""
+    """A row for each row of df: id_col, h (row_key of the text), evidence (the document's own probability), site (its path's posterior), posterior and kept (posterior of at least one half)."""
     name = lambda c: F.struct(col(c).isNull().alias("none"), F.coalesce(col(c).cast("string"), F.lit("")).alias("name"))
     text = text_of(text_col)
-    rows = df.select(col(id_col).alias("id"), F.xxhash64(text).alias("h"), name(host_col).alias("host"), name(path_col).alias("path"), text.alias("text"))
+    rows = df.select(col(id_col).alias("id"), row_key(text).alias("h"), name(host_col).alias("host"), name(path_col).alias("path"), text.alias("text"))
     weights = train(rows.select("id", "text"), labels, label_id_col, label_col, max_train)
     scored = written(with_odds(rows, weights), "evidence").withColumn("evidence", F.expr("1 / (1 + exp(-odds))"))
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s")), "paths")
@@ -214,11 +214,15 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     paths = written(paths.join(hosts, "host"), "paths")
     lam = strength(paths, "theta")
     posteriors = paths.select("host", "path", "n", "s", "theta")
-    if posteriors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        posteriors = F.broadcast(posteriors)
     site = (F.col("s") - F.col("evidence") + lam * F.col("theta")) / (F.col("n") - 1 + lam)
     site = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), site))
-    judged = scored.join(posteriors, ["host", "path"]).withColumn("site", site)
+    if posteriors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        judged = scored.join(F.broadcast(posteriors), ["host", "path"])
+    else:  # a site of very many documents is dealt over several tasks
+        named = lambda df: df.withColumn("name", F.to_json(F.struct("host", "path")))
+        posteriors = named(posteriors).drop("host", "path")
+        judged = salted_join(named(scored), posteriors, "name", hot_keys(posteriors, "name", "n"), ["id", "h"])
+    judged = judged.withColumn("site", site)
     whole = F.col("odds") + F.log(F.col("site") / (1 - F.col("site"))) - float(np.log(mu / (1 - mu)))
     return judged.select(F.col("id").alias(id_col), "h", "evidence", "site", (1 / (1 + F.exp(-whole))).alias("posterior"), (whole >= 0).alias("kept"))
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.llm.common import HOT, SALTS, col, hot_keys, salted_join, table, text_of, written
+from textquarry.llm.common import HOT, SALTS, col, hot_keys, row_key, salted_join, table, text_of, written
 from textquarry.llm.minhash_dedup import parts
 from textquarry.llm.spans import U, joined, keyed, mix, names, new_key, seeds, utf8, words
 
@@ -224,7 +224,7 @@ def probed(rows: DataFrame, sketch: DataFrame, bits: int, size: int, gram: int,
                 at = at[twice].astype(np.int64) + s * width
                 yield pa.record_batch([pa.array(np.full(len(at), d, np.int32)), pa.array(at)], ["d", "cell"])
 
-    found = written(rows.mapInArrow(all_keys, "id long, h long, at int, c0 long, c1 long"), "keys")
+    found = written(rows.mapInArrow(all_keys, "id long, h binary, at int, c0 long, c1 long"), "keys")
     twice = written(sketch.mapInArrow(often, "d int, cell long"), "cells")
     for d in range(DEPTH):
         c = f"c{d}"
@@ -240,7 +240,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = new_key() if key is None else key
     text = text_of(text_col)
     own = F.struct(*map(col, (text_col, *others))).alias("own") if others else F.lit(None).cast("string").alias("own")
-    whole = df.select(col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), own)
+    whole = df.select(col(id_col).cast("long").alias("id"), row_key(text).alias("h"), text.alias("text"), own)
     rows = whole.select("id", "h", "text")
     bits = cell_bits(rows)
     sketch = merged_sketch(rows, bits, size, gram, key)
@@ -279,7 +279,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 one = pa.record_batch([p.column(0), p.column(1), lists((at - np.repeat(w.begin(), per)).astype(np.int32)), lists(low.view(np.int64)), lists(high.view(np.int32))], ["id", "h", "at", "w", "v"])
                 yield one.filter(pa.array(per > 0))
 
-        return whole.drop("own").mapInArrow(run, "id long, h long, at array<int>, w array<long>, v array<int>")  # made twice: cheaper than a written copy, which would be half the input
+        return whole.drop("own").mapInArrow(run, "id long, h binary, at array<int>, w array<long>, v array<int>")  # made twice: cheaper than a written copy, which would be half the input
 
     counted = flagged(None).select(F.explode(F.arrays_zip("w", "v")).alias("x")).select("x.w", "x.v").groupBy("w", "v").agg(F.count("*").alias("c")).where("c > 1")
     counted = written(counted, "windows")
