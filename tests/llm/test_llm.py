@@ -13,7 +13,7 @@ import pytest
 from oracle import SF, check
 from pyspark.sql import functions as F
 
-from textquarry.llm import bpe, components, exact_dedup, line_dedup, minhash_dedup, packing, planes, quality_classifier, quality_rules, queries, substring_dedup, tokens, warc
+from textquarry.llm import bpe, common, components, exact_dedup, line_dedup, minhash_dedup, packing, planes, quality_classifier, quality_rules, queries, substring_dedup, tokens, warc
 from textquarry.llm.common import shared_path
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -174,15 +174,42 @@ def test_archives(spark, tmp_path):
     assert kinds == Counter([(1, "revisit", 2), (2, "response", None), (2, "response", None), (None, "revisit", 2), (4, "response", None), (5, "response", None), (6, "response", None), (8, "response", None)])
     one = next(r for r in got if r["page_id"] == 1)
     assert one["payload_bytes"] == 1200 and one["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and one["payload"] is None
-    from textquarry.llm.files import open_file
-
     for r in index.collect():
-        with open_file(r["path"]) as f:
-            assert warc.seek_table(f)[r["frame"]] == (r["offset"], r["size"])
-            assert warc.parse(warc.read_frame(f, r["offset"], r["size"]))["page"] == r["page"]
+        assert warc.read_record(r["path"], r["frame"], r["offset"], r["size"])["page"] == r["page"]
     assert warc.read_bundles(warc.write_bundles(pages.limit(0), shared_path(spark, "w"))).count() == 0
 
 
+def test_frames_and_bundles(spark, monkeypatch):
+    """Records share frames, bundles are several, a hot payload is dealt over tasks, one page is larger than a batch of the reader."""
+    from textquarry.llm.files import open_file
+
+    monkeypatch.setattr(common, "HOT", 3)
+    rng = np.random.default_rng(0)
+    texts = ["same page " * 200] * 50 + [f"page {i} " + "words of it " * int(rng.integers(1, 400)) for i in range(100)] + ["ü" * (9 << 20)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(2)
+    index = warc.write_bundles(pages, shared_path(spark, "w"), frame=4096, bundle=40_000)
+    rows = index.collect()
+    paths = {r["path"] for r in rows}
+    assert len(paths) > 2 and max(Counter((r["path"], r["frame"]) for r in rows).values()) > 3 and any(r["offset"] for r in rows)
+    for path in paths:
+        with open_file(path) as f:
+            places = warc.seek_table(f)
+            assert len(places) == len({r["frame"] for r in rows if r["path"] == path})
+            sizes = [len(warc.read_frame(f, *p)) for p in places]
+        for r in rows:
+            assert r["path"] != path or r["offset"] + r["size"] <= sizes[r["frame"]]
+    got = {r["page_id"]: r for r in warc.read_bundles(index).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", 49) if i < 49 else ("response", None))
+        assert got[i]["payload_digest"] == hashlib.sha1(t.encode()).hexdigest() and (got[i]["payload"] is None or got[i]["payload"].decode() == t)
+    one = max(rows, key=lambda r: r["size"])
+    assert len(warc.read_record(one["path"], one["frame"], one["offset"], one["size"])["payload"]) == 18 << 20
+    alone = warc.write_bundles(pages, shared_path(spark, "w"), frame=1).select("path").distinct()
+    size = lambda df: sum(__import__("os").path.getsize(r["path"].removeprefix("file://").removeprefix("file:")) for r in df.collect())
+    assert size(index.select("path").distinct()) < size(alone)
+
+
 # Duplicates ---------------------------------------------------------------------------------------------------
 
 

@@ -1,19 +1,18 @@
 """WARC archives as seekable Zstandard bundles.
 
-Each record is a frame of its own; a bundle ends with a skippable frame that
+Records are grouped into frames of about FRAME plain bytes, each compressed for itself; a bundle ends with a skippable frame that
 holds the seek table of the public seekable format (for each frame its
-compressed and plain size), so any record is read with one seek. The index maps
-record ids to bundle and frame.
+compressed and plain size). The index maps record ids to bundle, frame and the record's place inside the plain
+frame, so a record is read with one seek and one frame, and its neighbours with the same frame.
 
 Which record is the response and which ones revisit it is settled on digests
-alone (grouped, then joined on the digest, so that a hot payload is neither
-collected nor moved); payloads move once, by page. Bundles get names of their
+alone (grouped, then joined on the digest, a hot one dealt over several tasks); payloads move once, by page. Bundles get names of their
 own for each attempt at a task, and only those of the attempt that succeeded are
 in the index.
 
 Null payloads are empty. Of rows that share page and payload each gets a record
 of the same kind; rows of a null page are archived, and are responses unless a
-page with an id has the same payload. Long payloads lie in memory one at a time.
+page with an id has the same payload. A payload may have any length: a task holds one Arrow batch of rows, one frame and one record besides it.
 An empty table gives no bundles. Other columns than those named are not looked
 at.
 """
@@ -31,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import col, shared_path, table, written
+from textquarry.llm.common import col, hot_keys, salted_join, shared_path, table, written
 from textquarry.llm.files import new_file, open_file
 
 #: Payloads of fewer bytes are never revisited.
 LEAST = 1000
 #: Plain bytes after which a bundle is closed.
 BUNDLE = 64 << 20
+#: Plain bytes after which a frame is closed.
+FRAME = 256 << 10
 LEVEL = 3
 SEEK_HEAD, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,20 +87,31 @@ def parse(data: bytes) -> dict:
 
 
 class Bundle:
-    """Frames and, at the end, the seek table."""
+    """Frames of records and, at the end, the seek table."""
 
-    def __init__(self, out):
-        self.out, self.frames, self.plain = out, [], 0
-        self.press = zstandard.ZstdCompressor(level=LEVEL)
+    def __init__(self, out, frame: int):
+        self.out, self.most, self.frames, self.plain = out, frame, [], 0
+        self.press, self.held, self.size = zstandard.ZstdCompressor(level=LEVEL), [], 0
 
-    def add(self, data: bytes) -> int:
-        frame = self.press.compress(data)
-        self.out.write(frame)
-        self.frames.append((len(frame), len(data)))
+    def add(self, data: bytes) -> tuple[int, int]:
+        """Frame of a record and its place in it."""
+        place = len(self.frames), self.size
+        self.held.append(data)
+        self.size += len(data)
         self.plain += len(data)
-        return len(self.frames) - 1
+        if self.size >= self.most:
+            self._flush()
+        return place
+
+    def _flush(self) -> None:
+        if self.held:
+            frame = self.press.compress(b"".join(self.held))
+            self.out.write(frame)
+            self.frames.append((len(frame), self.size))
+            self.held, self.size = [], 0
 
     def close(self) -> None:
+        self._flush()
         table_ = b"".join(struct.pack("<II", *x) for x in self.frames) + struct.pack("<IBI", len(self.frames), 0, SEEK_MAGIC)
         self.out.write(struct.pack("<II", SEEK_HEAD, len(table_)) + table_)
 
@@ -126,11 +138,17 @@ def read_frame(file, at: int, size: int) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj().decompress(file.read(size))
 
 
+def read_record(path: str, frame: int, offset: int, size: int) -> dict:
+    """One record of the index."""
+    with open_file(path) as f:
+        return parse(read_frame(f, *seek_table(f)[frame])[offset : offset + size])
+
+
 INDEX = pa.schema([("record_id", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("frame", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
 
 
-def write_bundles(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
-    """Writes a record for each row; returns the index: record_id, page, path, frame, offset, size."""
+def write_bundles(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, frame: int = FRAME, bundle: int = BUNDLE) -> DataFrame:
+    """Writes a record for each row; returns the index: record_id, page, path, frame, offset and size (of the record in the plain frame)."""
     rows = df.select(
         col(id_col).cast("long").alias("page"),
         col(url_col).cast("string").alias("url"),
@@ -139,66 +157,72 @@ def write_bundles(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     small = rows.select("page", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least)
     # Only payloads that occur twice: one row each, its size is that of the smaller groups' table.
     firsts = small.groupBy("digest").agg(F.max("page").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
-    refers = small.select("page", "digest").join(firsts.select("digest", "first"), "digest").where("page is null or page != first").distinct()
+    firsts = written(firsts, "repeated-payloads")
+    refers = salted_join(small.select("page", "digest"), firsts.select("digest", "first"), "digest", hot_keys(firsts, "digest", "c"), ["page"]).where("page is null or page != first").distinct()
     joined = rows.alias("r").join(refers.alias("x"), F.expr("r.page <=> x.page and r.digest = x.digest"), "left").select("r.*", "x.first")
 
     def run(batches):
-        part, k, bundle, opened = TaskContext.get().partitionId(), 0, None, None
+        part, k, open_, held = TaskContext.get().partitionId(), 0, None, None
         found: list[tuple] = []
 
         def close():
-            nonlocal bundle, opened, found
-            bundle.close()
-            opened.__exit__(None, None, None)
-            at, rows_ = 0, []
-            for (rid, page, frame), (size, _) in zip(found, bundle.frames):
-                rows_.append((rid, page, path, frame, at, size))
-                at += size
-            bundle, opened, found = None, None, []
-            return pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*rows_), INDEX)], schema=INDEX)
+            nonlocal open_, held, found
+            open_.close()
+            held.__exit__(None, None, None)
+            out = pa.record_batch([pa.array(x, t.type) for x, t in zip(zip(*found), INDEX)], schema=INDEX)
+            open_, held, found = None, None, []
+            return out
 
         for batch in batches:
-            for page, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
-                if bundle is None:
-                    opened = new_file(folder, f"bundle-{part:06d}-{k:04d}", ".warc.zst")
-                    out, path = opened.__enter__()
-                    bundle, k = Bundle(out), k + 1
-                found.append((record_id(page), page, bundle.add(record(page, url, payload, digest, first))))
-                if bundle.plain >= BUNDLE:
+            for i in range(batch.num_rows):
+                page, url, payload, digest, first = (c[i].as_py() for c in batch.columns)
+                if open_ is None:
+                    held = new_file(folder, f"bundle-{part:06d}-{k:04d}", ".warc.zst")
+                    out, path = held.__enter__()
+                    open_, k = Bundle(out, frame), k + 1
+                data = record(page, url, payload, digest, first)
+                found.append((record_id(page), page, path, *open_.add(data), len(data)))
+                if open_.plain >= bundle:
                     yield close()
-        if bundle is not None:
+        if open_ is not None:
             yield close()
 
     return written(joined.mapInArrow(run, "record_id string, page long, path string, frame long, offset long, size long"), "warc-index")
 
 
 def read_bundles(index: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """The records of the index, read through the bundles' seek tables: id_col, record_type, refers_to, payload_digest, payload_bytes, payload (null for revisits)."""
+    """The records of the index, read through the bundles' seek tables, each frame once: id_col, record_type, refers_to, payload_digest, payload_bytes, payload (null for revisits)."""
 
     def run(batches):
-        for batch in batches:
-            rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("path", "frame"))))
-            at, out, held = 0, [], 0
-            while at < len(rows):
-                path = rows[at][0]
-                with open_file(path) as f:
-                    places = seek_table(f)
-                    while at < len(rows) and rows[at][0] == path:
-                        out.append(parse(read_frame(f, *places[rows[at][1]])))
-                        held += len(out[-1]["payload"])
-                        at += 1
-                        if held > 16 << 20:
-                            yield _records(out)
-                            out, held = [], 0
-            if out:
-                yield _records(out)
+        path, file, at, plain, places = None, None, None, b"", []
+        try:
+            for batch in batches:
+                out, held = [], 0
+                for row in zip(*(batch.column(c).to_pylist() for c in ("path", "frame", "offset", "size"))):
+                    if row[0] != path:
+                        if file:
+                            file.close()
+                        path, file, at = row[0], open_file(row[0]), None
+                        places = seek_table(file)
+                    if row[1] != at:
+                        at, plain = row[1], read_frame(file, *places[row[1]])
+                    out.append(parse(plain[row[2] : row[2] + row[3]]))
+                    held += len(out[-1]["payload"])
+                    if held > 16 << 20:
+                        yield _records(out)
+                        out, held = [], 0
+                if out:
+                    yield _records(out)
+        finally:
+            if file:
+                file.close()
 
     def _records(out: list[dict]) -> pa.RecordBatch:
         revisit = [x["record_type"] == "revisit" for x in out]
         column = lambda k, t: pa.array([x[k] for x in out], t)
         return pa.record_batch([column("page", pa.int64()), column("record_type", pa.string()), column("refers_to", pa.int64()), column("payload_digest", pa.string()), column("payload_bytes", pa.int64()), pa.array([None if r else x["payload"] for r, x in zip(revisit, out)], pa.binary())], [id_col, "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
 
-    places = index.select("path", "frame").repartition(max(1, index.select("path").distinct().count()), "path").sortWithinPartitions("path", "frame")
+    places = index.select("path", "frame", "offset", "size").repartition(max(1, index.select("path").distinct().count()), "path").sortWithinPartitions("path", "frame", "offset")
     return places.mapInArrow(run, f"`{id_col}` long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
