@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm import exact_dedup, minhash_dedup, packing, quality_classifier, substring_dedup, tokens
-from textquarry.llm.common import scratch, shared_path, table, text_of, written
+from textquarry.llm.common import row_key, scratch, shared_path, table, text_of, written
 from textquarry.llm.files import remove
 
 
 def kept_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The documents that verdict (doc_id, h, kept) keeps; h is the xxhash64 of the text."""
+    """The documents that verdict (doc_id, h, kept) keeps; h is the row_key of the text."""
     once = verdict.groupBy("doc_id", "h").agg(F.bool_or("kept").alias("kept"))  # repeated rows stay together
     gone = once.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))
-    match = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_of("text")) == F.col("gone_h"))
+    match = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (row_key(text_of("text")) == F.col("gone_h"))
     return docs.join(gone, match, "left_anti")
 
 
