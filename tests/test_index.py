@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import bm25, index
+from textquarry.operators import bm25, index, vector_index
 from textquarry.operators.storage import listed, new_path
 
 VOCAB = [f"w{i}" for i in range(300)]
@@ -163,3 +163,67 @@ def test_stored_index_is_found_again(spark, tmp_path):
     assert (one.folder, one.segments) == (two.folder, two.segments)
     frame(spark, texts(60)).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert bm25.stored_index(spark, f"{tmp_path}/t.parquet", "id", "text").n_docs == 60
+
+
+# Vectors ------------------------------------------------------------------------------------------------------
+
+
+def vector_rows(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype("float32"))] + [(10**6, None)], "vec_id long, embedding array<float>").repartition(4)
+
+
+def nearest(x, who, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return {(i, int(j)) for i in who for j in np.argsort(-(u @ u[i]), kind="stable")[:k]}
+
+
+@pytest.mark.parametrize("dim", [10, 32])
+def test_vector_index(spark, dim):
+    """Clustered rows: at most a fifth of them is looked at, the rest is never read; all scores are exact."""
+    rng = np.random.default_rng(dim)
+    x = (rng.normal(size=(40, dim)) * 3)[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, dim)) * 0.4
+    x[:100] = x[100]  # a very common vector
+    own = vector_index.index_of(vector_rows(spark, x))
+    assert own.rows.count() == 3000 and own.rows.select("id").distinct().count() == 3000
+    who = list(range(150, 190))
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in who], "qid long, vector array<float>")
+    got = vector_index.search(own, q, 10).collect()
+    assert len({(r["qid"], r["id"]) for r in got} & nearest(x, who, 10)) / 400 >= 0.9
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(abs(r["score"] - u[r["qid"]] @ u[r["id"]]) < 1e-4 for r in got)
+    one = spark.createDataFrame([(who[0], x[who[0]].tolist())], "qid long, vector array<float>")
+    qids, v = vector_index.asked_vectors(one, "qid", "vector")
+    read = scanned(vector_index.shortlisted(own, qids, v, 100))
+    assert 0 < read <= 3000 / 5
+    again = vector_index.opened(spark, own.folder)
+    assert {tuple(r) for r in vector_index.search(again, one, 5).collect()} == {tuple(r) for r in vector_index.search(own, one, 5).collect()}
+
+
+def test_vector_index_without_clusters(spark):
+    """Nothing to prune by lists: exact scores are still taken of a fifth of the rows at most."""
+    x = np.random.default_rng(3).normal(size=(1000, 64))
+    own = vector_index.index_of(vector_rows(spark, x))
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(30)], "qid long, vector array<float>")
+    got = {(r["qid"], r["id"]) for r in vector_index.search(own, q, 10).collect()}
+    assert len(got & nearest(x, range(30), 10)) / 300 >= 0.9
+    assert vector_index.shortlisted(own, *vector_index.asked_vectors(q, "qid", "vector"), 100).count() <= 30 * 1000 / 5
+
+
+def test_large_vector_indexes_have_more_lists(spark, monkeypatch):
+    """Lists are not capped: beyond LISTS of them, each is split by residuals."""
+    monkeypatch.setattr(vector_index, "LISTS", 8)
+    x = np.random.default_rng(4).normal(size=(2000, 8))
+    own = vector_index.index_of(vector_rows(spark, x))
+    assert own.model.lists.shape[0] == 8 and len(own.model.parts) == 6 and own.rows.select("list").distinct().count() > 40
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(20)], "qid long, vector array<float>")
+    got = {(r["qid"], r["id"]) for r in vector_index.search(own, q, 10).collect()}
+    assert len(got & nearest(x, range(20), 10)) / 200 >= 0.9
+
+
+def test_odd_vector_tables(spark):
+    none = vector_index.index_of(vector_rows(spark, np.zeros((0, 3))))
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "qid long, vector array<float>")
+    assert vector_index.search(none, q, 3).count() == 0
+    few = vector_index.index_of(vector_rows(spark, np.array([[0, 0, 0], [1, 1, 0], [1, 0, 0]])))
+    assert [(r["id"], r["score"]) for r in vector_index.search(few, q, 3).orderBy("rank").collect()] == [(2, 1.0), (1, 0.707107), (0, 0.0)]
+    assert vector_index.search(few, q.limit(0), 3).count() == 0

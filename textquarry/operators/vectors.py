@@ -1,9 +1,8 @@
 """Vector search for a stated set of queries against all rows.
 
 Queries are taken in batches that are broadcast; each Arrow block of rows is multiplied with a chunk of
-them at a time, keeps its k best for each query, and only those are shuffled to the final ranking.
-The inverted-file form assigns every row to its nearest centroid, of which there are about the square root of the number of
-rows, and probes a share of the lists for each query; blocks of a list meet the queries that probe it.
+them at a time, keeps its k best for each query, and only those are shuffled to the final ranking. ``vector_index`` has the stored,
+approximate form.
 """
 
 from __future__ import annotations
@@ -60,47 +59,3 @@ def _search(source: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, least: f
                     yield result(qids[low : low + CHUNK], row[keep], found[keep], score[keep])
 
     return source.mapInArrow(run, "qid long, id long, score double")
-
-
-def centroids(rows: DataFrame, lists: int, vector_col: str = "embedding", most: int = 20_000, seed: int = 7, rounds: int = 15) -> np.ndarray:
-    """Centres of spherical k-means, fitted on a sample of at most `most` rows drawn by hash."""
-    x = rows.select(F.col(vector_col).alias("v")).where("v is not null").orderBy(F.xxhash64("v")).limit(most).toArrow()["v"].combine_chunks()
-    x = unit(matrix(x))
-    c = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        c = unit(np.stack([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))]))
-    return c
-
-
-def ivf_search(rows: DataFrame, queries: DataFrame, k: int, lists: int | None = None, share: float = 0.7, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "qid", query_vector: str = "vector") -> DataFrame:
-    """As search, but each query meets only the rows of the lists of its nearest centroids: a share of all lists, whose number is about the square root of that of the rows unless it is given. Every row is in one list."""
-    count = rows.where(F.col(vector_col).isNotNull()).count()
-    c = centroids(rows, lists or int(np.clip(np.sqrt(count), 1, 4096)), vector_col)
-    probes = max(1, int(np.ceil(share * len(c))))
-    source = rows.select(F.col(id_col).cast("long"), F.col(vector_col)).where(F.col(vector_col).isNotNull())
-
-    def found(part: DataFrame) -> DataFrame:
-        qids, q = asked_vectors(part, query_id, query_vector)
-        near = np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes] if len(qids) else np.zeros((0, 1), np.int64)
-        probed = np.zeros((len(c), len(qids)), bool)
-        probed[near.ravel(), np.repeat(np.arange(len(qids)), near.shape[1])] = True
-        held = rows.sparkSession.sparkContext.broadcast((c, qids, q, probed))
-
-        def run(batches):
-            c, qids, q, probed = held.value
-            for b in batches:
-                if not b.num_rows or not len(qids):
-                    continue
-                ids, x = np.array(b.column(0), np.int64), unit(matrix(b.column(1)))
-                own = (x @ c.T).argmax(1)
-                for at in np.unique(own):  # rows of one list with the queries that probe it
-                    mine = np.flatnonzero(own == at)
-                    for low in range(0, int(probed[at].sum()), CHUNK):
-                        who = np.flatnonzero(probed[at])[low : low + CHUNK]
-                        row, got, score = best_of_block(ids[mine], np.round(q[who] @ x[mine].T, 6) + 0.0, k)
-                        yield result(qids[who], row, got, score)
-
-        return source.mapInArrow(run, "qid long, id long, score double")
-
-    return top(reduce(DataFrame.unionByName, map(found, batches_of(queries, query_id))), k)

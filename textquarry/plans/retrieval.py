@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import word_tokens
-from textquarry.operators import bm25, fusion, vectors
+from textquarry.operators import bm25, fusion, vector_index, vectors
 
 TOP = 10
 
@@ -210,7 +210,8 @@ def low_quality_flag(spark, d):
 
 
 def ann_ivf_topk(spark, d):
-    return ranked(vectors.ivf_search(table(spark, d, "embeddings"), asked(spark, d), TOP))
+    """The nearest rows by the stored index: lists, codes, exact scores of a shortlist."""
+    return ranked(vector_index.search(vector_index.stored(spark, f"{d}/embeddings.parquet"), asked(spark, d), TOP))
 
 
 PACKAGE = dict(tokens=BLANK, variant="package", k1=1.5)
