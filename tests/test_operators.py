@@ -242,43 +242,6 @@ def test_alert_stream_fires_once(spark, tmp_path):
     assert [(r["alert_id"], r["paper_id"]) for r in got.collect()] == [(1, 1)]
 
 
-def test_ingest(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([("a", "old", t0), ("a", "old", t0), ("b", "x", t0)], "id string, v string, published_at timestamp")
-    q = jobs.ingest(stream(spark, df, tmp_path / "i"), str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    last = sorted((tmp_path / "out").glob("current-*"))[-1]
-    assert sorted(r["id"] for r in spark.read.parquet(str(last)).collect()) == ["a", "b"]
-
-
-def test_ingest_takes_newer_versions_and_keeps_the_table(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    at = lambda m: t0 + dt.timedelta(minutes=m)
-    out, source = tmp_path / "out", tmp_path / "in"
-
-    def arrive(rows, checkpoint):
-        spark.createDataFrame(rows, "id string, v string, published_at timestamp").coalesce(1).write.mode("append").parquet(str(source))
-        jobs.ingest(spark.readStream.schema("id string, v string, published_at timestamp").parquet(str(source)), str(out), checkpoint=str(tmp_path / checkpoint)).awaitTermination(120)
-
-    def now():
-        last = max(out.glob("current-*"), key=lambda p: int(p.name[8:]))
-        return {r["id"]: r["v"] for r in spark.read.parquet(str(last)).collect()}
-
-    arrive([("a", "1", at(0)), ("a", "3", at(2)), ("a", "2", at(1)), ("b", "1", at(0))], "cp")
-    assert now() == {"a": "3", "b": "1"}
-    arrive([("b", "2", at(5)), ("a", "0", at(-300)), ("late", "1", at(-300))], "cp")
-    assert now() == {"a": "3", "b": "2", "late": "1"}
-    source = tmp_path / "in2"
-    arrive([("c", "1", at(9))], "other")  # batch 0 of a new checkpoint
-    assert now() == {"a": "3", "b": "2", "late": "1", "c": "1"}
-    n = len(list(out.glob("current-*")))
-    for p in max(out.glob("current-*"), key=lambda p: int(p.name[8:])).iterdir():
-        p.write_bytes(b"no parquet")
-    with pytest.raises(Exception):
-        arrive([("d", "1", at(9))], "other")
-    assert len(list(out.glob("current-*"))) == n
-
-
 def test_extended_index_equals_a_new_one(spark):
     docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None)], "id long, text string")
     more = spark.createDataFrame([(2, "c d"), (4, "a d d")], "id long, text string")

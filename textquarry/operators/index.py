@@ -261,12 +261,12 @@ def _without(index: Index, ids: DataFrame) -> list[Segment]:
     return out
 
 
-def extended(index: Index, docs: DataFrame) -> Index:
-    """The next version, with further documents (id, tokens); those of the same ids are replaced. Writes one segment."""
+def extended(index: Index, docs: DataFrame, version: int | None = None) -> Index:
+    """The next version, with further documents (id, tokens); those of the same ids are replaced. Writes one segment. version is its number, if not the next one."""
     block = index.segments[0].block if index.segments else BLOCK
     new = _segment(docs, index.folder, block)
     ids = index.read(new, "docs").select(F.explode("ids").alias("id"))
-    return _committed(index.spark, index.folder, index.version + 1, [*_without(index, ids), new])
+    return _committed(index.spark, index.folder, version or index.version + 1, [*_without(index, ids), new])
 
 
 def shrunk(index: Index, ids: DataFrame) -> Index:

@@ -42,11 +42,6 @@ def audit_page(spark, d):
     return repository.page(rows.select("event_id", "user_id", "ts", "value"), "ts", "event_id", 25, 2, descending=True)
 
 
-def audit_retention(spark, d):
-    rows = _as_of(spark, d).withColumn("kept", logs.within_retention(log(spark, d), F.col("as_of"), 10))
-    return rows.groupBy("kept").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"))
-
-
 def rate_minute(spark, d):
     return logs.request_counts(log(spark, d), minute=2, hour=4).select("event_id", "user_id", "last_minute", "last_hour", "blocked")
 
@@ -193,18 +188,10 @@ def collection_visible(spark, d):
     return repository.visible(rows, 17).select("o_orderkey", "user_id", "is_public")
 
 
-def upsert_latest(spark, d):
-    """Orders with newer rows for every third one, and some deleted."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(1).alias("version"))
-    new = o.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(2).alias("version"))
-    gone = o.where("o_orderkey % 10 = 5").select("o_orderkey")
-    return repository.delete(repository.upsert(o, new, "o_orderkey", "version"), gone, "o_orderkey").select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), F.col("version").cast("long").alias("version"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (audit_stats, audit_user_activity, audit_suspicious, audit_failed, audit_page, audit_retention, rate_minute, rate_fixed, rolling_failure, latency_quantiles, metric_histogram, cache_stats, metric_totals, trending_window, query_frequency, error_labels,
-              conv_context, conv_rollup, conv_search, conv_summary, conv_titles, alert_matches, alert_event_counts, repo_page, repo_search, paper_search, paper_with_chunks, papers_by_category, collection_order, collection_visible, upsert_latest)
+    for f in (audit_stats, audit_user_activity, audit_suspicious, audit_failed, audit_page, rate_minute, rate_fixed, rolling_failure, latency_quantiles, metric_histogram, cache_stats, metric_totals, trending_window, query_frequency, error_labels,
+              conv_context, conv_rollup, conv_search, conv_summary, conv_titles, alert_matches, alert_event_counts, repo_page, repo_search, paper_search, paper_with_chunks, papers_by_category, collection_order, collection_visible)
 }
 
 _K = "(props->>'$.k')"
@@ -221,7 +208,6 @@ ORACLES = {
       SELECT *, failed_logins > 0 OR addresses > 2 OR searches > 1 AS suspicious FROM g""",
     "audit_failed": f"SELECT {_K} AS address, count(*) AS n, max(ts) AS last FROM events WHERE event_type = 'error' AND ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1",
     "audit_page": "WITH r AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error' AND ts >= '2024-01-05' AND ts <= '2024-01-20') SELECT *, (SELECT count(*) FROM r) AS total, 2::BIGINT AS page, ceil((SELECT count(*) FROM r) / 25.0)::BIGINT AS total_pages FROM (SELECT * FROM r ORDER BY ts DESC, event_id LIMIT 25 OFFSET 25)",
-    "audit_retention": "SELECT ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY AS kept, count(*) AS n, min(ts) AS oldest FROM events GROUP BY 1",
     "rate_minute": """WITH c AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '59.999999 seconds' PRECEDING AND CURRENT ROW) - 1 AS last_minute, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) - 1 AS last_hour FROM events)
       SELECT *, last_minute >= 2 OR last_hour >= 4 AS blocked FROM c""",
     "rate_fixed": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2",
@@ -249,5 +235,4 @@ ORACLES = {
     "papers_by_category": "SELECT lang AS category, count(*) AS n FROM documents GROUP BY 1",
     "collection_order": "WITH g AS (SELECT o_custkey AS collection_id, o_orderkey % 7 AS paper_id, min(o_orderkey) AS f, arg_max(o_orderpriority, o_orderkey) AS notes FROM orders GROUP BY 1, 2) SELECT collection_id, paper_id, row_number() OVER (PARTITION BY collection_id ORDER BY f, paper_id) - 1 AS order_index, notes FROM g",
     "collection_visible": "SELECT o_orderkey, o_custkey AS user_id, o_orderstatus = 'P' AS is_public FROM orders WHERE o_custkey = 17 OR o_orderstatus = 'P'",
-    "upsert_latest": "SELECT o_orderkey, round(o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END, 2) AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM orders WHERE o_orderkey % 10 <> 5",
 }

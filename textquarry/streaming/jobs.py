@@ -1,14 +1,12 @@
-"""Streaming forms: ingest, alerts, audit windows, trends, rates, metrics.
+"""Streaming forms: alerts, audit windows, trends, rates, metrics.
 
 Event times are cast to timestamp, because watermarks do not take timestamp_ntz. Late rows beyond the watermark are
-dropped, except by ingest, which has none. State of the two exact forms is kept by user or tenant, never under one key.
+dropped. State of the two exact forms is kept by user or tenant, never under one key.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import uuid
 from collections import deque
 from functools import reduce
 
@@ -16,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.operators import logs, repository
+from textquarry.operators import logs
 from textquarry.operators.blocks import batches_of
 
 
@@ -24,29 +22,6 @@ def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
-def ingest(stream: DataFrame, path: str, key: str = "id", ts: str = "published_at", checkpoint: str | None = None):
-    """A stream of papers into the table at path: the latest version of each id, however late it comes. Starts the query (available-now).
-
-    Each batch is merged into the highest current-N below path and makes the next one, which takes its name when it is whole. Merging a
-    batch again changes nothing. The table starts anew only if there is no current-N; any error in reading it fails the batch.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        there = [f.getPath().getName() for f in fs.listStatus(hadoop.Path(path))] if fs.exists(hadoop.Path(path)) else []
-        last = max((int(n[8:]) for n in there if re.fullmatch("current-[0-9]+", n)), default=-1)
-        old = spark.read.parquet(f"{path}/current-{last}") if last >= 0 else batch.limit(0)
-        new = f"{path}/writing-{uuid.uuid4().hex}"
-        repository.upsert(old, batch, key, ts).write.parquet(new)
-        if not fs.rename(hadoop.Path(new), hadoop.Path(f"{path}/current-{last + 1}")):
-            raise OSError(f"{new} can't be renamed")
-
-    writer = stream.withColumn(ts, F.col(ts).cast("timestamp")).writeStream.foreachBatch(merge).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-
-
 def alert_stream(papers: DataFrame, standing: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Matches of new papers: each paper is judged once within the watermark."""
     once = timed(papers, ts, late).dropDuplicatesWithinWatermark(["paper_id"])
