@@ -262,3 +262,41 @@ def test_complete_chunks_and_reranker_chain(spark):
     assert [r["id"] for r in out] == [12, 11]
     with pytest.raises(ValueError):
         chains.by_method("other", None, None, 1)
+
+
+def test_suggestions_for_prefixes_of_several_words(spark):
+    from textquarry.operators import suggest
+    from textquarry.operators.storage import new_path
+
+    terms = [("deep", 50), ("deep learning", 40), ("deep learning model", 60), ("learning", 30), ("learning rate", 20), ("deed", 10), ("model", 90), ("a deep learning story", 5)]
+    vocab = suggest.scored(spark.createDataFrame(terms, "term string, df long"), spark.createDataFrame([("learning rate", 10)], "term string, qf long"))
+    own = suggest.completions(vocab, new_path(spark, "t"))
+    prefixes = spark.createDataFrame([("deep learning",), ("dee",), ("learning r",), ("x",), ("",)], "prefix string")
+    found = lambda df, p: [r["term"] for r in df.where(F.col("prefix") == p).orderBy("rank").collect()]
+    assert found(suggest.related(own, prefixes, 10), "deep learning") == ["learning rate", "deep learning model", "deep", "learning", "a deep learning story"]
+    assert found(suggest.by_prefix(own, prefixes, 10), "deep learning") == ["deep learning model"]
+    assert found(suggest.by_prefix(own, prefixes, 10), "dee") == ["deep learning model", "deep", "deep learning", "deed"]
+    assert found(suggest.by_prefix(own, prefixes, 2), "dee") == ["deep learning model", "deep"]
+    assert found(suggest.by_prefix(own, prefixes, 10), "learning r") == ["learning rate"]
+    whole = found(suggest.suggest(own, prefixes, 4), "deep learning")
+    assert whole == ["deep learning model", "learning rate", "deep", "learning"] and "deep learning" not in whole
+    again = suggest.completions(vocab.limit(1), own.folder)  # the table that is there stays
+    assert again.vocab.count() == len(terms)
+
+
+def test_suggestions_equal_all_pairs(spark):
+    from textquarry.operators import suggest
+    from textquarry.operators.storage import new_path
+
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abc"), rng.integers(3, 6))) for _ in range(30)]
+    terms = sorted({" ".join(rng.choice(words, n)) for n in (1, 2, 3) for _ in range(300)})
+    scores = {t: round(float(rng.integers(1, 40)) / 100, 6) for t in terms}
+    own = suggest.completions(spark.createDataFrame([(t, 1, s) for t, s in scores.items()], "term string, df long, score double"), new_path(spark, "t"))
+    asked = sorted({t[: int(rng.integers(2, len(t) + 1))] for t in terms[::7]})
+    prefixes = spark.createDataFrame([(p,) for p in asked], "prefix string")
+    best = lambda found, share: [t for _, t in sorted((-round(scores[t] * share, 6), t) for t in found)[:5]]
+    want = [(p, t, i + 1) for p in asked for i, t in enumerate(best([t for t in terms if t.startswith(p) and t != p], 1))]
+    assert sorted((r["prefix"], r["term"], r["rank"]) for r in suggest.by_prefix(own, prefixes, 5).collect()) == sorted(want)
+    want = [(p, t, i + 1) for p in asked for i, t in enumerate(best([t for t in terms if set(t.split()) & set(p.split(" ")) and t != p], 0.6))]
+    assert sorted((r["prefix"], r["term"], r["rank"]) for r in suggest.related(own, prefixes, 5).collect()) == sorted(want)

@@ -1,12 +1,24 @@
-"""Suggestions for prefixes: vocabulary counts, scores, prefix, fuzzy and related matches."""
+"""Suggestions for prefixes, from a stored completion table.
+
+The vocabulary is counted and scored once. Its best terms are kept for every prefix of up to HEAD characters and for every word, while
+these lists are made: a prefix, or a word of one, is then one lookup. Longer prefixes look up the terms that share their first HEAD characters
+and compare the rest. Fuzzy matches meet by forms without some characters.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import word_tokens
-from textquarry.operators.storage import spread
+from textquarry.operators.storage import fingerprint, listed, removed, renamed, shared_dir, spread
+
+#: Characters of the longest prefix with a list of its own, and terms of such a list (one may be the prefix itself).
+HEAD, KEPT = 8, 21
 
 
 def phrases(text: Column) -> Column:
@@ -38,11 +50,65 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def by_prefix(vocab: DataFrame, prefixes: DataFrame, k: int) -> DataFrame:
-    """Terms that start with a prefix (of two characters or more); joined on the first two characters."""
-    key = lambda c: F.substring(c, 1, 2)
-    pairs = prefixes.where(F.length("prefix") >= 2).withColumn("key", key("prefix")).join(vocab.withColumn("key", key("term")), "key")
-    return _best(pairs.where(F.startswith("term", "prefix") & (F.col("term") != F.col("prefix"))).select("prefix", "term", "score"), k)
+@dataclass(frozen=True)
+class Completions:
+    """The stored table."""
+
+    spark: SparkSession
+    folder: str
+
+    @property
+    def vocab(self) -> DataFrame:
+        """term, df, score."""
+        return self.spark.read.schema("term string, df long, score double").parquet(f"{self.folder}/vocab")
+
+    def best(self, kind: str) -> DataFrame:
+        """key, term, score: the KEPT best terms of each prefix (kind prefix) or word (kind word)."""
+        return self.spark.read.schema("key string, term string, score double").parquet(f"{self.folder}/best/{kind}")
+
+    @property
+    def heads(self) -> DataFrame:
+        """head, term, score of the terms of more than HEAD characters."""
+        return self.spark.read.schema("head string, term string, score double").parquet(f"{self.folder}/heads")
+
+
+def completions(vocab: DataFrame, folder: str) -> Completions:
+    """Writes the table of a scored vocabulary (term, df, score)."""
+    spark, draft = vocab.sparkSession, f"{folder}.new-{uuid.uuid4().hex}"
+    vocab.select("term", "df", "score").write.parquet(f"{draft}/vocab")
+    own = Completions(spark, draft)
+    prefixes = F.transform(F.sequence(F.lit(2), F.least(F.length("term"), F.lit(HEAD))), lambda n: F.substring("term", F.lit(1), n))
+    keys = {"prefix": (own.vocab.where("length(term) >= 2"), prefixes), "word": (own.vocab, F.array_distinct(F.split("term", " ")))}
+    for kind, (terms, of) in keys.items():
+        w = Window.partitionBy("key").orderBy(F.desc("score"), "term")
+        each = terms.select(F.explode(of).alias("key"), "term", "score")  # cut to KEPT before the shuffle and after it
+        best = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= KEPT).drop("r")
+        best.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{draft}/best/{kind}")
+    heads = own.vocab.where(F.length("term") > HEAD).select(F.substring("term", 1, HEAD).alias("head"), "term", "score")
+    heads.repartitionByRange("head", "term").sortWithinPartitions("head").write.parquet(f"{draft}/heads")
+    if not renamed(spark, draft, folder):
+        removed(spark, draft)  # there was one already
+    return Completions(spark, folder)
+
+
+def stored(spark: SparkSession, path: str, text_col: str = "text", asked: DataFrame | None = None, asked_path: str | None = None) -> Completions:
+    """The table of a Parquet file's texts and of the terms that were asked (term, qf, from asked_path), from the shared folder if it is there; else it is built."""
+    state = [fingerprint(spark, p) for p in (path, asked_path) if p] + [text_col, str(asked is not None)]
+    folder = f"{shared_dir(spark).rstrip('/')}/textquarry/completions-{hashlib.sha256(repr(state).encode()).hexdigest()[:32]}"
+    if listed(spark, folder):
+        return Completions(spark, folder)
+    return completions(scored(vocabulary(spark.read.parquet(path), text_col), asked), folder)
+
+
+def by_prefix(own: Completions, prefixes: DataFrame, k: int) -> DataFrame:
+    """The best terms that start with a prefix of two characters or more, without the prefix itself; k is less than KEPT."""
+    if k >= KEPT:
+        raise ValueError(f"k is less than {KEPT}")
+    n = F.length("prefix")
+    short = prefixes.where((n >= 2) & (n <= HEAD)).join(own.best("prefix"), F.col("prefix") == F.col("key"))
+    long = prefixes.where(n > HEAD).join(own.heads, (F.substring("prefix", 1, HEAD) == F.col("head")) & F.startswith("term", "prefix"))
+    both = short.select("prefix", "term", "score").unionByName(long.select("prefix", "term", "score"))
+    return _best(both.where("term != prefix"), k)
 
 
 def deletions(c: Column) -> Column:
@@ -66,20 +132,19 @@ def fuzzy(vocab: DataFrame, prefixes: DataFrame, k: int, most: int = 2) -> DataF
     return _best(near.select("prefix", "term", F.round(F.col("score") * 0.8, 6).alias("score")), k)
 
 
-def related(vocab: DataFrame, prefixes: DataFrame, k: int) -> DataFrame:
-    """Phrases that share a word with a prefix, at 0.6 of their score."""
-    words = lambda df, c: df.withColumn("word", F.explode(F.array_distinct(F.split(c, " "))))
-    pairs = words(vocab, "term").join(words(prefixes, "prefix"), "word").where("term != prefix")
-    once = pairs.select("prefix", "term", "score").distinct()  # phrases that share several words
+def related(own: Completions, prefixes: DataFrame, k: int) -> DataFrame:
+    """Phrases that share a word with a prefix, at 0.6 of their score. The best of each word are enough: a phrase's score is the same for all prefixes."""
+    words = prefixes.select("prefix", F.explode(F.array_distinct(F.split("prefix", " "))).alias("key"))
+    once = words.join(own.best("word"), "key").where("term != prefix").select("prefix", "term", "score").distinct()  # phrases that share several words
     return _best(once.select("prefix", "term", F.round(F.col("score") * 0.6, 6).alias("score")), k)
 
 
-def suggest(vocab: DataFrame, prefixes: DataFrame, k: int) -> DataFrame:
+def suggest(own: Completions, prefixes: DataFrame, k: int) -> DataFrame:
     """Prefix matches, then fuzzy ones, then related ones, each while there is room; the best k by score, each term once."""
-    lists = [by_prefix(vocab, prefixes, k), fuzzy(vocab, prefixes, k), related(vocab, prefixes, k)]
-    union = lists[0].withColumn("stage", F.lit(0))
-    for i, df in enumerate(lists[1:], 1):
-        union = union.unionByName(df.withColumn("stage", F.lit(i)))
+    union = None
+    for i, df in enumerate((by_prefix(own, prefixes, k), fuzzy(own.vocab, prefixes, k), related(own, prefixes, k))):
+        df = df.withColumn("stage", F.lit(i))
+        union = df if union is None else union.unionByName(df)
     first = union.groupBy("prefix", "term").agg(F.min(F.struct("stage", "rank", "score")).alias("f"))
     w = Window.partitionBy("prefix").orderBy("f.stage", "f.rank")
     room = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)

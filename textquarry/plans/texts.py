@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from textquarry.functions import expand, screen
 from textquarry.functions.text import cache_key, fixed_chunks, normalised, token_estimate
 from textquarry.operators import suggest
-from textquarry.operators.storage import written
 from textquarry.plans.retrieval import table
 
 
@@ -63,24 +62,29 @@ def vocab_freq(spark, d):
 
 
 def _prefixes(spark, d):
-    """Prefixes of four characters of the first words of the questions."""
-    return table(spark, d, "benchmark").select(F.substring(F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0), 1, 4).alias("prefix")).where("length(prefix) >= 3").distinct()
+    """Prefixes of questions: four characters of the first word, and the first word with two characters of the next."""
+    low = table(spark, d, "benchmark").select(F.lower("text").alias("t"))
+    one = low.select(F.substring(F.regexp_extract("t", "[a-z]{3,}", 0), 1, 4).alias("prefix")).where("length(prefix) >= 3")
+    return one.union(low.select(F.regexp_extract("t", "[a-z]{3,} [a-z]{2}", 0))).where("prefix != ''").distinct()
 
 
-def _vocab(spark, d):
-    return written(suggest.scored(vocab_freq(spark, d)), "vocabulary")
+def _completions(spark, d):
+    """Terms of the documents; what users wrote counts as asked."""
+    path = f"{d}/conversations.parquet"
+    asked = suggest.vocabulary(spark.read.parquet(path).where("role = 'user'"), "text").withColumnRenamed("df", "qf")
+    return suggest.stored(spark, f"{d}/documents.parquet", "text", asked, path)
 
 
 def suggest_prefix(spark, d):
-    return suggest.by_prefix(_vocab(spark, d), _prefixes(spark, d), 5)
+    return suggest.by_prefix(_completions(spark, d), _prefixes(spark, d), 5)
 
 
 def suggest_fuzzy(spark, d):
-    return suggest.fuzzy(_vocab(spark, d), _prefixes(spark, d), 5)
+    return suggest.fuzzy(_completions(spark, d).vocab, _prefixes(spark, d), 5)
 
 
 def suggest_all(spark, d):
-    return suggest.suggest(_vocab(spark, d), _prefixes(spark, d), 8)
+    return suggest.suggest(_completions(spark, d), _prefixes(spark, d), 8)
 
 
 def _pages(spark, d):
@@ -148,8 +152,12 @@ def _expanded(q: str, both: bool) -> str:
 _VOCAB = """w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_matches(x, '^[a-z]{3,}$')) AS w FROM documents),
 ph AS (SELECT doc_id, unnest(list_distinct(w || list_filter([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))] || [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)], lambda p: length(p) >= 5))) AS term FROM w),
 vo AS (SELECT term, count(*) AS df FROM ph GROUP BY term),
-vs AS (SELECT term, df, round(least(df / 100, 1.0::DOUBLE) * 0.5::DOUBLE + CASE WHEN length(term) BETWEEN 3 AND 20 THEN 0.1::DOUBLE WHEN length(term) BETWEEN 21 AND 40 THEN 0.05::DOUBLE ELSE 0 END, 6) AS score FROM vo),
-pr AS (SELECT DISTINCT substring(regexp_extract(lower(text), '[a-z]{3,}'), 1, 4) AS prefix FROM benchmark WHERE length(regexp_extract(lower(text), '[a-z]{3,}')) >= 3),
+wa AS (SELECT list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_matches(x, '^[a-z]{3,}$')) AS w FROM conversations WHERE role = 'user'),
+pa AS (SELECT unnest(list_distinct(w || list_filter([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))] || [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)], lambda p: length(p) >= 5))) AS term FROM wa),
+qf AS (SELECT term, count(*) AS qf FROM pa GROUP BY term),
+vs AS (SELECT term, df, round(least(df / 100, 1.0::DOUBLE) * 0.5::DOUBLE + least(coalesce(qf, 0) / 10, 1.0::DOUBLE) * 0.3::DOUBLE + CASE WHEN length(term) BETWEEN 3 AND 20 THEN 0.1::DOUBLE WHEN length(term) BETWEEN 21 AND 40 THEN 0.05::DOUBLE ELSE 0 END, 6) AS score FROM vo LEFT JOIN qf USING (term)),
+pr AS (SELECT DISTINCT substring(regexp_extract(lower(text), '[a-z]{3,}'), 1, 4) AS prefix FROM benchmark WHERE length(regexp_extract(lower(text), '[a-z]{3,}')) >= 3
+  UNION SELECT regexp_extract(lower(text), '[a-z]{3,} [a-z]{2}') FROM benchmark WHERE regexp_matches(lower(text), '[a-z]{3,} [a-z]{2}')),
 f0 AS (SELECT prefix, term, score FROM pr, vs WHERE starts_with(term, prefix) AND term <> prefix),
 f1 AS (SELECT prefix, term, round(score * 0.8::DOUBLE, 6) AS score FROM pr, vs WHERE NOT contains(term, ' ') AND abs(length(term) - length(prefix)) <= 2 AND levenshtein(prefix, term) <= 2 AND term <> prefix),
 f2 AS (SELECT DISTINCT prefix, term, round(score * 0.6::DOUBLE, 6) AS score FROM (SELECT prefix, unnest(string_split(prefix, ' ')) AS w FROM pr) JOIN (SELECT term, score, unnest(string_split(term, ' ')) AS w FROM vs) USING (w) WHERE term <> prefix)"""
