@@ -227,3 +227,50 @@ def test_odd_vector_tables(spark):
     few = vector_index.index_of(vector_rows(spark, np.array([[0, 0, 0], [1, 1, 0], [1, 0, 0]])))
     assert [(r["id"], r["score"]) for r in vector_index.search(few, q, 3).orderBy("rank").collect()] == [(2, 1.0), (1, 0.707107), (0, 0.0)]
     assert vector_index.search(few, q.limit(0), 3).count() == 0
+
+
+# Similar entries ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("bucket,block", [(512, 1024), (8, 16)])
+def test_cache_against_all_pairs(spark, monkeypatch, bucket, block):
+    """The same key first, then the most similar living entry; a bucket that holds most rows is dealt into blocks."""
+    from textquarry.operators import similar
+
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 24))
+    x = base[rng.integers(0, 60, 400)] + rng.normal(size=(400, 24)) * 0.25
+    x[:150] = base[0] + rng.normal(size=(150, 24)) * 0.05  # one hot bucket
+    x = np.round(x, 3).astype("float32")
+    expires = rng.integers(0, 4, 400)
+    entries = [(i, f"k{i % 390}", v.tolist(), int(e)) for i, (v, e) in enumerate(zip(x, expires))] + [(900, "dead", None, 9), (901, "none", x[1].tolist(), None)]
+    asked = [(i, f"k{i}" if i % 4 == 0 else f"other{i}", (x[i] + rng.normal(size=24) * 0.1).astype("float32").tolist(), i % 3) for i in range(400)] + [(950, "dead", None, 1), (951, "missing", None, 1)]
+    got = {r["qid"]: r for r in similar.cached(spark.createDataFrame(asked, "qid long, key string, vector array<float>, at int"), spark.createDataFrame(entries, "id long, key string, vector array<float>, expires int")).collect()}
+    assert len(got) == len(asked)
+    best = {}
+    for i, k, v, e in entries:
+        if e is not None and (k not in best or (e, -i) > (best[k][2], -best[k][0])):
+            best[k] = (i, v, e)
+    right = total = 0
+    for q, k, v, t in asked:
+        if k in best and t < best[k][2]:
+            assert (got[q]["match_id"], got[q]["kind"], got[q]["score"]) == (best[k][0], "exact", 1.0)
+            continue
+        near = [(round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 6), -i) for i, w, e in best.values() if v is not None and w is not None and t < e]
+        top = max((n for n in near if n[0] >= 0.85), default=None)
+        if top is None:
+            assert got[q]["match_id"] is None and got[q]["kind"] is None
+        else:
+            total += 1
+            right += got[q]["match_id"] is not None and abs(got[q]["score"] - top[0]) < 1e-5
+    assert total > 100 and right / total >= 0.97
+
+
+def test_bands_keep_what_is_similar():
+    from textquarry.operators import similar
+
+    for n in (10, 10**6, 10**10):
+        bits, count = similar.bands(n, 0.85)
+        assert 1 - (1 - (1 - math.acos(0.85) / math.pi) ** bits) ** count >= 0.99 and bits <= 24

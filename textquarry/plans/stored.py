@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.operators import tables
+from textquarry.operators import similar, tables
 from textquarry.operators.storage import new_path
 from textquarry.operators.tables import Shape, Store
 from textquarry.plans.activity import log
@@ -66,12 +66,29 @@ def ingest_tables(spark, d):
     return out.select(F.col("id").cast("long").alias("doc_id"), "n_chars", "n_words", "n_chunks", "n_vectors")
 
 
-QUERIES = {f.__name__: f for f in (upsert_latest, audit_retention, ingest_tables)}
+def semantic_cache(spark, d):
+    """Every vector is a cached question, which lives for some days; every one is asked again, a third of them as they are, the others a little changed. The entry that answers: the same key, else the most similar living one."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    days = F.col("vec_id") % 5
+    entries = e.select(F.col("vec_id").alias("id"), similar.vector_key(F.col("embedding")).alias("key"), F.col("embedding").alias("vector"), days.alias("expires"))
+    changed = F.transform("embedding", lambda x, i: (x * (F.lit(1.0) + ((F.col("vec_id") + i) % 3) * 0.25)).cast("float"))
+    v = F.when(F.col("vec_id") % 3 == 0, F.col("embedding")).otherwise(changed)
+    asked = e.select(F.col("vec_id").alias("qid"), v.alias("vector")).select("qid", similar.vector_key(F.col("vector")).alias("key"), "vector", F.lit(1).alias("at"))
+    return similar.cached(asked, entries)
+
+
+QUERIES = {f.__name__: f for f in (upsert_latest, audit_retention, ingest_tables, semantic_cache)}
 
 _REVISED = "CASE WHEN doc_id % 3 = 0 THEN 'Revised. ' || text ELSE text END"
 ORACLES = {
     "upsert_latest": "SELECT o_orderkey, round(o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END, 2) AS o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM orders WHERE o_orderkey % 10 <> 5",
     "audit_retention": "SELECT ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY AS kept, count(*) AS n, min(ts) AS oldest FROM events GROUP BY 1",
+    "semantic_cache": """WITH e AS (SELECT vec_id AS id, embedding AS v, vec_id % 5 AS t FROM embeddings), k AS (SELECT v, arg_max(id, (t, -id)) AS id, max(t) AS t FROM e GROUP BY v),
+      q AS (SELECT vec_id AS qid, CASE WHEN vec_id % 3 = 0 THEN embedding ELSE [(embedding[i]::DOUBLE * (1 + ((vec_id + i - 1) % 3) * 0.25::DOUBLE))::FLOAT FOR i IN range(1, len(embedding) + 1)] END AS v FROM embeddings),
+      x AS (SELECT qid, q.v, k.id AS exact_id FROM q LEFT JOIN k ON q.v = k.v AND 1 < k.t),
+      s AS (SELECT qid, k.id, round(list_sum([x.v[i]::DOUBLE * k.v[i]::DOUBLE FOR i IN range(1, len(k.v) + 1)]) / (sqrt(list_sum([a::DOUBLE * a::DOUBLE FOR a IN x.v])) * sqrt(list_sum([a::DOUBLE * a::DOUBLE FOR a IN k.v]))), 6) AS score FROM x, k WHERE exact_id IS NULL AND 1 < k.t),
+      b AS (SELECT qid, arg_max({'i': id, 's': score}, (score, -id)) AS m FROM s WHERE score >= 0.85 GROUP BY qid)
+      SELECT qid, coalesce(exact_id, m.i) AS match_id, CASE WHEN exact_id IS NOT NULL THEN 1.0::DOUBLE ELSE m.s END AS score, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN m.i IS NOT NULL THEN 'similar' END AS kind FROM x LEFT JOIN b USING (qid)""",
     "ingest_tables": f"""WITH p AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, {_REVISED} AS s FROM documents WHERE length(trim(text)) > 0),
       b AS (SELECT doc_id, 'Title: ' || title || chr(10) || chr(10) || 'Abstract: ' || s AS t FROM p), {_chunk_sql('b', 'doc_id')}, k AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
       SELECT doc_id, length(s)::BIGINT AS n_chars, len({WORDS.format(t="title || ' ' || s")})::BIGINT AS n_words, n AS n_chunks, n AS n_vectors FROM p JOIN k USING (doc_id)""",
