@@ -49,3 +49,16 @@ def test_rules_of_filters_and_numbers(spark):
     df = spark.createDataFrame([({"a<": "x", "b": None, " ": "y", "c": "1", "c ": "2"}, "7"), ({}, "0"), (None, "x"), ({"k": "v" * 900}, "21")], "f map<string,string>, k string")
     got = [tuple(r) for r in df.select(screen.filters_cleaned(F.col("f")), screen.results_problem(F.col("k"))).collect()]
     assert got == [({"a&lt;": "x", "c": "2"}, None), ({}, "too_few"), (None, "not_a_number"), ({"k": "v" * 500}, "too_many")]
+
+
+def test_merging_strategies_and_failed_lists(spark):
+    from textquarry.operators import chains, fusion
+
+    lists = spark.createDataFrame([(1, 10, 1, 5.0, 0), (1, 11, 2, 4.0, 0), (1, 11, 1, 9.0, 2), (2, 10, 1, 1.0, 1)], "qid long, id long, rank long, score double, list_no int")
+    asked = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0)], "qid long, list_no int")
+    for strategy, plain in (("rrf", fusion.rrf), ("weighted", fusion.weighted_merge), ("union", fusion.union_merge)):
+        got = chains.merged(lists, asked, 5, strategy)
+        assert {(r["qid"], r["id"]): r["rank"] for r in got.collect()} == {(r["qid"], r["id"]): r["rank"] for r in plain(lists, 5).collect()}
+        assert {r["qid"]: r["n_failed"] for r in got.collect()} == {1: 1, 2: 1}
+    with pytest.raises(ValueError):
+        chains.merged(lists, asked, 5, "best")

@@ -48,6 +48,15 @@ def rrf_by_text(lists: DataFrame, k: int, key: int = 100) -> DataFrame:
     return top(fused.drop("key"), k)
 
 
+def merged(lists: DataFrame, asked: DataFrame, k: int, strategy: str = "rrf") -> DataFrame:
+    """The lists (qid, id, rank, score, list_no) of a question's variants as one, by rrf, weighted or union; with n_failed, how many of the variants that were asked (qid, list_no) found nothing. Questions of which all failed have no rows."""
+    by = {"rrf": fusion.rrf, "weighted": fusion.weighted_merge, "union": fusion.union_merge}
+    if strategy not in by:
+        raise ValueError(f"no strategy {strategy}")
+    failed = asked.join(lists.select("qid", "list_no").distinct(), ["qid", "list_no"], "left_anti").groupBy("qid").agg(F.count("*").alias("n_failed"))
+    return by[strategy](lists, k).join(failed, "qid", "left").fillna(0, ["n_failed"])
+
+
 def rank_positions(lists: DataFrame) -> DataFrame:
     """qid, id and positions: the rank in each list that has the row, in the order of the lists."""
     rows = lists.groupBy("qid", "id").agg(F.array_sort(F.collect_list(F.struct("list_no", "rank"))).alias("l"))

@@ -46,10 +46,11 @@ def ordered(df: DataFrame, by: str, descending: bool, tie: str) -> DataFrame:
 
 
 def page(df: DataFrame, by: str, tie: str, size: int, number: int, descending: bool = False) -> DataFrame:
-    """The rows of one page (from 1) with total, page and total_pages."""
+    """The rows of one page (from 1) with total, page, total_pages, has_next and has_prev."""
     total = df.agg(F.count("*").alias("total"))
     rows = ordered(df, by, descending, tie).offset((number - 1) * size).limit(size)
-    return rows.crossJoin(F.broadcast(total)).withColumn("page", F.lit(number).cast("long")).withColumn("total_pages", F.ceil(F.col("total") / size).cast("long"))
+    out = rows.crossJoin(F.broadcast(total)).withColumn("page", F.lit(number).cast("long")).withColumn("total_pages", F.ceil(F.col("total") / size).cast("long"))  # one row is broadcast
+    return out.withColumn("has_next", F.col("page") < F.col("total_pages")).withColumn("has_prev", F.lit(number > 1))
 
 
 def with_children(parents: DataFrame, children: DataFrame, on: str, child_col: Column, order: str) -> DataFrame:

@@ -207,7 +207,7 @@ ORACLES = {
     "audit_suspicious": f"""WITH e AS (SELECT *, max(ts) OVER () AS as_of FROM events), g AS (SELECT user_id, count_if(ts > as_of - INTERVAL 1 HOUR AND event_type = 'error')::BIGINT AS failed_logins, count(DISTINCT {_K}) AS addresses, count_if(ts > as_of - INTERVAL 1 HOUR AND event_type = 'view')::BIGINT AS searches FROM e WHERE ts > as_of - INTERVAL 24 HOUR GROUP BY user_id)
       SELECT *, failed_logins > 0 OR addresses > 2 OR searches > 1 AS suspicious FROM g""",
     "audit_failed": f"SELECT {_K} AS address, count(*) AS n, max(ts) AS last FROM events WHERE event_type = 'error' AND ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1",
-    "audit_page": "WITH r AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error' AND ts >= '2024-01-05' AND ts <= '2024-01-20') SELECT *, (SELECT count(*) FROM r) AS total, 2::BIGINT AS page, ceil((SELECT count(*) FROM r) / 25.0)::BIGINT AS total_pages FROM (SELECT * FROM r ORDER BY ts DESC, event_id LIMIT 25 OFFSET 25)",
+    "audit_page": "WITH r AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'error' AND ts >= '2024-01-05' AND ts <= '2024-01-20') SELECT *, (SELECT count(*) FROM r) AS total, 2::BIGINT AS page, ceil((SELECT count(*) FROM r) / 25.0)::BIGINT AS total_pages, 2 < ceil((SELECT count(*) FROM r) / 25.0) AS has_next, true AS has_prev FROM (SELECT * FROM r ORDER BY ts DESC, event_id LIMIT 25 OFFSET 25)",
     "rate_minute": """WITH c AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '59.999999 seconds' PRECEDING AND CURRENT ROW) - 1 AS last_minute, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) - 1 AS last_hour FROM events)
       SELECT *, last_minute >= 2 OR last_hour >= 4 AS blocked FROM c""",
     "rate_fixed": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2",
@@ -228,7 +228,7 @@ ORACLES = {
     "conv_titles": "SELECT conv_id, CASE WHEN length(t) > 100 THEN substring(t, 1, 100) || '...' ELSE t END AS title FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1)",
     "alert_matches": f"WITH {_ALERTS} SELECT * FROM m",
     "alert_event_counts": f"WITH {_ALERTS} SELECT alert_id, count(*) AS paper_count, min(paper_id) AS first_paper, max(paper_id) AS last_paper FROM m GROUP BY 1",
-    "repo_page": "WITH r AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F') SELECT *, (SELECT count(*) FROM r) AS total, 3::BIGINT AS page, ceil((SELECT count(*) FROM r) / 20.0)::BIGINT AS total_pages FROM (SELECT * FROM r ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40)",
+    "repo_page": "WITH r AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F') SELECT *, (SELECT count(*) FROM r) AS total, 3::BIGINT AS page, ceil((SELECT count(*) FROM r) / 20.0)::BIGINT AS total_pages, 3 < ceil((SELECT count(*) FROM r) / 20.0) AS has_next, true AS has_prev FROM (SELECT * FROM r ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40)",
     "repo_search": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY' AND contains(c_name, '#0000001')",
     "paper_search": "SELECT doc_id AS paper_id, length(text) AS n FROM documents WHERE lang IN ('en', 'de') AND contains(lower(text), 'idiot') ORDER BY n DESC, doc_id LIMIT 30",
     "paper_with_chunks": "SELECT o_orderkey AS k, o_orderstatus, count(l_partkey) AS n, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey::VARCHAR), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2",

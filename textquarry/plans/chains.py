@@ -59,7 +59,8 @@ def rank_positions(spark, d):
 def _sentences(spark, d):
     """The sentences of a question as its sub-questions, those of three words or more."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.split("text", "[.]")).alias("no", "text"))
-    return b.where(F.size(word_tokens(F.col("text"))) >= 3).withColumn("item_id", F.col("qid") * 1000 + F.col("no"))
+    most = b.agg(F.max("no")).first()[0] or 0  # so many numbers are kept for each question that none meets another's
+    return b.where(F.size(word_tokens(F.col("text"))) >= 3).withColumn("item_id", F.col("qid") * (most + 1) + F.col("no"))
 
 
 def sub_questions(spark, d):
@@ -130,7 +131,8 @@ def token_estimates(spark, d):
 QUERIES = {f.__name__: f for f in (ensemble_rrf, search_switch, bm25_threshold, text_key_rrf, rank_positions, sub_questions, rerank_chain, chunk_metadata, warm_statistics, paper_author_search, recent_rows, cascade_delete, token_estimates)}
 
 _K2 = 2 * TOP
-_SUBS = f"(SELECT item_id * 1000 + no AS item_id, text FROM (SELECT item_id, unnest(string_split(text, '.')) AS text, unnest(range(0, len(string_split(text, '.')))) AS no FROM benchmark) WHERE len({WORDS.format(t='text')}) >= 3)"
+_WIDE = "(SELECT max(len(string_split(text, '.'))) FROM benchmark)"
+_SUBS = f"(SELECT item_id * {_WIDE} + no AS item_id, text FROM (SELECT item_id, unnest(string_split(text, '.')) AS text, unnest(range(0, len(string_split(text, '.')))) AS no FROM benchmark) WHERE len({WORDS.format(t='text')}) >= 3)"
 _VARIANTS = f"""(WITH x AS (SELECT item_id, text AS v, trim(regexp_extract(text, '^[^.!?]*')) AS s, trim(regexp_replace(regexp_replace(text, '\\([^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) AS b FROM benchmark),
   y AS (SELECT item_id, [v, {expanded_sql('v', False)}] || CASE WHEN length(s) > 10 THEN [s] ELSE [] END || CASE WHEN length(b) > 5 THEN [b] ELSE [] END AS a FROM x), z AS (SELECT item_id, unnest(a) AS text, unnest(range(0, len(a))) AS i FROM y),
   u AS (SELECT item_id, text, min(i) AS i FROM z GROUP BY item_id, text) SELECT item_id * 10 + row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS item_id, text FROM u)"""
@@ -145,7 +147,7 @@ ORACLES = {
       SELECT 'semantic' AS method, qid, rank, id AS doc_id, score FROM sem WHERE rank <= {TOP} AND score >= 0.3 UNION ALL SELECT 'keyword', qid, rank, id, score FROM lex WHERE rank <= {TOP} AND score >= 0.7 UNION ALL SELECT 'hybrid', qid, rank, id, score FROM hy WHERE rank <= {TOP}""",
     "bm25_threshold": f"WITH {lexical_sql(TOP)} SELECT qid, rank, id AS doc_id, score FROM lex WHERE score >= 20",
     "rank_positions": f"WITH {semantic_sql(TOP)}, {lexical_sql(TOP)} SELECT qid, id AS doc_id, string_agg(rank::VARCHAR, ',' ORDER BY list_no) AS positions FROM ({BOTH}) GROUP BY qid, id",
-    "sub_questions": f"WITH {lexical_sql(3).replace('FROM benchmark', f'FROM {_SUBS}')} SELECT qid // 1000 AS qid, count(*) AS n_sources, string_agg(id::VARCHAR, ',' ORDER BY qid % 1000, rank) AS sources FROM lex GROUP BY 1",
+    "sub_questions": f"WITH {lexical_sql(3).replace('FROM benchmark', f'FROM {_SUBS}')} SELECT qid // w AS qid, count(*) AS n_sources, string_agg(id::VARCHAR, ',' ORDER BY qid % w, rank) AS sources FROM lex, {_WIDE.replace(" FROM", " AS w FROM")} GROUP BY 1",
     "rerank_chain": final_sql(
         f"""{lexical_sql(20)}, mm AS (SELECT qid, id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS s FROM lex WINDOW w AS (PARTITION BY qid)),
         tx AS (SELECT doc_id AS id, list_distinct({WORDS.format(t='text')}) AS tw FROM documents), qx AS (SELECT item_id AS qid, list_distinct({WORDS.format(t='text')}) AS qw FROM benchmark)""",

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import expand, rows
-from textquarry.operators import bm25, fusion
+from textquarry.operators import bm25, chains
+from textquarry.plans.chains import _VARIANTS, _variants
 from textquarry.plans.retrieval import TOP, WORDS, index_of, lexical, lexical_sql, table
 from textquarry.sources import reports
 
@@ -30,13 +31,12 @@ def not_indexed(spark, d):
 
 
 def multi_query(spark, d):
-    """Each question as three variants in one job (itself, its first sentence, its last words), fused by rank."""
-    b = table(spark, d, "benchmark")
-    first, last = F.split("text", "[.]")[0], F.substring("text", -80, 80)
-    variants = b.select("item_id", F.posexplode(F.array("text", first, last)).alias("no", "variant")).select((F.col("item_id") * 10 + F.col("no")).alias("item_id"), F.col("variant").alias("text"))
+    """Each question's variants in one job, fused by rank: with the number of lists that have the document, and of variants that found nothing."""
+    variants = _variants(spark, d)
     found = bm25.search(index_of(spark, d), variants, 2 * TOP)
-    lists = found.select((F.floor(F.col("qid") / 10)).cast("long").alias("qid"), "id", "rank", "score", F.pmod("qid", F.lit(10)).cast("int").alias("list_no"))
-    return fusion.rrf(lists, TOP).select("qid", "rank", F.col("id").alias("doc_id"), "score", "n_lists")
+    lists = found.select(F.floor(F.col("qid") / 10).cast("long").alias("qid"), "id", "rank", "score", F.pmod("qid", F.lit(10)).cast("int").alias("list_no"))
+    merged = chains.merged(lists, variants.select("qid", F.col("no").alias("list_no")), TOP, "rrf")
+    return merged.select("qid", "rank", F.col("id").alias("doc_id"), "score", "n_lists", "n_failed")
 
 
 def result_shape(spark, d):
@@ -47,8 +47,8 @@ def result_shape(spark, d):
 
 
 def export_json(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.split("text", " ")[0], 1, 20).alias("title"))
-    return reports.result_json(lexical(spark, d, 2).join(docs, "id").withColumnRenamed("id", "doc_id").withColumn("score", F.col("rank")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"))
+    return reports.result_json(lexical(spark, d, 2).join(docs, "id").withColumnRenamed("id", "doc_id"), F.create_map(F.lit("method"), F.lit("keyword")), "2024-01-01T00:00:00Z")
 
 
 def cache_ttl(spark, d):
@@ -97,16 +97,17 @@ def variant_lines(spark, d):
 QUERIES = {f.__name__: f for f in (glob_purge, category_whitelist, not_indexed, multi_query, result_shape, export_json, cache_ttl, job_progress, file_manifest, request_paths, user_lists, variant_lines)}
 
 _K = "(props->>'$.k')::BIGINT"
-_VARIANTS = "(SELECT item_id * 10 + no AS item_id, variant AS text FROM (SELECT item_id, unnest([text, string_split(text, '.')[1], right(text, 80)]) AS variant, unnest(range(0, 3)) AS no FROM benchmark))"
 _IN = ", ".join(f"'{c}'" for c in rows.CATEGORIES)
 ORACLES = {
     "glob_purge": "SELECT source, count(*) AS n FROM documents WHERE NOT regexp_full_match(source, 'src1.*') AND NOT regexp_full_match(source, 's.c2') GROUP BY 1",
     "category_whitelist": f"SELECT category, count(*) AS n, category IN ({_IN}) AS known FROM (SELECT CASE lang WHEN 'en' THEN 'cs.LG' WHEN 'de' THEN 'cs.DS' ELSE 'cs.' || upper(lang) END AS category FROM documents) GROUP BY 1",
     "not_indexed": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
-    "multi_query": f"WITH {lexical_sql(2 * TOP).replace('FROM benchmark', f'FROM {_VARIANTS}')}, fu AS (SELECT qid // 10 AS qid, id, round(sum(1.0 / (60.0::DOUBLE + rank)), 6) AS score, count(*) AS n_lists FROM lex GROUP BY 1, 2) SELECT qid, rank, id AS doc_id, score, n_lists FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fu) WHERE rank <= {TOP}",
+    "multi_query": f"""WITH {lexical_sql(2 * TOP).replace('FROM benchmark', f'FROM {_VARIANTS}')}, fu AS (SELECT qid // 10 AS qid, id, round(sum(1.0 / (60.0::DOUBLE + rank)), 6) AS score, count(*) AS n_lists FROM lex GROUP BY 1, 2),
+      va AS (SELECT item_id // 10 AS qid, count(*) AS n FROM {_VARIANTS} GROUP BY 1), fo AS (SELECT qid // 10 AS qid, count(DISTINCT qid) AS n FROM lex GROUP BY 1)
+      SELECT qid, rank, id AS doc_id, score, n_lists, va.n - fo.n AS n_failed FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fu) JOIN va USING (qid) JOIN fo USING (qid) WHERE rank <= {TOP}""",
     "result_shape": f"WITH {lexical_sql(3)} SELECT qid, rank, CASE rank WHEN 1 THEN 0.9::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE score END AS score, string_split(text, chr(10))[1] AS title, substring(text, 1, 300) AS excerpt, doc_id FROM lex JOIN documents ON doc_id = id",
-    "export_json": f"""WITH {lexical_sql(2)}, r AS (SELECT qid, rank, id, substring(string_split(text, ' ')[1], 1, 20) AS title FROM lex JOIN documents ON doc_id = id)
-      SELECT qid, '{{"count":' || count(*) || ',"results":[' || string_agg('{{"rank":' || rank || ',"doc_id":' || id || ',"title":' || to_json(title) || ',"score":' || rank || '}}', ',' ORDER BY rank) || ']}}' AS json FROM r GROUP BY qid""".replace("{{", "{").replace("}}", "}"),
+    "export_json": f"""WITH {lexical_sql(2)}, r AS (SELECT qid, rank, id, score, string_split(text, chr(10))[1] AS title FROM lex JOIN documents ON doc_id = id)
+      SELECT qid, '{{"timestamp":"2024-01-01T00:00:00Z","metadata":{{"method":"keyword"}},"count":' || count(*) || ',"results":[' || string_agg('{{"rank":' || rank || ',"doc_id":' || id || ',"title":' || to_json(title) || ',"score":' || score || '}}', ',' ORDER BY rank) || ']}}' AS json FROM r GROUP BY qid""".replace("{{", "{").replace("}}", "}"),
     "cache_ttl": f"SELECT event_type, coalesce(CASE WHEN event_type <> 'error' THEN floor(epoch((SELECT max(ts) FROM events)))::BIGINT - floor(epoch(ts))::BIGINT > {_K} * 3600 END, false) AS expired, count(*) AS n FROM events GROUP BY 1, 2",
     "job_progress": "SELECT l_orderkey, done, total, round(100.0::DOUBLE * done / total, 4) AS percent, CASE WHEN done > 0 THEN round((total - done) / (done / 3600.0::DOUBLE), 4) END AS seconds_left FROM (SELECT l_orderkey, count_if(l_shipdate < '1997-01-01')::BIGINT AS done, count(*) AS total FROM lineitem GROUP BY 1)",
     "file_manifest": """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') || CASE WHEN page_id % 3 = 0 THEN '.html' ELSE '.exe' END AS name, CASE WHEN page_id % 5 = 0 THEN 0 ELSE length(html) * 1000 END AS size FROM pages)

@@ -42,7 +42,8 @@ def export_csv(spark, d):
 
 
 def export_markdown(spark, d):
-    return reports.markdown(results(spark, d))
+    answers = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.concat(F.lit("See "), F.lower("text")).alias("answer"))
+    return reports.markdown(results(spark, d), answers)
 
 
 def export_audit(spark, d):
@@ -139,7 +140,7 @@ ORACLES = {
     "context_strings": f"WITH {_RES} {_JOIN.format(line='''concat('[', rank, '] ', title, chr(10), 'SOURCE: ', link, chr(10), 'EXCERPT: ', text, chr(10))''', sep='chr(10)')}",
     "prompts": f"WITH {_RES.replace('substring(text, 1, 300)', 'substring(text, 1, 2000)')}, c AS ({_JOIN.format(line='''concat('[', rank, '] ', title, chr(10), substring(text, 1, 2000), chr(10))''', sep='chr(10)')}), d AS (SELECT qid, CASE WHEN length(text) > 32000 THEN substring(text, 1, 32000) || chr(10) || '...(truncated)' ELSE text END AS text FROM c) SELECT qid, 'Answer the question from the numbered sources below and cite them by number.' || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || chr(10) || 'Sources:' || chr(10) || d.text || chr(10) || 'Answer:' AS prompt FROM d JOIN benchmark b ON item_id = qid",
     "export_csv": f"WITH {_RES} SELECT qid, rank, title, authors, substring(published, 1, 4) AS year, link, score FROM re",
-    "export_markdown": f"WITH {_RES}, c AS ({_JOIN.format(line='''concat(rank, '. **', title, '** - ', authors, ' (', substring(published, 1, 4), ')  ', chr(10), '   <', link, '>')''', sep='chr(10)')}) SELECT qid, '# Results' || chr(10) || chr(10) || text || chr(10) AS text FROM c",
+    "export_markdown": f"WITH {_RES}, c AS ({_JOIN.format(line='''concat(rank, '. **', title, '** - ', authors, ' (', substring(published, 1, 4), ')  ', chr(10), '   <', link, '>')''', sep='chr(10)')}) SELECT item_id AS qid, '# ' || b.text || chr(10) || chr(10) || 'See ' || lower(b.text) || chr(10) || chr(10) || '## Sources' || chr(10) || chr(10) || coalesce(c.text, '') || chr(10) AS text FROM benchmark b LEFT JOIN c ON qid = item_id",
     "export_audit": "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE (user_id % 2 = 0)::VARCHAR END, '') AS success FROM events",
     "eval_quality": f"""WITH {semantic_sql(TOP)}, e AS (SELECT b.item_id AS qid, y.vec_id AS id FROM benchmark b JOIN embeddings x ON x.vec_id = b.item_id JOIN embeddings y ON y.label = x.label AND y.vec_id <> x.vec_id),
       g AS (SELECT qid, count(*) AS n_relevant, count(rank) AS n_hits, min(rank) AS first, coalesce(sum(1 / log2(rank + 1)), 0) AS dcg FROM e LEFT JOIN sem USING (qid, id) GROUP BY qid)

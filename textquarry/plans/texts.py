@@ -37,24 +37,25 @@ def unique_docs(spark, d):
 
 
 def asked(spark, d):
-    """Short questions from the benchmark: the first sentence of each, some with acronyms in front."""
-    first = F.split("text", "[.]")[0]
-    return table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("LLM model "), F.substring(first, 1, 60))).when(F.col("item_id") % 4 == 1, F.concat(F.lit("rag "), F.substring(first, 1, 12))).otherwise(first).alias("q"))
+    """Short questions from the benchmark: every sentence of each, some with acronyms in front."""
+    each = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "[.]")).alias("s", "q"))
+    front = F.when(F.col("item_id") % 4 == 0, "LLM model ").when(F.col("item_id") % 4 == 1, "rag ").otherwise("")
+    return each.select("item_id", F.col("s").cast("long").alias("sentence"), F.concat(front, "q").alias("q"))
 
 
 def query_expand(spark, d):
     q = asked(spark, d)
-    return q.select("item_id", "q", expand.intensity(F.col("q")).alias("intensity"), expand.expandable(F.col("q")).alias("expandable"), expand.expanded(F.col("q")).alias("acronym"), expand.expanded(F.col("q"), "both").alias("both"))
+    return q.select("item_id", "sentence", "q", expand.intensity(F.col("q")).alias("intensity"), expand.expandable(F.col("q")).alias("expandable"), expand.expanded(F.col("q")).alias("acronym"), expand.expanded(F.col("q"), "both").alias("both"))
 
 
 def query_variants(spark, d):
-    out = asked(spark, d).select("item_id", F.posexplode(expand.variants(F.concat("q", F.lit(" (see above). More")))).alias("no", "variant"))
-    return out.select("item_id", F.col("no").cast("long").alias("no"), "variant")
+    out = asked(spark, d).select("item_id", "sentence", F.posexplode(expand.variants(F.concat("q", F.lit(" (see above). More")))).alias("no", "variant"))
+    return out.select("item_id", "sentence", F.col("no").cast("long").alias("no"), "variant")
 
 
 def query_templates(spark, d):
-    out = asked(spark, d).select("item_id", F.posexplode(expand.template_variants(F.col("q"))).alias("no", "variant"))
-    return out.select("item_id", F.col("no").cast("long").alias("no"), "variant")
+    out = asked(spark, d).select("item_id", "sentence", F.posexplode(expand.template_variants(F.col("q"))).alias("no", "variant"))
+    return out.select("item_id", "sentence", F.col("no").cast("long").alias("no"), "variant")
 
 
 def vocab_freq(spark, d):
@@ -135,7 +136,7 @@ def _lit(x: str) -> str:
 
 _BUILT = f"""b AS (SELECT doc_id, source, lang, string_split(text, chr(10))[1] AS title, 'Title: ' || string_split(text, chr(10))[1] || chr(10) || chr(10) || 'Abstract: ' || text AS t FROM documents),
 {_chunk_sql('b', 'doc_id, source, lang, title')}, ch AS (SELECT doc_id, doc_id || '::chunk_' || i AS chunk_id, i AS chunk_index, substring(t, (i * 750 + 1)::BIGINT, 900) AS text, title, source, lang FROM c)"""
-_ASKED = "q AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'LLM model ' || substring(string_split(text, '.')[1], 1, 60) WHEN item_id % 4 = 1 THEN 'rag ' || substring(string_split(text, '.')[1], 1, 12) ELSE string_split(text, '.')[1] END AS q FROM benchmark)"
+_ASKED = "q AS (SELECT item_id, sentence, CASE item_id % 4 WHEN 0 THEN 'LLM model ' WHEN 1 THEN 'rag ' ELSE '' END || x AS q FROM (SELECT item_id, unnest(string_split(text, '.')) AS x, unnest(range(0, len(string_split(text, '.')))) AS sentence FROM benchmark))"
 _KIND = "CASE WHEN length(trim({q})) < 30 THEN 'full' WHEN length(trim({q})) < 100 THEN 'moderate' ELSE 'minimal' END"
 _ACRONYMS = "list_filter([" + ", ".join(f"CASE WHEN contains(lower({{q}}), {_lit(a.lower())}) AND NOT contains(lower({{q}}), {_lit(x)}) THEN {_lit(x)} END" for a, x in expand.ACRONYMS.items()) + "], lambda x: x IS NOT NULL)"
 _RELATED = "list_filter(flatten(list_transform(regexp_extract_all(lower({q}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: CASE " + " ".join(f"WHEN w = {_lit(w)} THEN [{', '.join(map(_lit, terms))}]" for w, terms in expand.RELATED.items()) + " ELSE []::VARCHAR[] END)), lambda t: NOT contains(lower({q}), t))"
@@ -177,11 +178,11 @@ ORACLES = {
     "chunks_built": f"WITH {_BUILT} SELECT * FROM ch",
     "index_listing": f"WITH {_BUILT}, g AS (SELECT title, count(*) AS n_chunks, arg_min({{'d': doc_id, 's': source, 'p': substring(text, 1, 300)}}, (doc_id, chunk_index)) AS f FROM ch GROUP BY title) SELECT no, title, n_chunks, f.d AS doc_id, f.s AS source, f.p AS preview, (SELECT count(*) FROM g) AS total FROM (SELECT *, row_number() OVER (ORDER BY n_chunks DESC, title) AS no FROM g) WHERE no <= 50",
     "unique_docs": "SELECT count(DISTINCT nullif(string_split(text, chr(10))[1], '')) AS n_titles, count(*) AS n_docs FROM documents",
-    "query_expand": f"WITH {_ASKED} SELECT item_id, q, {_KIND.format(q='q')} AS intensity, length(trim(q)) BETWEEN 10 AND 200 AS expandable, {_expanded('q', False)} AS acronym, {_expanded('q', True)} AS both FROM q",
-    "query_variants": f"""WITH {_ASKED}, x AS (SELECT item_id, q || ' (see above). More' AS v, trim(string_split(q || ' (see above). More', '.')[1]) AS s, trim(regexp_replace({_LINE}, '\\s+', ' ', 'g')) AS b FROM q),
-      y AS (SELECT item_id, [v, {_expanded('v', False)}] || CASE WHEN length(s) > 10 THEN [s] ELSE [] END || CASE WHEN length(b) > 5 THEN [b] ELSE [] END AS a FROM x), z AS (SELECT item_id, unnest(a) AS variant, unnest(range(0, len(a))) AS i FROM y),
-      u AS (SELECT item_id, variant, min(i) AS i FROM z GROUP BY item_id, variant) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS no, variant FROM u""",
-    "query_templates": f"WITH {_ASKED}, t AS (SELECT unnest([{', '.join(map(_lit, expand.TEMPLATES))}]) AS t, unnest(range(0, {len(expand.TEMPLATES)})) AS no) SELECT item_id, no, replace(t, '{{query}}', q) AS variant FROM q, t",
+    "query_expand": f"WITH {_ASKED} SELECT item_id, sentence, q, {_KIND.format(q='q')} AS intensity, length(trim(q)) BETWEEN 10 AND 200 AS expandable, {_expanded('q', False)} AS acronym, {_expanded('q', True)} AS both FROM q",
+    "query_variants": f"""WITH {_ASKED}, x AS (SELECT item_id, sentence, q || ' (see above). More' AS v, trim(string_split(q || ' (see above). More', '.')[1]) AS s, trim(regexp_replace({_LINE}, '\\s+', ' ', 'g')) AS b FROM q),
+      y AS (SELECT item_id, sentence, [v, {_expanded('v', False)}] || CASE WHEN length(s) > 10 THEN [s] ELSE [] END || CASE WHEN length(b) > 5 THEN [b] ELSE [] END AS a FROM x), z AS (SELECT item_id, sentence, unnest(a) AS variant, unnest(range(0, len(a))) AS i FROM y),
+      u AS (SELECT item_id, sentence, variant, min(i) AS i FROM z GROUP BY item_id, sentence, variant) SELECT item_id, sentence, row_number() OVER (PARTITION BY item_id, sentence ORDER BY i) - 1 AS no, variant FROM u""",
+    "query_templates": f"WITH {_ASKED}, t AS (SELECT unnest([{', '.join(map(_lit, expand.TEMPLATES))}]) AS t, unnest(range(0, {len(expand.TEMPLATES)})) AS no) SELECT item_id, sentence, no, replace(t, '{{query}}', q) AS variant FROM q, t",
     "vocab_freq": f"WITH {_VOCAB} SELECT term, df FROM vo",
     "suggest_prefix": f"WITH {_VOCAB} SELECT prefix, term, score, rank FROM {_best('f0', 5)}",
     "suggest_fuzzy": f"WITH {_VOCAB} SELECT prefix, term, score, rank FROM {_best('f1', 5)}",

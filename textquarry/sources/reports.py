@@ -70,9 +70,14 @@ def prompts(context: DataFrame, questions: DataFrame) -> DataFrame:
     return context.join(questions, "qid").select("qid", filled(template, question=F.col("question"), context=F.col("text")).alias("prompt"))
 
 
-def markdown(results: DataFrame) -> DataFrame:
+def markdown(results: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """qid and a page of its results; with answers (qid, question, answer) under the question and its answer."""
     line = F.concat("rank", F.lit(". **"), "title", F.lit("** - "), "authors", F.lit(" ("), year(F.col("published")), F.lit(")  \n   <"), "link", F.lit(">"))
-    return joined(results, line, "\n").withColumn("text", F.concat(F.lit("# Results\n\n"), "text", F.lit("\n")))
+    whole = joined(results, line, "\n")
+    if answers is None:
+        return whole.withColumn("text", F.concat(F.lit("# Results\n\n"), "text", F.lit("\n")))
+    text = F.concat(F.lit("# "), "question", F.lit("\n\n"), F.coalesce("answer", F.lit("")), F.lit("\n\n## Sources\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    return answers.join(whole, "qid", "left").select("qid", text.alias("text"))
 
 
 def html(results: DataFrame, abstract: int | None = 500) -> DataFrame:
@@ -83,11 +88,13 @@ def html(results: DataFrame, abstract: int | None = 500) -> DataFrame:
     return joined(results, line, "\n").withColumn("text", F.concat(F.lit("<!DOCTYPE html><html><body><ol>\n"), "text", F.lit("\n</ol></body></html>")))
 
 
-def result_json(results: DataFrame) -> DataFrame:
-    """qid and one JSON document: count and results in order."""
+def result_json(results: DataFrame, metadata: Column | None = None, timestamp: str | None = None) -> DataFrame:
+    """qid and one JSON document: the time of the export, metadata (a map), count and results in order."""
     row = F.struct("rank", "doc_id", "title", "score")
+    at = F.lit(timestamp) if timestamp else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    meta = F.create_map().cast("map<string,string>") if metadata is None else metadata
     lists = results.groupBy("qid").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(row)).alias("results"))
-    return lists.select("qid", F.to_json(F.struct("count", "results")).alias("json"))
+    return lists.select("qid", F.to_json(F.struct(at.alias("timestamp"), meta.alias("metadata"), "count", "results")).alias("json"))
 
 
 def result_table(results: DataFrame) -> DataFrame:
