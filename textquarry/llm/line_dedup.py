@@ -58,10 +58,16 @@ def exact(text: Column) -> Column:
 
 def leaf_of(line: Column, min_tokens: int) -> Column:
     """Where a plain line belongs: number of tokens, then the leading tokens, fields with digits as variables. Null for short lines."""
-    leading = F.substring_index(line, " ", DEPTH)
-    leading = F.when(leading.rlike("[0-9]"), F.regexp_replace(leading, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(leading)
+    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(x)
+    leading = bound(bound(F.substring_index(line, " ", DEPTH), masked), exact)
     n = blanks_of(line)
-    return F.when((n >= min_tokens - 1) & (F.length(line) >= 2 * min_tokens - 1), F.concat(n.cast("string"), F.lit(" "), exact(leading)))
+    return F.when((n >= min_tokens - 1) & (F.length(line) >= 2 * min_tokens - 1), F.concat(n.cast("string"), F.lit(" "), leading))
+
+
+def nodes_of(lines: DataFrame, *keys: str) -> DataFrame:
+    """The keys and node (a token at its place in a leaf) of rows (leaf_no, line)."""
+    each = lines.select(*keys, "leaf_no", F.posexplode(F.split("line", " ")).alias("i", "token"))
+    return each.select(*keys, F.concat_ws(" ", F.col("leaf_no").cast("string"), F.col("i").cast("string"), exact(F.col("token"))).alias("node"))
 
 
 def dropped_lines(rows: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
@@ -79,15 +85,14 @@ def dropped_lines(rows: DataFrame, min_docs: int, min_tokens: int) -> DataFrame:
         inside = salted_join(exploded, numbers, "leaf", hot_keys(leaves, "leaf", "docs"), ["id", "h", "no"])
     inside = written(inside.select("leaf_no", "id", "h", "no", "line"), "lines")
 
-    # A node is a token at its place in a leaf. Each document's nodes are made distinct first, so that the count after it is pre-aggregated.
-    nodes = F.transform(F.split("line", " "), lambda t, i: F.concat_ws(" ", F.col("leaf_no").cast("string"), i.cast("string"), exact(t)))
-    constant = inside.select("id", "h", F.explode(nodes).alias("node")).distinct().groupBy("node").agg(F.count("*").alias("docs"))
+    # Each document's nodes are made distinct first, so that the count after it is pre-aggregated.
+    constant = nodes_of(inside, "id", "h").distinct().groupBy("node").agg(F.count("*").alias("docs"))
     constant = written(constant.where(F.col("docs") >= min_docs), "constants")
 
     # Equal lines are one here: what many documents repeat is looked at once.
     each = inside.groupBy("leaf_no", exact(F.col("line")).alias("key")).agg(F.first("line").alias("line"), F.count("*").alias("c"))
     each = written(each.withColumn("line_no", F.monotonically_increasing_id()), "different-lines")
-    parts = each.select("line_no", F.size(F.split("line", " ")).alias("n"), F.explode(nodes).alias("node"))
+    parts = nodes_of(each.withColumn("n", blanks_of(F.col("line")) + 1), "line_no", "n")
     fixed = salted_join(parts, constant.select("node"), "node", hot_keys(constant, "node", "docs"), ["line_no"])
     # The nodes that are constants name the template: they tell the leaf and the places, and no token has a blank.
     templates = fixed.groupBy("line_no", "n").agg(F.collect_set("node").alias("some")).where(F.size("some") >= SIMILAR * F.col("n"))
