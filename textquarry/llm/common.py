@@ -90,6 +90,13 @@ def row_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
+def row_pair(id_: Column, text: Column) -> tuple[Column, Column]:
+    """A row's id and text as two 64-bit numbers: 120 bits of SHA-256, and the id mixed into one of them, so that equal pairs are equal rows."""
+    digest = F.sha2(F.concat(F.when(id_.isNull(), "-").otherwise("+"), text), 256)
+    bits = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
+    return F.coalesce(id_, F.lit(0).cast("long")).bitwiseXOR(bits(1)), bits(16)
+
+
 def without(text: Column, letters: str, instead: str = "") -> Column:
     """text with each of the letters replaced; one byte search per letter, which is much cheaper than translate."""
     for c in letters:

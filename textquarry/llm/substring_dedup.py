@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.llm.common import HOT, SALTS, col, hot_keys, row_key, salted_join, table, text_of, written
+from textquarry.llm.common import HOT, SALTS, col, hot_keys, row_pair, salted_join, table, text_of, written
 from textquarry.llm.minhash_dedup import parts
 from textquarry.llm.spans import U, joined, keyed, mix, names, new_key, seeds, utf8, words
 
@@ -224,7 +224,7 @@ def probed(rows: DataFrame, sketch: DataFrame, bits: int, size: int, gram: int,
                 at = at[twice].astype(np.int64) + s * width
                 yield pa.record_batch([pa.array(np.full(len(at), d, np.int32)), pa.array(at)], ["d", "cell"])
 
-    found = written(rows.mapInArrow(all_keys, "id long, h binary, at int, c0 long, c1 long"), "keys")
+    found = written(rows.mapInArrow(all_keys, "id long, h long, at int, c0 long, c1 long"), "keys")
     twice = written(sketch.mapInArrow(often, "d int, cell long"), "cells")
     for d in range(DEPTH):
         c = f"c{d}"
@@ -239,8 +239,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("gram is from 1 to size")
     key = new_key() if key is None else key
     text = text_of(text_col)
-    own = F.struct(*map(col, (text_col, *others))).alias("own") if others else F.lit(None).cast("string").alias("own")
-    whole = df.select(col(id_col).cast("long").alias("id"), row_key(text).alias("h"), text.alias("text"), own)
+    own = F.struct(col(id_col).cast("long").alias("_0"), *(col(c).alias(f"_{i}") for i, c in enumerate((text_col, *others) if others else (), 1))).alias("own")
+    pair = row_pair(col(id_col).cast("long"), text)  # id and h tell rows apart from here on
+    whole = df.select(pair[0].alias("id"), pair[1].alias("h"), text.alias("text"), own)
     rows = whole.select("id", "h", "text")
     bits = cell_bits(rows)
     sketch = merged_sketch(rows, bits, size, gram, key)
@@ -249,7 +250,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         maps = None
         found = probed(rows, sketch, bits, size, gram, key)
-        whole = whole.alias("r").join(found.alias("k"), F.expr("r.id <=> k.id and r.h = k.h"), "left").select("r.*", "k.keys")
+        whole = whole.alias("r").join(found.alias("k"), F.expr("r.id = k.id and r.h = k.h"), "left").select("r.*", "k.keys")
         whole = written(whole, "keyed-texts")  # so that texts move once
 
     def estimated(p: pa.RecordBatch, full: bool) -> tuple[Windows, np.ndarray]:
@@ -279,7 +280,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 one = pa.record_batch([p.column(0), p.column(1), lists((at - np.repeat(w.begin(), per)).astype(np.int32)), lists(low.view(np.int64)), lists(high.view(np.int32))], ["id", "h", "at", "w", "v"])
                 yield one.filter(pa.array(per > 0))
 
-        return whole.drop("own").mapInArrow(run, "id long, h binary, at array<int>, w array<long>, v array<int>")  # made twice: cheaper than a written copy, which would be half the input
+        return whole.drop("own").mapInArrow(run, "id long, h long, at array<int>, w array<long>, v array<int>")  # made twice: cheaper than a written copy, which would be half the input
 
     counted = flagged(None).select(F.explode(F.arrays_zip("w", "v")).alias("x")).select("x.w", "x.v").groupBy("w", "v").agg(F.count("*").alias("c")).where("c > 1")
     counted = written(counted, "windows")
@@ -327,9 +328,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([p.column(0), p.column(1), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), _joined(raw, first[kept], last[kept], left)], names_)
 
     some = whole.mapInArrow(may, whole.select("id", "h", "text", "own").schema)
-    met = some.alias("r").join(marks.alias("m"), F.expr("r.id <=> m.id and r.h = m.h"), "left").select("r.id", "r.own", "r.text", "m.starts")
+    met = some.alias("r").join(marks.alias("m"), F.expr("r.id = m.id and r.h = m.h"), "left").select("r.id", "r.own", "r.text", "m.starts")
     out = met.mapInArrow(cut, schema).unionByName(whole.mapInArrow(left_alone, schema))
-    return out.select(F.col("id").alias(id_col), *(F.col("own").getField(c).alias(c) for c in ((text_col, *others) if others else ())), "n_words", "n_removed", "kept_text")
+    names = {id_col: "_0"} | {c: f"_{i}" for i, c in enumerate((text_col, *others) if others else (), 1)}
+    return out.select(*(F.col("own").getField(f).alias(c) for c, f in names.items()), "n_words", "n_removed", "kept_text")
 
 
 def salted(low: np.ndarray, salt: np.ndarray) -> np.ndarray:
