@@ -2,7 +2,7 @@
 
 A segment is never changed. It has three tables:
 
-* ``docs``: a row for each block of BLOCK documents: block, ids, dls (lengths in tokens)
+* ``docs``: a row for each block of up to BLOCK documents: block, ids, dls (lengths in tokens)
 * ``postings``: a row for each term and block, by bucket (a hash of the term) and sorted by term: gaps (the places of the documents in the
   block, as differences), tfs, and for the block the number of postings, the largest tf and the smallest dl
 * ``terms``: term, df, by bucket
@@ -25,13 +25,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators.storage import listed, removed, renamed, spread
 
-#: Documents of a block.
-BLOCK = 4096
+#: Documents of a block, and tokens beyond which it is closed.
+BLOCK, TOKENS = 4096, 1_000_000
 #: Tokens for each bucket, about; and the bounds of the number of buckets.
 BUCKET_TOKENS, BUCKETS = 2_000_000, (8, 4096)
 #: Segments of fewer than this share of all documents are merged.
@@ -181,54 +182,77 @@ def built(docs: DataFrame, folder: str, block: int = BLOCK) -> Index:
     return _committed(docs.sparkSession, folder, 1, [_segment(docs, folder, block)])
 
 
-def _partial(batches, block: int):
-    """Postings of each batch of rows (at, tokens): term, block, offs, tfs, max_tf, min_dl."""
+def _postings(ids: pa.Array, lists: pa.Array, number: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The row of a block's documents, and its posting rows in the order of their terms."""
+    dl = np.array(lists.value_lengths(), np.int64)
+    words = lists.flatten().dictionary_encode()
+    size = max(1, len(words.dictionary))
+    key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+    code, doc = key // len(dl), key % len(dl)
+    begin = np.searchsorted(code, np.arange(size)) if len(code) else np.zeros(0, np.int64)
+    gaps = np.diff(doc, prepend=0)
+    gaps[begin] = doc[begin]
+    cut, n = pa.array(np.append(begin, len(code)).astype(np.int32)), len(begin)
+    ints = lambda x: pa.array(x.astype(np.int32))
+    terms = words.dictionary if n else pa.array([], pa.string())
+    none = lambda kind, n: pa.nulls(n, kind)
+    own = pa.record_batch([none(pa.string(), 1), pa.array([number], pa.int64()), none(pa.int32(), 1), none(pa.list_(pa.int32()), 1), none(pa.list_(pa.int32()), 1), none(pa.int32(), 1), none(pa.int32(), 1), pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), ints(dl))], RAW)
+    rows = pa.record_batch(
+        [terms.cast(pa.string()), pa.array(np.full(n, number)), ints(np.diff(np.append(begin, len(code)))), pa.ListArray.from_arrays(cut, ints(gaps)), pa.ListArray.from_arrays(cut, ints(tf)), ints(np.maximum.reduceat(tf, begin) if n else begin), ints(np.minimum.reduceat(dl[doc], begin) if n else begin), none(pa.list_(pa.int64()), n), none(pa.list_(pa.int32()), n)],
+        RAW,
+    )
+    return own, rows
+
+
+#: Columns of a segment before it is sorted: posting rows, and rows without a term for the documents of a block.
+RAW = ["term", "block", "n", "gaps", "tfs", "max_tf", "min_dl", "ids", "dls"]
+RAW_SCHEMA = "term string, block long, n int, gaps array<int>, tfs array<int>, max_tf int, min_dl int, ids array<long>, dls array<int>"
+
+
+def _blocks(batches, block: int):
+    """Whole blocks of a task's documents (id, tokens): at most block documents, and about TOKENS tokens."""
+    part, number, ids, lists, docs, tokens = TaskContext.get().partitionId(), 0, [], [], 0, 0
+
+    def flush():
+        nonlocal number, ids, lists, docs, tokens
+        out = _postings(pa.concat_arrays(ids), pa.concat_arrays(lists), (part << 32) + number)
+        number, ids, lists, docs, tokens = number + 1, [], [], 0, 0
+        return out
+
     for batch in batches:
-        at, lists = np.array(batch.column(0), np.int64), batch.column(1)
-        dl = np.array(lists.value_lengths(), np.int64)
-        words = lists.flatten().dictionary_encode()
-        if not len(words):
-            continue
-        size = len(words.dictionary)
-        # By block, term and document: one sort of (document, term), whose counts are the tfs.
-        key, tf = np.unique(np.repeat(np.arange(len(at)), dl) * size + words.indices.to_numpy(), return_counts=True)
-        doc, code = key // size, key % size
-        order = np.lexsort((at[doc], code, at[doc] // block))
-        doc, code, tf = doc[order], code[order], tf[order].astype(np.int32)
-        home = at[doc] // block
-        begin = np.flatnonzero((np.diff(home, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
-        cut = pa.array(np.append(begin, len(code)).astype(np.int32))
-        offs = (at[doc] % block).astype(np.int32)
-        yield pa.record_batch(
-            [words.dictionary.take(pa.array(code[begin])), pa.array(home[begin]), pa.ListArray.from_arrays(cut, pa.array(offs)), pa.ListArray.from_arrays(cut, pa.array(tf)), pa.array(np.maximum.reduceat(tf, begin)), pa.array(np.minimum.reduceat(dl[doc], begin).astype(np.int32))],
-            ["term", "block", "offs", "tfs", "max_tf", "min_dl"],
-        )
+        ends, at = np.cumsum(np.array(batch.column(1).value_lengths(), np.int64)), 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = min(int(np.searchsorted(ends, base + max(0, TOKENS - tokens), "right")), at + block - docs)
+            to = max(to, at + (docs == 0))  # a document of more tokens is a block of its own
+            if to > at:
+                ids.append(batch.column(0).slice(at, to - at))
+                lists.append(batch.column(1).slice(at, to - at))
+                docs, tokens, at = docs + to - at, tokens + int(ends[to - 1] - base), to
+            if docs >= block or tokens >= TOKENS or at < batch.num_rows:
+                yield from flush()
+    if docs:
+        yield from flush()
 
 
 def _segment(docs: DataFrame, folder: str, block: int) -> Segment:
-    """Writes a segment of documents (id, tokens). Null tokens are none."""
+    """Writes a segment of documents (id, tokens). Null tokens are none. Each task makes whole blocks of its documents; only posting rows are shuffled."""
     spark, name = docs.sparkSession, f"segment-{uuid.uuid4().hex}"
     path = f"{folder}/{name}"
     tokens = F.coalesce(F.col("tokens"), F.array().cast("array<string>"))
-    spread(docs).select(F.col("id").cast("long").alias("id"), tokens.alias("tokens"), F.monotonically_increasing_id().alias("at")).write.parquet(f"{path}/tokens")
-    rows = spark.read.schema("id long, tokens array<string>, at long").parquet(f"{path}/tokens")  # numbered once; removed below
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("t")).first()
+    rows = spread(docs).select(F.col("id").cast("long").alias("id"), tokens.alias("tokens"))
+    rows.mapInArrow(lambda b: _blocks(b, block), RAW_SCHEMA).write.parquet(f"{path}/raw")
+    raw = spark.read.schema(RAW_SCHEMA).parquet(f"{path}/raw")
+    held = raw.where("term is null").select("block", "ids", "dls")
+    held.write.parquet(f"{path}/docs")
+    size = spark.read.schema(TABLES["docs"]).parquet(f"{path}/docs").agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)).alias("t")).first()
     buckets = int(np.clip(2 ** math.ceil(math.log2(max(1, (size["t"] or 0) / BUCKET_TOKENS))), *BUCKETS))
-
-    home, off = F.floor(F.col("at") / block).cast("long"), (F.col("at") % block).cast("int")
-    held = rows.groupBy(home.alias("block")).agg(F.array_sort(F.collect_list(F.struct(off.alias("off"), "id", F.size("tokens").alias("dl")))).alias("all"))
-    held.select("block", F.transform("all", lambda x: x["id"]).alias("ids"), F.transform("all", lambda x: x["dl"]).alias("dls")).write.parquet(f"{path}/docs")
-
-    partial = rows.select("at", "tokens").mapInArrow(lambda b: _partial(b, block), "term string, block long, offs array<int>, tfs array<int>, max_tf int, min_dl int")
-    whole = partial.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("offs", "tfs"))).alias("all"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
-    offs = whole.select("term", "block", F.flatten(F.transform("all", lambda x: x["offs"])).alias("offs"), F.flatten(F.transform("all", lambda x: x["tfs"])).alias("tfs"), "max_tf", "min_dl")
-    gaps = F.transform("offs", lambda x, i: x - F.when(i > 0, F.get("offs", i - 1)).otherwise(0))
-    out = offs.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "block", F.size("offs").alias("n"), gaps.alias("gaps"), "tfs", "max_tf", "min_dl")
+    out = raw.where("term is not null").select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "block", "n", "gaps", "tfs", "max_tf", "min_dl")
     out.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     df = spark.read.schema(TABLES["postings"]).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     df.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.parquet(f"{path}/terms")
-    removed(spark, f"{path}/tokens")
-    return Segment(name, size["n"], size["t"] or 0, buckets, block, None, None, 0, 0)
+    removed(spark, f"{path}/raw")
+    return Segment(name, size["n"] or 0, size["t"] or 0, buckets, block, None, None, 0, 0)
 
 
 def _without(index: Index, ids: DataFrame) -> list[Segment]:
