@@ -213,20 +213,8 @@ def test_window_streams_equal_batches(spark, tmp_path):
     assert {r["query"]: r["n"] for r in n.collect()} == {r["event_type"]: r["count"] for r in log.groupBy("event_type").count().collect()}
 
 
-def test_trending_state():
-    queue, s = [], {}
-    for q in ["a"] * 10 + ["b"] * 5 + ["c"]:
-        queue, s = jobs.arrived(queue, s, q, 1000, 0.95)
-    assert jobs.leaders(s, 2, 2.0) == [("a", 10.0), ("b", 5.0)]
-    queue, s = jobs.arrived(["x", "y"], {"x": 1.0, "y": 1.0}, "y", 2, 0.95)
-    assert list(queue) == ["y", "y"] and s == {"y": 1.95}
-
-
-def test_trending_and_rates_as_streams(spark, tmp_path):
+def test_rates_as_streams(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([("t", q, t0 + dt.timedelta(seconds=i)) for i, q in enumerate(["a"] * 3 + ["B"] * 2 + ["c"])], "tenant string, query string, ts timestamp")
-    got = collected(spark, jobs.trending(stream(spark, df, tmp_path / "t"), "tenant", "query"), "trends", "update")
-    assert sorted((r["query"], r["score"]) for r in got.collect()) == [("a", 3.0), ("b", 2.0)]
     calls = spark.createDataFrame([(1, t0 + dt.timedelta(seconds=s)) for s in (0, 1, 2, 61)], "user_id long, ts timestamp")
     got = collected(spark, jobs.rate_limit(stream(spark, calls, tmp_path / "r"), minute=2), "rates", "append")
     assert [r["admitted"] for r in got.orderBy("t").collect()] == [True, True, False, True]
@@ -300,3 +288,25 @@ def test_suggestions_equal_all_pairs(spark):
     assert sorted((r["prefix"], r["term"], r["rank"]) for r in suggest.by_prefix(own, prefixes, 5).collect()) == sorted(want)
     want = [(p, t, i + 1) for p in asked for i, t in enumerate(best([t for t in terms if set(t.split()) & set(p.split(" ")) and t != p], 0.6))]
     assert sorted((r["prefix"], r["term"], r["rank"]) for r in suggest.related(own, prefixes, 5).collect()) == sorted(want)
+
+
+def test_admission_equals_counting():
+    rng = np.random.default_rng(0)
+    times = sorted(float(t) for t in rng.integers(0, 9000, 800))
+    held, want = [], []
+    for t in times:
+        ok = sum(a > t - 3600 for a in held) < 150 and sum(a > t - 60 for a in held) < 4
+        held += [t] if ok else []
+        want.append(ok)
+    got, left = [], []
+    for part in np.array_split(np.array(times), 9):
+        ok, left = jobs.admitted(part.tolist(), left, 4, 150)
+        got += ok
+    assert got == want
+
+
+def test_metric_windows_of_a_stream(spark, tmp_path):
+    log = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(300)
+    got = collected(spark, jobs.metric_windows(stream(spark, log, tmp_path / "m")), "metric_rows", "complete")
+    key = lambda df: sorted((r["start"], r["event_type"], r["requests"], round(r["total"], 4)) for r in df.collect())
+    assert key(got) == key(jobs.metric_windows(log)) and sum(r["requests"] for r in got.collect()) == 300

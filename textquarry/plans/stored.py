@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.operators import similar, tables
+from textquarry.operators import similar, sketches, tables
 from textquarry.operators.storage import new_path
 from textquarry.operators.tables import Shape, Store
 from textquarry.plans.activity import log
 from textquarry.plans.retrieval import WORDS, table
 from textquarry.plans.texts import _chunk_sql
-from textquarry.streaming import ingest
+from textquarry.streaming import horizons, ingest
 
 
 def shape_of(df: DataFrame, key: str, **options) -> Shape:
@@ -77,7 +77,23 @@ def semantic_cache(spark, d):
     return similar.cached(asked, entries)
 
 
-QUERIES = {f.__name__: f for f in (upsert_latest, audit_retention, ingest_tables, semantic_cache)}
+def audit_horizons(spark, d):
+    """Failures, searches and addresses of each user in the last 15 minutes, hour and day, at the end of every quarter of an hour with calls."""
+    return horizons.at_ends(log(spark, d)).withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm"))
+
+
+def sketch_rollup(spark, d):
+    """Hourly sketches merged to days: exact counts, and whether distinct users and the median are within the bounds of what is exact."""
+    rows = log(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "value")
+    days = sketches.read_out(sketches.rolled(sketches.by_window(rows, "event_type", "user_id", "value"), "day"))
+    each = rows.select(F.date_trunc("day", "ts").alias("start"), F.col("event_type").alias("label"), "user_id", "value").join(days.select("start", "label", "q50"), ["start", "label"])
+    exact = each.groupBy("start", "label").agg(F.countDistinct("user_id").alias("k"), F.count_if(F.col("value") < F.col("q50")).alias("below"), F.count_if(F.col("value") <= F.col("q50")).alias("upto"), F.count("value").alias("m"))
+    close = (F.abs(F.col("n_distinct") / F.col("k") - 1) <= 0.06).alias("distinct_close")
+    middle = (F.col("below") <= 0.52 * F.col("m")) & (F.col("upto") >= 0.48 * F.col("m"))
+    return days.join(exact, ["start", "label"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "label", "n", F.round("total", 3).alias("total"), close, middle.alias("median_close"))
+
+
+QUERIES = {f.__name__: f for f in (upsert_latest, audit_retention, ingest_tables, semantic_cache, audit_horizons, sketch_rollup)}
 
 _REVISED = "CASE WHEN doc_id % 3 = 0 THEN 'Revised. ' || text ELSE text END"
 ORACLES = {
@@ -89,6 +105,11 @@ ORACLES = {
       s AS (SELECT qid, k.id, round(list_sum([x.v[i]::DOUBLE * k.v[i]::DOUBLE FOR i IN range(1, len(k.v) + 1)]) / (sqrt(list_sum([a::DOUBLE * a::DOUBLE FOR a IN x.v])) * sqrt(list_sum([a::DOUBLE * a::DOUBLE FOR a IN k.v]))), 6) AS score FROM x, k WHERE exact_id IS NULL AND 1 < k.t),
       b AS (SELECT qid, arg_max({'i': id, 's': score}, (score, -id)) AS m FROM s WHERE score >= 0.85 GROUP BY qid)
       SELECT qid, coalesce(exact_id, m.i) AS match_id, CASE WHEN exact_id IS NOT NULL THEN 1.0::DOUBLE ELSE m.s END AS score, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN m.i IS NOT NULL THEN 'similar' END AS kind FROM x LEFT JOIN b USING (qid)""",
+    "audit_horizons": """WITH m AS (SELECT user_id, floor(epoch(ts))::BIGINT // 900 AS b, (event_type = 'error')::INT AS f, (event_type = 'view')::INT AS s, props->>'$.k' AS a FROM events), e AS (SELECT DISTINCT user_id, b + 1 AS e FROM m),
+      h(horizon, n) AS (VALUES ('15m', 1), ('1h', 4), ('24h', 96))
+      SELECT e.user_id::VARCHAR AS "user", strftime(make_timestamp(e * 900000000), '%Y-%m-%d %H:%M') AS until, horizon, sum(f)::BIGINT AS failures, sum(s)::BIGINT AS searches, count(DISTINCT a) AS addresses
+      FROM e, h JOIN m ON m.user_id = e.user_id AND b >= e - n AND b < e GROUP BY ALL""",
+    "sketch_rollup": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS label, count(*) AS n, round(sum(value), 3) AS total, true AS distinct_close, true AS median_close FROM events GROUP BY 1, 2",
     "ingest_tables": f"""WITH p AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, {_REVISED} AS s FROM documents WHERE length(trim(text)) > 0),
       b AS (SELECT doc_id, 'Title: ' || title || chr(10) || chr(10) || 'Abstract: ' || s AS t FROM p), {_chunk_sql('b', 'doc_id')}, k AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
       SELECT doc_id, length(s)::BIGINT AS n_chars, len({WORDS.format(t="title || ' ' || s")})::BIGINT AS n_words, n AS n_chunks, n AS n_vectors FROM p JOIN k USING (doc_id)""",

@@ -1,13 +1,12 @@
-"""Streaming forms: alerts, audit windows, trends, rates, metrics.
+"""Streaming forms: alerts, audit windows, rates, metrics.
 
 Event times are cast to timestamp, because watermarks do not take timestamp_ntz. Late rows beyond the watermark are
-dropped. State of the two exact forms is kept by user or tenant, never under one key.
+dropped. State of the exact form is kept by client, never under one key.
 """
 
 from __future__ import annotations
 
-import json
-from collections import deque
+from bisect import bisect_right
 from functools import reduce
 
 import pandas as pd
@@ -49,54 +48,16 @@ def query_counts(stream: DataFrame, query: str = "query") -> DataFrame:
     return stream.groupBy(F.lower(query).alias("query")).agg(F.count("*").alias("n"))
 
 
-def trending(stream: DataFrame, key: str, query: str, ts: str = "ts", window: int = 1000, decay: float = 0.95, most: int = 10, least: float = 2.0) -> DataFrame:
-    """Exact trends by key: scores of the last `window` queries; once that many are held, each arrival decays all scores, takes 1 from the oldest's and adds 1 to its own. Emits the leaders after each batch: key, query, score."""
-
-    def step(k, frames, state):
-        queue, now = map(json.loads, state.get) if state.exists else ([], {})
-        queue = deque(queue)
-        rows = pd.concat(list(frames)).sort_values([ts, query], kind="stable")
-        for q in rows[query]:
-            queue, now = arrived(queue, now, q, window, decay)
-        state.update((json.dumps(list(queue)), json.dumps(now)))
-        top = leaders(now, most, least)
-        yield pd.DataFrame({"key": [str(k[0])] * len(top), "query": [a for a, _ in top], "score": [b for _, b in top]})
-
-    rows = stream.select(F.col(key).cast("string").alias("k"), F.lower(F.trim(query)).alias(query), F.col(ts))
-    return rows.groupBy("k").applyInPandasWithState(step, "key string, query string, score double", "held string, scores string", "update", "NoTimeout")
-
-
-def arrived(queue: deque, scores: dict[str, float], q: str, window: int, decay: float) -> tuple[deque, dict[str, float]]:
-    """State after one more query; both are changed in place."""
-    queue = queue if isinstance(queue, deque) else deque(queue)
-    if len(queue) >= window:
-        oldest = queue.popleft()
-        for a in scores:
-            scores[a] *= decay
-        scores[oldest] = scores.get(oldest, 0.0) - 1
-        if scores[oldest] <= 0:
-            del scores[oldest]
-    scores[q] = scores.get(q, 0.0) + 1
-    queue.append(q)
-    return queue, scores
-
-
-def leaders(scores: dict[str, float], n: int, least: float) -> list[tuple[str, float]]:
-    """The 2n best, of these the ones that reach the least score, cut to n."""
-    best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[: 2 * n]
-    return [x for x in best if x[1] >= least][:n]
-
-
 def admitted(times: list[float], accepted: list[float], minute: int, hour: int) -> tuple[list[bool], list[float]]:
     """Which calls are let in when only calls that were let in count; times in seconds, in order."""
-    out = []
+    out, accepted, first = [], list(accepted), 0
     for t in times:
-        accepted = [a for a in accepted if a > t - 3600]
-        ok = len(accepted) < hour and sum(a > t - 60 for a in accepted) < minute
+        first = bisect_right(accepted, t - 3600, first)
+        ok = len(accepted) - first < hour and len(accepted) - bisect_right(accepted, t - 60, first) < minute
         if ok:
             accepted.append(t)
         out.append(ok)
-    return out, accepted
+    return out, accepted[first:]
 
 
 def rate_limit(stream: DataFrame, client: str = "user_id", ts: str = "ts", minute: int = 60, hour: int = 1000, late: str = "10 minutes") -> DataFrame:
