@@ -62,13 +62,17 @@ def matches(alerts: DataFrame, papers: DataFrame) -> DataFrame:
     by_word = found_words(texts, keyed).join(keyed, "keyword").select("alert_id", "paper_id").distinct()
     first = by_word.join(asked, "alert_id").join(rows, "paper_id").where(rest)
 
+    def met(some: DataFrame, theirs: str, mine: str) -> DataFrame:
+        """Alerts that share a value with a paper. A few categories hold most papers, so papers stay where they are and a batch of alerts goes to them."""
+        each = rows.withColumn("v", F.explode(F.array_distinct(theirs)))
+        parts = [each.join(F.broadcast(p.withColumn("v", F.explode(F.array_distinct(mine)))), "v").where(rest) for p in batches_of(some, "alert_id")]
+        return reduce(DataFrame.unionByName, parts).select("alert_id", "paper_id").distinct()
+
     open_ = asked.where(F.size("keywords") == 0)
-    by_category = open_.where(F.size("alert_categories") > 0).withColumn("c", F.explode(F.array_distinct("alert_categories")))
-    second = rows.withColumn("c", F.explode(F.array_distinct("categories"))).join(by_category, "c").where(rest)
+    second = met(open_.where(F.size("alert_categories") > 0), "categories", "alert_categories")
     open_ = open_.where(F.size("alert_categories") == 0)
-    by_author = open_.where(F.size("alert_authors") > 0).withColumn("a", F.explode(F.array_distinct("alert_authors")))
-    third = rows.withColumn("a", F.explode(F.array_distinct("authors"))).join(by_author, "a")
-    pairs = first.select("alert_id", "paper_id").unionByName(second.select("alert_id", "paper_id").distinct()).unionByName(third.select("alert_id", "paper_id").distinct())
+    third = met(open_.where(F.size("alert_authors") > 0), "authors", "alert_authors")
+    pairs = first.select("alert_id", "paper_id").unionByName(second).unionByName(third)
     for part in batches_of(open_.where(F.size("alert_authors") == 0), "alert_id"):  # the result itself is all pairs here
         pairs = pairs.unionByName(rows.select("paper_id").crossJoin(F.broadcast(part.select("alert_id"))).select("alert_id", "paper_id"))
     return pairs

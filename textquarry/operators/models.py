@@ -28,11 +28,11 @@ def hashing_embedder(dim: int = DIM) -> Embedder:
     """Signed counts of words hashed into dim places."""
 
     def embed(texts: list[str]) -> np.ndarray:
+        words = [re.findall(r"\w+", t.lower()) for t in texts]
+        numbers = {w: crc32(w.encode()) for w in set().union(*words)}  # each word of a batch once
+        h = np.array([numbers[w] for own in words for w in own], np.int64)
         out = np.zeros((len(texts), dim))
-        for row, text in zip(out, texts):
-            for word in re.findall(r"\w+", text.lower()):
-                h = crc32(word.encode())
-                row[h % dim] += 1 if h >> 31 else -1
+        np.add.at(out, (np.repeat(np.arange(len(words)), list(map(len, words))), h % dim), np.where(h >> 31 > 0, 1, -1))
         return out
 
     return embed
@@ -126,8 +126,8 @@ def overlap_scorer() -> Scorer:
     """Share of the query's distinct words that the text has."""
 
     def score(pairs: list[tuple[str, str]]) -> list[float]:
-        words = lambda t: set(re.findall(r"\w+", t.lower()))
-        return [len((q := words(a)) & words(b)) / len(q) if words(a) else 0.0 for a, b in pairs]
+        words = {t: set(re.findall(r"\w+", t.lower())) for pair in pairs for t in pair}  # each text of a batch once
+        return [len(words[a] & words[b]) / len(words[a]) if words[a] else 0.0 for a, b in pairs]
 
     return score
 
