@@ -148,7 +148,7 @@ def test_blocks_find_all_links_of_a_bucket(spark):
     texts = [" ".join(f"v{x}" for x in np.where(rng.random(200) < share, rng.integers(5000, 9000, 200), base)) for share in (0.01, 0.02, 0.03, 0.2) for _ in range(10)]
     rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     sets = minhash_dedup.full_sets(rows, 1, 5)
-    made = minhash_dedup.sketches(rows.select(F.col("node").alias("id"), F.lit(0).cast("long").alias("h"), "text"), 1, 5)
+    made = minhash_dedup.sketches(rows.select(F.col("node").alias("id"), F.lit("").cast("binary").alias("h"), "text"), 1, 5)
     nodes = made.select(F.col("id").alias("node"), "n", "sketch")
     open_ = nodes.select(F.lit(1).cast("long").alias("band"), "node", "n", F.col("node").alias("comp"), F.lit(4).cast("long").alias("blocks"))
     found = minhash_dedup.verified(minhash_dedup.apart_links(open_, sets, 80), sets, 80, None).collect()
