@@ -43,6 +43,8 @@ BYTE_FORM = (None, [{"type": "ByteLevel", "add_prefix_space": False, "use_regex"
 SPAN = 512
 #: Distinct chunks, and bytes of long ones, that a worker remembers between batches.
 REMEMBERED, REMEMBERED_BYTES = 250_000, 8 << 20
+#: Chunks that a worker keeps between tasks.
+RESTING = 60_000
 
 
 def byte_letters() -> list[str]:
@@ -218,6 +220,11 @@ class Bpe:
             at[fresh] = self.index.find(low[fresh], high[fresh])
         return ragged(self.flat, self.starts[at], self.counts[at]), self.counts[at]
 
+    def rest(self) -> None:
+        """Forgets much that was learnt: between tasks a worker waits, and may go on to other work."""
+        if self.index.n > RESTING:
+            self.forget()
+
     def _numbers(self, spans: list[bytes]) -> list[int]:
         """A number for each long chunk, the same for equal ones."""
         known, before = self.long, len(self.long)

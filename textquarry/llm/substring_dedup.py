@@ -239,7 +239,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("gram is from 1 to size")
     key = new_key() if key is None else key
     text = text_of(text_col)
-    own = F.struct(col(id_col).cast("long").alias("_0"), *(col(c).alias(f"_{i}") for i, c in enumerate((text_col, *others) if others else (), 1))).alias("own")
+    own = F.struct(col(id_col).cast("long").alias("_0"), col(text_col).isNull().alias("_null"), *(col(c).alias(f"_{i}") for i, c in enumerate(others, 1))).alias("own")
+    kept = ["text"] if others else []  # a text is sent to a worker once
     pair = row_pair(col(id_col).cast("long"), text)  # id and h tell rows apart from here on
     whole = df.select(pair[0].alias("id"), pair[1].alias("h"), text.alias("text"), own)
     rows = whole.select("id", "h", "text")
@@ -295,8 +296,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = flagged(hot).select("id", "h", F.explode(F.arrays_zip("at", "w", "v")).alias("x")).select("id", "h", "x.at", "x.w", "x.v")
     marks = places.join(repeated, ["w", "v"]).groupBy("id", "h").agg(F.collect_set("at").alias("starts"))
 
-    names_ = ["id", "own", "n_words", "n_removed", "kept_text"]
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("own", whole.schema["own"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    names_ = ["id", "own", "n_words", "n_removed", "kept_text", *kept]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("own", whole.schema["own"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.StringType()) for c in kept)])
 
     def may(batches):
         """Rows with a window that may be repeated."""
@@ -309,7 +310,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for p in parts(batches, 2):
             w, often = estimated(p, False)
             none = pa.array(np.diff(w.cut(w.at[often])) == 0)
-            yield pa.record_batch([p.column("id"), p.column("own"), pa.array(w.n.astype(np.int64)), pa.array(np.zeros(len(w.n), np.int64)), _joined(w.raw, w.first, w.last, w.n)], names_).filter(none)
+            yield pa.record_batch([p.column("id"), p.column("own"), pa.array(w.n.astype(np.int64)), pa.array(np.zeros(len(w.n), np.int64)), _joined(w.raw, w.first, w.last, w.n), *(p.column(c) for c in kept)], names_).filter(none)
 
     def cut(batches):
         for p in parts(batches, 2):
@@ -322,16 +323,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             at = of + np.repeat(begin, per)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + size, -1)
-            kept = np.cumsum(cover[:-1]) == 0
-            so_far = np.concatenate([[0], np.cumsum(kept)])
+            stay = np.cumsum(cover[:-1]) == 0
+            so_far = np.concatenate([[0], np.cumsum(stay)])
             left = so_far[begin + n] - so_far[begin]
-            yield pa.record_batch([p.column(0), p.column(1), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), _joined(raw, first[kept], last[kept], left)], names_)
+            yield pa.record_batch([p.column(0), p.column(1), pa.array(n.astype(np.int64)), pa.array((n - left).astype(np.int64)), _joined(raw, first[stay], last[stay], left), *(p.column(2) for _ in kept)], names_)
 
     some = whole.mapInArrow(may, whole.select("id", "h", "text", "own").schema)
     met = some.alias("r").join(marks.alias("m"), F.expr("r.id = m.id and r.h = m.h"), "left").select("r.id", "r.own", "r.text", "m.starts")
     out = met.mapInArrow(cut, schema).unionByName(whole.mapInArrow(left_alone, schema))
-    names = {id_col: "_0"} | {c: f"_{i}" for i, c in enumerate((text_col, *others) if others else (), 1)}
-    return out.select(*(F.col("own").getField(f).alias(c) for c, f in names.items()), "n_words", "n_removed", "kept_text")
+    field = F.col("own").getField
+    texts = [F.when(~field("_null"), F.col("text")).alias(text_col) for _ in kept]
+    return out.select(field("_0").alias(id_col), *texts, *(field(f"_{i}").alias(c) for i, c in enumerate(others, 1)), "n_words", "n_removed", "kept_text")
 
 
 def salted(low: np.ndarray, salt: np.ndarray) -> np.ndarray:

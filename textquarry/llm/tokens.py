@@ -67,6 +67,7 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | No
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 sizes = sizes + 1
             yield part.column(0), ids, sizes
+    model.rest()
     give_back()
 
 
