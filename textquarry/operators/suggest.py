@@ -66,26 +66,27 @@ class Completions:
         """key, term, score: the KEPT best terms of each prefix (kind prefix) or word (kind word)."""
         return self.spark.read.schema("key string, term string, score double").parquet(f"{self.folder}/best/{kind}")
 
-    @property
-    def heads(self) -> DataFrame:
-        """head, term, score of the terms of more than HEAD characters."""
-        return self.spark.read.schema("head string, term string, score double").parquet(f"{self.folder}/heads")
-
-
 def completions(vocab: DataFrame, folder: str) -> Completions:
     """Writes the table of a scored vocabulary (term, df, score)."""
     spark, draft = vocab.sparkSession, f"{folder}.new-{uuid.uuid4().hex}"
     vocab.select("term", "df", "score").write.parquet(f"{draft}/vocab")
     own = Completions(spark, draft)
-    prefixes = F.transform(F.sequence(F.lit(2), F.least(F.length("term"), F.lit(HEAD))), lambda n: F.substring("term", F.lit(1), n))
-    keys = {"prefix": (own.vocab.where("length(term) >= 2"), prefixes), "word": (own.vocab, F.array_distinct(F.split("term", " ")))}
-    for kind, (terms, of) in keys.items():
+    schema = "key string, term string, score double"
+
+    def cut(each: DataFrame) -> DataFrame:
+        """The KEPT best of each key; cut before the shuffle and after it."""
         w = Window.partitionBy("key").orderBy(F.desc("score"), "term")
-        each = terms.select(F.explode(of).alias("key"), "term", "score")  # cut to KEPT before the shuffle and after it
-        best = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= KEPT).drop("r")
-        best.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{draft}/best/{kind}")
-    heads = own.vocab.where(F.length("term") > HEAD).select(F.substring("term", 1, HEAD).alias("head"), "term", "score")
-    heads.repartitionByRange("head", "term").sortWithinPartitions("head").write.parquet(f"{draft}/heads")
+        return each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= KEPT).drop("r")
+
+    cut(own.vocab.select(F.explode(F.array_distinct(F.split("term", " "))).alias("key"), "term", "score")).write.parquet(f"{draft}/best/word")
+    # From the longest prefixes to the shortest: a list is made from those below it, and from the terms of its own length.
+    below, n = None, F.length("term")
+    for size in range(HEAD, 1, -1):
+        at = own.vocab.where(n >= HEAD if size == HEAD else n == size).select(F.substring("term", 1, size).alias("key"), "term", "score")
+        if below is not None:
+            at = at.unionByName(below.withColumn("key", F.substring("key", 1, size)))
+        cut(at).write.parquet(f"{draft}/best/prefix/size={size}")
+        below = spark.read.schema(schema).parquet(f"{draft}/best/prefix/size={size}")
     if not renamed(spark, draft, folder):
         removed(spark, draft)  # there was one already
     return Completions(spark, folder)
@@ -106,7 +107,8 @@ def by_prefix(own: Completions, prefixes: DataFrame, k: int) -> DataFrame:
         raise ValueError(f"k is less than {KEPT}")
     n = F.length("prefix")
     short = prefixes.where((n >= 2) & (n <= HEAD)).join(own.best("prefix"), F.col("prefix") == F.col("key"))
-    long = prefixes.where(n > HEAD).join(own.heads, (F.substring("prefix", 1, HEAD) == F.col("head")) & F.startswith("term", "prefix"))
+    terms = own.vocab.where(F.length("term") > HEAD)
+    long = prefixes.where(n > HEAD).join(terms, (F.substring("prefix", 1, HEAD) == F.substring("term", 1, HEAD)) & F.startswith("term", "prefix"))
     both = short.select("prefix", "term", "score").unionByName(long.select("prefix", "term", "score"))
     return _best(both.where("term != prefix"), k)
 
