@@ -121,6 +121,28 @@ def test_horizons_equal_the_batch(spark, tmp_path):
     assert key(got) == key(horizons.at_ends(spark.createDataFrame(first + late, schema)))
 
 
+def test_batch_horizons_neither_repeat_nor_join_rows(spark):
+    """Two changes a row whatever the horizon's length, then running sums; plain loops say the same, odd rows included."""
+    from textquarry.streaming import horizons
+
+    rng = np.random.default_rng(1)
+    rows = [(int(rng.integers(1, 4)), T0 + dt.timedelta(seconds=int(rng.integers(0, 60 * 3600))), str(rng.choice(["error", "view", "click"])), '{"k": %d}' % rng.integers(0, 6) if rng.random() < 0.9 else None) for _ in range(400)]
+    rows += [(None, T0, "error", '{"k": 1}'), (1, None, "view", '{"k": 1}'), (5, T0, None, '{"k": 1}')]
+    df = horizons.at_ends(spark.createDataFrame(rows, "user_id long, ts timestamp, event_type string, props string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "sequence(" not in plan
+    want = set()
+    at = lambda t: int(t.replace(tzinfo=dt.timezone.utc).timestamp()) // 900
+    whole = [(u, at(t), e, p) for u, t, e, p in rows if u and t]
+    for u, b in {(u, b) for u, b, _, _ in whole}:
+        for name, n in horizons.HORIZONS.items():
+            own = [r for r in whole if r[0] == u and b - n < r[1] <= b]
+            searches = sum(e == "view" for _, _, e, _ in own) if any(e for _, _, e, _ in own) else None
+            want.add((str(u), b, name, sum(e == "error" for _, _, e, _ in own), searches, len({p for *_, p in own if p})))
+    got = df.selectExpr("user", "unix_seconds(until) div 900 - 1", "horizon", "failures", "searches", "addresses").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_address_sketches():
     from textquarry.streaming import horizons
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -99,14 +99,28 @@ def horizons(stream: DataFrame, ts: str = "ts", user: str = "user_id", late: str
 
 
 def at_ends(log: DataFrame, ts: str = "ts", user: str = "user_id") -> DataFrame:
-    """What the stream puts out for all buckets, from a whole table, with exact numbers of addresses."""
-    rows = measures(log, ts, user).groupBy("user", "bucket", "address").agg(F.sum("failed").alias("failed"), F.sum("searched").alias("searched"))
-    ends = rows.select("user", (F.col("bucket") + 1).alias("end")).distinct()
-    out = None
+    """What the stream puts out for all buckets, from a whole table, with exact numbers of addresses.
+
+    A row counts from its bucket on and no longer after n buckets; an address until then or until it comes again, if that is earlier. So a horizon needs
+    two changes for each row, whatever its length, and running sums of them: rows are neither repeated for the ends they belong to nor joined.
+    Changes are summed by bucket first: a user has no more of them than the log has buckets.
+    """
+    rows = measures(log, ts, user).where("user is not null and bucket is not null").groupBy("user", "bucket", "address").agg(F.sum("failed").alias("failed"), F.sum("searched").alias("searched"), F.count("searched").alias("known"))
+    again = F.lead("bucket").over(Window.partitionBy("user", "address").orderBy("bucket"))
+    rows = rows.withColumn("again", F.when(F.col("address").isNotNull(), again)).na.fill(0, ["searched"])
+
+    def change(horizon: str, at: Column, sign: int, counts: bool, address: bool, ends: bool) -> Column:
+        some = lambda c: F.lit(sign) * F.col(c) if counts else F.lit(0).cast("long")
+        seen = F.when(F.col("address").isNotNull(), F.lit(sign)).otherwise(0) if address else F.lit(0)
+        return F.struct(F.lit(horizon).alias("horizon"), at.alias("bucket"), some("failed").alias("failures"), some("searched").alias("searches"), some("known").alias("known"), seen.cast("long").alias("addresses"), F.lit(ends).alias("ends"))
+
+    changes = []
     for name, n in HORIZONS.items():
-        # A row belongs to the ends of the next n buckets: it meets those of its user among them.
-        each = rows.withColumn("end", F.explode(F.sequence(F.col("bucket") + 1, F.col("bucket") + n)))
-        own = each.join(ends, ["user", "end"]).groupBy("user", "end").agg(F.sum("failed").alias("failures"), F.sum("searched").alias("searches"), F.countDistinct("address").alias("addresses"))
-        own = own.select("user", F.timestamp_seconds(F.col("end") * BUCKET).alias("until"), F.lit(name).alias("horizon"), "failures", "searches", "addresses")
-        out = own if out is None else out.unionByName(own)
-    return out
+        out = F.col("bucket") + n
+        changes += [change(name, F.col("bucket"), 1, True, True, True), change(name, out, -1, True, False, False), change(name, F.least(out, "again"), -1, False, True, False)]
+    sums = ("failures", "searches", "known", "addresses")
+    each = rows.select("user", F.explode(F.array(*changes)).alias("c")).select("user", "c.*")
+    by = each.groupBy("user", "horizon", "bucket").agg(*(F.sum(c).alias(c) for c in sums), F.max("ends").alias("ends"))
+    w = Window.partitionBy("user", "horizon").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = by.select("user", "horizon", "bucket", "ends", *(F.sum(c).over(w).alias(c) for c in sums)).where("ends")
+    return own.select("user", F.timestamp_seconds((F.col("bucket") + 1) * BUCKET).alias("until"), "horizon", "failures", F.when(F.col("known") > 0, F.col("searches")).alias("searches"), "addresses")
