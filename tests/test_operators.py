@@ -92,6 +92,18 @@ def test_vector_search_is_exact(spark):
     assert vectors.search(rows, q.limit(0), 10).count() == 0
 
 
+def test_sentence_chunks_hold_pieces_of_a_batch():
+    """Rows become Python objects in slices of a bounded number of bytes; a larger row is alone."""
+    rows = [["x" * 100] * n for n in (1, 0, 5, 400, 2, 3)] + [None]
+    batch = pa.RecordBatch.from_pydict({"d": list(range(7)), "s": rows})
+    before, models.PIECE = models.PIECE, 1000
+    try:
+        parts = list(models.pieces_of(batch, 1))
+    finally:
+        models.PIECE = before
+    assert [p.num_rows for p in parts] == [3, 1, 3] and [r for p in parts for r in p.column(1).to_pylist()] == rows
+
+
 def test_sentence_chunks_rejoin(spark):
     text = "One two three. Four five! Six seven eight nine? " * 6 + "a, b; " * 30
     got = [r["text"] for r in models.sentence_chunks(spark.createDataFrame([(1, text), (2, None)], "d long, t string"), "d", "t", 80, 10).orderBy("chunk_index").collect()]

@@ -8,11 +8,13 @@ query, whose number the search before has bounded.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -206,11 +208,33 @@ def sentence_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 900,
         raise ValueError("overlap must be smaller than size")
     repeat = max(1, overlap // 100)
 
-    @F.pandas_udf("array<string>")
-    def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: packed(list(x), size, repeat))
+    schema = T.StructType([df.schema[id_col], T.StructField("chunk_index", T.LongType()), T.StructField("text", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces_of(batch, 1):
+                chunks = [packed(s, size, repeat) for s in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
+                no = np.concatenate([np.arange(len(c)) for c in chunks]).astype(np.int64)
+                yield pa.record_batch([part.column(0).take(pa.array(row)), pa.array(no), pa.array([t for c in chunks for t in c], pa.string())], schema.names)
+
+    return df.select(id_col, sentences(F.col(text_col)).alias("s")).mapInArrow(run, schema)
+
+
+#: Bytes of rows that are Python objects at a time.
+PIECE = 4 << 20
+
 
-    return df.select(id_col, F.posexplode(fold(sentences(F.col(text_col)))).alias("i", "text")).select(id_col, F.col("i").cast("long").alias("chunk_index"), "text")
+def pieces_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about PIECE bytes of a column of lists of texts."""
+    lists = batch.column(column)
+    ends = np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64).cumsum()
+    length = np.append(0, np.array(pc.fill_null(pc.binary_length(lists.flatten()), 0), np.int64).cumsum())
+    upto, at = length[ends], 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def semantic_chunks(df: DataFrame, id_col: str, text_col: str, factory: Callable[[], Embedder] = hashing_embedder, size: int = 900, least: float = 0.7) -> DataFrame:
