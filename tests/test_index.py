@@ -134,6 +134,19 @@ def test_skips_blocks(spark, monkeypatch):
     assert len(seen) == 2 and sum(seen) < 32 / 2  # of 32 blocks
 
 
+def test_does_not_prune_when_seeds_are_most_blocks(spark, monkeypatch):
+    """With as many questions as blocks the seeds would be scored besides all: one pass, the same rows."""
+    monkeypatch.setattr(bm25, "PRUNE_FROM", 2)
+    rows = [(i, f"topic{i // 64} common x{i}") for i in range(512)]
+    own = bm25.build_index(spark.createDataFrame(rows, "id long, text string").repartitionByRange(4, "id"), "id", "text", block=64)
+    questions = [(q, f"topic{q} common") for q in range(8)]
+    seen = []
+    scored = bm25._scored
+    monkeypatch.setattr(bm25, "_scored", lambda *a, **b: seen.append(1) or scored(*a, **b))
+    assert rows_of(bm25.best(own, asked(spark, questions), 5)) == brute(rows, questions, 5)
+    assert len(seen) == 1
+
+
 def test_adding_writes_little(spark):
     """A hundredth more documents: about a hundredth more posting bytes, and no file is written anew."""
     path = new_path(spark, "t")

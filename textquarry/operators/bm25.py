@@ -32,6 +32,8 @@ PAIRS, CELLS = 1_000_000, 2_000_000
 PRUNE_FROM, PRUNE_TO = 16, 200_000_000
 #: Blocks of a query that are scored first, and what rounding may cost.
 SEEDS, SLACK = 2, 1e-5
+#: Seeds of all questions of a batch are one in so many blocks at most, or nothing is pruned.
+SEEDS_SHARE = 4
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column] = word_tokens, folder: str | None = None, block: int = index_.BLOCK) -> Index:
@@ -254,7 +256,8 @@ def best(index: Index, terms: DataFrame, k: int, variant: str = "floor", k1: flo
     for words, held in _batches(index, terms, variant, epsilon):
         postings = index.blocks(words)
         blocks = sum(-(-s.n_docs // s.block) for s in index.segments)
-        prune = PRUNE_FROM <= blocks and blocks * len(held.qids) <= PRUNE_TO and subset is None
+        few = SEEDS * len(held.qids) * SEEDS_SHARE <= blocks  # else scoring the seeds would be as much work as scoring all
+        prune = PRUNE_FROM <= blocks and few and blocks * len(held.qids) <= PRUNE_TO and subset is None
         out.append((_pruned if prune else _scored)(index, postings, docs, held, k, k1, b))
     return top(reduce(DataFrame.unionByName, out), k)
 
