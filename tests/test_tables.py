@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import bm25, tables
+from textquarry.functions.text import word_text, word_tokens
+from textquarry.operators import bm25, index, models, tables
 from textquarry.operators.storage import new_path
 from textquarry.operators.tables import Shape
 from textquarry.streaming import ingest
@@ -94,6 +95,38 @@ def test_ingest_commits_all_tables_together(spark):
     assert [h["id"] for h in hits] == [number]  # the words of its earlier version are gone
 
 
+def test_ingest_makes_each_vector_once(spark, tmp_path):
+    seen = tmp_path / "texts"
+
+    def counting():
+        model = models.hashing_embedder()
+
+        def embed(texts):
+            with seen.open("a") as f:
+                f.write("x" * len(texts))
+            return model(texts)
+
+        return embed
+
+    data = [(str(i), "Title", "some words " * 90 * (i % 3 + 1), DAY[0]) for i in range(40)]
+    store, _ = ingest.ingested(tables.opened(spark, new_path(spark, "t")), papers(spark, data), "s", 0, counting)
+    assert seen.stat().st_size == store.count("vectors") == store.count("chunks") > 40
+    before = contents(store)[1]
+    store, _ = ingest.ingested(store, papers(spark, [("7", "Title", "new", DAY[1]), ("x", None, "new", DAY[1])]), "s", 1, counting)
+    now = contents(store)[1]
+    assert {c for c in now if c[0] not in "7x"} == {c for c in before if c[0] != "7"} and len([c for c in now if c[0] in ("7", "x")]) == 2
+    assert store.read("papers").agg(F.countDistinct("no")).first()[0] == 41
+
+
+def test_words_of_texts_are_the_tokens(spark):
+    data = [(1, "Über-Maß, naïve\u2019s caf\u00e9 \u00a0 x\u200dy \u2014 \U0001f600a\u0301 _b9\u0661 ABC\u0130"), (2, ""), (3, None), (4, "plain, ASCII-text 12_3"), (5, "\u4e2d\u6587\u3002ok")]
+    df = rows(spark, data, "id long, t string")
+    texts = index.built(df.select("id", word_text(F.col("t")).alias("text")), new_path(spark, "i"))
+    tokens = index.built(df.select("id", word_tokens(F.col("t")).alias("tokens")), new_path(spark, "i"))
+    for kind in ("postings", "lengths", "terms"):
+        assert sorted(getattr(texts, kind).collect()) == sorted(getattr(tokens, kind).collect())
+
+
 @pytest.mark.parametrize("at", ["merge", "replace", "commit"])
 def test_a_killed_batch_leaves_the_last_version(spark, monkeypatch, at):
     folder = new_path(spark, "t")

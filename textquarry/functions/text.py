@@ -19,6 +19,12 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), F.lit(0))
 
 
+def word_text(text: Column) -> Column:
+    """Lower-cased text in which the word runs are the runs of bytes that are letters, digits or _ of ASCII, or not ASCII: other characters beyond ASCII are blanks."""
+    low = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), low).otherwise(F.regexp_replace(low, "(?U)[\\W&&[^\\x00-\\x7F]]", " "))
+
+
 def clean_tokens(text: Column, stop_words: tuple[str, ...] = (), least: int = 2) -> Column:
     """Lower case, punctuation to blanks, split; short tokens and stop words go."""
     parts = F.split(F.regexp_replace(F.lower(text), "(?U)[^\\w\\s]", " "), "(?U)\\s+")

@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from textquarry.operators.storage import listed, removed, renamed, spread
 BLOCK, TOKENS = 4096, 1_000_000
 #: Tokens for each bucket, about; and the bounds of the number of buckets.
 BUCKET_TOKENS, BUCKETS = 2_000_000, (8, 4096)
+#: Bytes of text that are cut into words at a time, and the bytes of words.
+CUT, WORD_BYTE = 1 << 22, np.array([b > 127 or chr(b).isalnum() or b == 95 for b in range(256)])
 #: Segments of fewer than this share of all documents are merged.
 SMALL = 0.1
 TABLES = {
@@ -147,14 +150,51 @@ class Index:
 
     def _each(self) -> DataFrame:
         """seg, term, block, off, tf, those that are gone included."""
-        offs = self.blocks().select("seg", "term", "block", "tfs", running(F.col("gaps")).alias("offs"))
-        return offs.select("seg", "term", "block", F.explode(F.arrays_zip("offs", "tfs")).alias("x")).select("seg", "term", "block", F.col("x.offs").alias("off"), F.col("x.tfs").alias("tf"))
-
-
-def running(gaps: Column) -> Column:
-    """Sums of the first one, two, ... values."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(gaps, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"] + x)).alias("all")), lambda a: a["all"])
+        return self.blocks().select("seg", "term", "block", "tfs", "gaps").mapInArrow(_opened, "seg int, term string, block long, off int, tf int")
+
+
+def _running(gaps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each value of lists of gaps, and the sum of its list up to it."""
+    n = np.array(gaps.value_lengths(), np.int64)
+    sums, row = np.cumsum(gaps.flatten().to_numpy(), dtype=np.int64), np.repeat(np.arange(len(n)), n)
+    before = np.append(0, sums)[np.cumsum(n) - n]
+    return row, sums - before[row]
+
+
+def _opened(batches):
+    """A row for each posting."""
+    for rows in batches:
+        for at in range(0, rows.num_rows, 1024):  # of at most BLOCK postings each
+            part = rows.slice(at, 1024)
+            row, off = _running(part.column("gaps"))
+            own = part.select(["seg", "term", "block"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(off.astype(np.int32)), part.column("tfs").flatten()], ["seg", "term", "block", "off", "tf"])
+
+
+def _bits(batches):
+    """Lists of places as bits, a byte for eight places."""
+    for rows in batches:
+        out = []
+        for places in rows.column("gone"):
+            at = places.values.to_numpy()
+            held = np.zeros(int(at.max()) + 1, bool)
+            held[at] = True
+            out.append(np.packbits(held, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([rows.column("block"), pa.array(out, pa.binary())], ["block", "bits"])
+
+
+def _counted(batches):
+    """How many places of each posting row are among the bits."""
+    for rows in batches:
+        row, off = _running(rows.column("gaps"))
+        bits = rows.column("bits")
+        size = np.array(pc.binary_length(bits), np.int64)
+        held, start = np.frombuffer(b"".join(bits.to_pylist()) + b"\0", np.uint8), np.cumsum(size) - size
+        inside = off >> 3 < size[row]
+        hit = inside & (held[np.where(inside, start[row] + (off >> 3), 0)] >> (off & 7) & 1 > 0)
+        df = np.bincount(row[hit], minlength=rows.num_rows)
+        some = pa.array(np.flatnonzero(df))
+        yield pa.RecordBatch.from_arrays([rows.column("term").take(some), pa.array(df).take(some)], ["term", "df"])
 
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
@@ -178,10 +218,37 @@ def _committed(spark: SparkSession, folder: str, version: int, segments: list[Se
 
 
 def built(docs: DataFrame, folder: str, block: int = BLOCK) -> Index:
-    """Writes a new index of documents (id, tokens)."""
+    """Writes a new index of documents: id, and tokens or a text of words (``word_text``), which is cut where blocks are made."""
     return _committed(docs.sparkSession, folder, 1, [_segment(docs, folder, block)])
 
 
+def _words(texts: pa.Array) -> pa.Array:
+    """Lists of the runs of word bytes of texts without nulls."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    word = WORD_BYTE[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    begins[first] = word[first]
+    kept = data[word]
+    cut = np.append(np.flatnonzero(begins[word]), len(kept)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(kept))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(begins))[ends].astype(np.int32)), words)
+
+
+def _cut(batches):
+    """Batches of id and text as batches of id and tokens, about CUT bytes at a time."""
+    for rows in batches:
+        ends, at = np.cumsum(np.array(pc.binary_length(rows.column(1)), np.int64)), 0
+        while at < rows.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CUT, "right")))
+            part = rows.slice(at, to - at)
+            yield pa.RecordBatch.from_arrays([part.column(0), _words(part.column(1))], ["id", "tokens"])
+            at = to
+
+
 def _postings(ids: pa.Array, lists: pa.Array, number: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     """The row of a block's documents, and its posting rows in the order of their terms."""
     dl = np.array(lists.value_lengths(), np.int64)
@@ -239,9 +306,10 @@ def _segment(docs: DataFrame, folder: str, block: int) -> Segment:
     """Writes a segment of documents (id, tokens). Null tokens are none. Each task makes whole blocks of its documents; only posting rows are shuffled."""
     spark, name = docs.sparkSession, f"segment-{uuid.uuid4().hex}"
     path = f"{folder}/{name}"
-    tokens = F.coalesce(F.col("tokens"), F.array().cast("array<string>"))
+    cut = "text" in docs.columns
+    tokens = F.coalesce("text", F.lit("")) if cut else F.coalesce(F.col("tokens"), F.array().cast("array<string>"))
     rows = spread(docs).select(F.col("id").cast("long").alias("id"), tokens.alias("tokens"))
-    rows.mapInArrow(lambda b: _blocks(b, block), RAW_SCHEMA).write.parquet(f"{path}/raw")
+    rows.mapInArrow(lambda b: _blocks(_cut(b) if cut else b, block), RAW_SCHEMA).write.parquet(f"{path}/raw")
     raw = spark.read.schema(RAW_SCHEMA).parquet(f"{path}/raw")
     held = raw.where("term is null").select("block", "ids", "dls")
     held.write.parquet(f"{path}/docs")
@@ -269,9 +337,10 @@ def _without(index: Index, ids: DataFrame) -> list[Segment]:
             out.append(s)
             continue
         own = places.where(F.col("seg") == i)
-        postings = index.read(s, "postings").join(own.select("block").distinct(), "block", "left_semi")
-        each = postings.select("term", "block", F.explode(running(F.col("gaps"))).alias("off"))
-        lost = each.join(own.select("block", "off"), ["block", "off"], "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        # A block's places are sent as bits to its posting rows, which are counted where they are, not opened to a row for each posting and joined.
+        bits = own.groupBy("block").agg(F.collect_list("off").alias("gone")).mapInArrow(_bits, "block long, bits binary")
+        postings = index.read(s, "postings").select("term", "block", "gaps").join(bits, "block").select("term", "gaps", "bits")
+        lost = postings.mapInArrow(_counted, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
         gone = own.select("block", F.array(F.col("off")).alias("gone"))
         if s.gone:
             gone = gone.unionByName(index.side("gone", s.gone))
@@ -286,7 +355,7 @@ def _without(index: Index, ids: DataFrame) -> list[Segment]:
 
 
 def extended(index: Index, docs: DataFrame, version: int | None = None) -> Index:
-    """The next version, with further documents (id, tokens); those of the same ids are replaced. Writes one segment. version is its number, if not the next one."""
+    """The next version, with further documents (id, tokens or text, as for ``built``); those of the same ids are replaced. Writes one segment. version is its number, if not the next one."""
     block = index.segments[0].block if index.segments else BLOCK
     new = _segment(docs, index.folder, block)
     ids = index.read(new, "docs").select(F.explode("ids").alias("id"))

@@ -29,13 +29,14 @@ BATCH = 32
 def hashing_embedder(dim: int = DIM) -> Embedder:
     """Signed counts of words hashed into dim places."""
 
+    blank = {i: " " for i in range(128) if not re.match(r"\w", chr(i))}
+
     def embed(texts: list[str]) -> np.ndarray:
-        words = [re.findall(r"\w+", t.lower()) for t in texts]
+        words = [t.lower().translate(blank).split(" ") if t.isascii() else re.findall(r"\w+", t.lower()) for t in texts]  # the same words, and empty ones
         numbers = {w: crc32(w.encode()) for w in set().union(*words)}  # each word of a batch once
-        h = np.array([numbers[w] for own in words for w in own], np.int64)
-        out = np.zeros((len(texts), dim))
-        np.add.at(out, (np.repeat(np.arange(len(words)), list(map(len, words))), h % dim), np.where(h >> 31 > 0, 1, -1))
-        return out
+        h = np.array([numbers[w] for own in words for w in own if w], np.int64)
+        rows = np.repeat(np.arange(len(words)), [len(own) - own.count("") for own in words])
+        return np.bincount(rows * dim + h % dim, np.where(h >> 31 > 0, 1.0, -1.0), len(texts) * dim).reshape(len(texts), dim)
 
     return embed
 
@@ -45,10 +46,10 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x, float), where=n > 0)
 
 
-def embedded(model: Embedder, texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+def embedded(model: Embedder, texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
     """Vectors of length one with errors; a batch that fails is tried again text by text."""
     try:
-        return [(v.tolist(), None) for v in unit_rows(np.asarray(model(texts), float))]
+        return [(v, None) for v in unit_rows(np.asarray(model(texts), float))]
     except Exception as e:
         if len(texts) == 1:
             return [(None, f"{type(e).__name__}: {e}"[:200])]
@@ -58,19 +59,26 @@ def embedded(model: Embedder, texts: list[str]) -> list[tuple[list[float] | None
 def embed(df: DataFrame, text_col: str, factory: Callable[[], Embedder] = hashing_embedder, prefix: str = "", batch: int = BATCH) -> DataFrame:
     """df with embedding array<float> and error string. Null texts have neither. prefix is put before each text (query: or passage: for models that want it)."""
 
-    def run(frames: Iterable[pd.DataFrame]):
+    def run(batches: Iterable[pa.RecordBatch]):
         model = factory()
-        for pdf in frames:
-            some = np.flatnonzero(pdf[text_col].notna())
-            vectors, errors = [None] * len(pdf), [None] * len(pdf)
-            texts = [prefix + pdf[text_col].iloc[i] for i in some]
+        for rows in batches:
+            texts = rows.column(text_col).to_pylist()
+            some = [i for i, t in enumerate(texts) if t is not None]
+            sizes, values, errors = np.full(len(texts), -1), [], [None] * len(texts)
             for at in range(0, len(some), batch):
-                for i, (v, e) in zip(some[at : at + batch], embedded(model, texts[at : at + batch])):
-                    vectors[i], errors[i] = v, e
-            yield pdf.assign(embedding=vectors, error=errors)
+                own = some[at : at + batch]
+                for i, (v, e) in zip(own, embedded(model, [prefix + texts[i] for i in own])):
+                    errors[i] = e
+                    if v is not None:
+                        sizes[i] = len(v)
+                        values.append(v)
+            flat = pa.array(np.concatenate(values).astype(np.float32) if values else [], pa.float32())
+            ends = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))]).astype(np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(sizes < 0))
+            yield pa.RecordBatch.from_arrays([*rows.columns, vectors, pa.array(errors, pa.string())], [*rows.schema.names, "embedding", "error"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def batch_result(df: DataFrame) -> DataFrame:

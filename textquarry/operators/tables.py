@@ -15,7 +15,7 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.operators.repository import upsert
@@ -38,6 +38,17 @@ class Shape:
             return F.date_format(F.col(self.day), "yyyy-MM-dd")
         return F.lpad(F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("string"), 5, "0")
 
+    def part(self, tasks: int) -> Column:
+        """A bucket's part of a key: buckets by a hash are cut so that their parts are a few times as many as tasks."""
+        return F.pmod(F.shiftright(F.xxhash64(self.key), 32), F.lit(max(1, 4 * tasks // self.buckets)))
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows with the column bucket, those of a bucket in as few tasks as their number asks for. A range of days needs a sample of the rows, which are made twice for it; a hash does not."""
+        out = rows.withColumn("bucket", self.bucket())
+        if self.day:
+            return out.repartitionByRange("bucket", self.key)
+        return out.repartition("bucket", self.part(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
 
 @dataclass(frozen=True)
 class Store:
@@ -95,6 +106,7 @@ class Change:
         self.shapes, self.notes = dict(store.shapes), dict(store.notes)
         self.pieces = {k: dict(v) for k, v in store.pieces.items()}
         self.rewritten: dict[str, list[str]] = {}
+        self.placed: dict[str, DataFrame] = {}  # rows that were written as they lay, from their files
 
     def create(self, name: str, shape: Shape) -> Change:
         """Adds a table without rows, unless there is one of that name."""
@@ -109,11 +121,15 @@ class Change:
         """The buckets in which rows with these keys lie: at most as many as the table has."""
         return sorted(r[0] for r in keys.select(self.shapes[name].bucket().alias("b")).distinct().collect() if r[0] is not None)
 
-    def _write(self, name: str, rows: DataFrame, buckets: list[str]) -> None:
-        """Writes the rows in place of these buckets. A bucket that has no rows left is not there any more."""
+    def _write(self, name: str, rows: DataFrame | None, buckets: list[str], placed: DataFrame | None = None) -> None:
+        """Writes the rows in place of these buckets, and with them those that lie by bucket already, which are not shuffled. A bucket that has no rows left is not there any more."""
         shape, path = self.shapes[name], f"data/{name}-{uuid.uuid4().hex}"
-        out = rows.withColumn("bucket", shape.bucket())
-        out.repartitionByRange("bucket", shape.key).sortWithinPartitions("bucket", shape.key).write.partitionBy("bucket").parquet(f"{self.folder}/{path}")
+        put = lambda out: out.sortWithinPartitions("bucket", shape.key).write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/{path}")
+        if placed is not None:
+            put(placed.withColumn("bucket", shape.bucket()))
+            self.placed[name] = self.spark.read.schema(shape.schema).parquet(f"{self.folder}/{path}")  # the files that are there now
+        if rows is not None:
+            put(rows if "bucket" in rows.columns else shape.dealt(rows))
         kept = self.spark.read.schema(f"{shape.schema}, bucket string").parquet(f"{self.folder}/{path}") if listed(self.spark, f"{self.folder}/{path}").keys() - {"_SUCCESS"} else None
         counts = {r["bucket"]: r["n"] for r in kept.groupBy("bucket").agg(F.count("*").alias("n")).collect()} if kept is not None else {}
         for b in buckets:
@@ -121,19 +137,36 @@ class Change:
         self.pieces[name] |= {b: (f"{path}/bucket={b}", n) for b, n in counts.items()}
         self.rewritten.setdefault(name, []).extend(buckets)
 
-    def merge(self, name: str, rows: DataFrame, version: str) -> Change:
-        """The latest row of each key by the column version, of equal ones the new one. Null keys are rows of one key."""
+    def merge(self, name: str, rows: DataFrame, version: str, placed: bool = False) -> Change:
+        """The latest row of each key by the column version, of equal ones the new one. Null keys are rows of one key. placed: the rows lie by bucket, have each key once, none of them null, and are the latest of their keys."""
+        if placed:
+            return self.replace(name, rows, self.shapes[name].key, rows, True)
         where = self.touched(name, rows)
         self._write(name, upsert(self.read(name, where), rows.select(*self.read(name, []).columns), self.shapes[name].key, version), where)
         return self
 
-    def replace(self, name: str, rows: DataFrame, owner: str, owners: DataFrame) -> Change:
-        """Rows in place of all that the owners have; the table is dealt by owner, its key."""
+    def replace(self, name: str, rows: DataFrame, owner: str, owners: DataFrame, placed: bool = False) -> Change:
+        """Rows in place of all that the owners have; the table is dealt by owner, its key. placed: the rows lie by bucket, and are of owners only."""
+        if placed:
+            where = self.touched(name, owners.select(F.col(owner).alias(self.shapes[name].key)))
+            there = [b for b in where if b in self.pieces[name]]
+            columns = self.read(name, []).columns
+            left = self._left(name, there, owners.select(F.col(owner).alias(self.shapes[name].key))) if there else None
+            self._write(name, left, where, rows.select(*columns))
+            return self
         where = self.touched(name, owners.select(F.col(owner).alias(self.shapes[name].key)).unionByName(rows.select(self.shapes[name].key)))
         left = self.read(name, where).join(owners.select(owner).distinct(), owner, "left_anti")
         self._write(name, left.unionByName(rows.select(*left.columns)), where)
         return self
 
+    def _left(self, name: str, buckets: list[str], keys: DataFrame) -> DataFrame:
+        """The rows of these buckets but those of keys. Both go through one shuffle, by which the rows are dealt for writing too."""
+        shape = self.shapes[name]
+        both = self.read(name, buckets).withColumn("_gone", F.lit(0)).unionByName(keys.withColumn("_gone", F.lit(1)), allowMissingColumns=True)
+        w = Window.partitionBy("bucket", "_part", shape.key)
+        part = shape.part(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return shape.dealt(both).withColumn("_part", part).withColumn("_out", F.max("_gone").over(w)).where("_out = 0").drop("_gone", "_out", "_part")
+
     def delete(self, name: str, keys: DataFrame) -> Change:
         """Takes the rows of these keys away."""
         shape = self.shapes[name]

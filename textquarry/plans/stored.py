@@ -45,7 +45,7 @@ def audit_retention(spark, d):
 
 def _papers(spark, d, docs: DataFrame, at: str) -> DataFrame:
     """Documents as papers: the first line is the title."""
-    title = F.split("text", "\n")[0]
+    title = F.substring_index("text", "\n", 1)
     return docs.select(F.col("doc_id").cast("string").alias("id"), title.alias("title"), F.col("text").alias("summary"), F.array("source").alias("authors"), F.array("lang").alias("categories"), F.lit(at).cast("timestamp").alias("published_at"))
 
 

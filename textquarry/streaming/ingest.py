@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.text import fixed_chunks, word_tokens
+from textquarry.functions.text import fixed_chunks, word_text
 from textquarry.operators import index as index_
 from textquarry.operators import models, tables
 from textquarry.operators.storage import removed
@@ -45,21 +45,32 @@ def chunked(papers: DataFrame, size: int = 900, overlap: int = 150) -> DataFrame
 
 
 def words_of(papers: DataFrame) -> DataFrame:
-    """id (the paper's number), tokens."""
-    return papers.select(F.col("no").alias("id"), word_tokens(F.concat_ws(" ", "title", "summary")).alias("tokens"))
+    """id (the paper's number), text of words."""
+    whole = papers.select(F.col("no").alias("id"), F.concat_ws(" ", "title", "summary").alias("text"))
+    return whole.select("id", word_text(F.col("text")).alias("text"))
 
 
-def _numbered(staged: DataFrame, first: int) -> DataFrame:
-    """no for each row of a written table, from first, without gaps."""
-    at = staged.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = sorted(at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["p"])  # a row for each file split of the batch
+def _numbered(newer: DataFrame, first: int) -> tuple[DataFrame, int, int]:
+    """Written rows with no, where it is null, from their places at, which were written with them; the number of rows and the next no. Rows that have a no leave gaps."""
+    part = F.shiftright("at", 33)
+    counts = newer.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.count_if(F.col("no").isNull()).alias("fresh")).orderBy("p").collect()  # a row for each task that wrote the batch
     starts, total = [], first
     for r in counts:
         starts.append((r["p"], total - (r["p"] << 33)))
-        total += r["n"]
-    shift = staged.sparkSession.createDataFrame(starts, "_p long, _shift long")
-    return at.join(F.broadcast(shift), part == F.col("_p")).withColumn("no", F.col("_at") + F.col("_shift")).drop("_at", "_p", "_shift")
+        total += r["n"] if r["fresh"] else 0
+    shift = newer.sparkSession.createDataFrame(starts, "_p long, _shift long")
+    numbered = newer.join(F.broadcast(shift), part == F.col("_p")).withColumn("no", F.coalesce("no", F.col("at") + F.col("_shift")))
+    return numbered.drop("at", "_p", "_shift"), sum(r["n"] for r in counts), total
+
+
+def _newer(valid: DataFrame, old: DataFrame, shape: Shape) -> DataFrame:
+    """The latest row of each id, where it is not older than the table's, with the table's no; those of a bucket lie together. Rows of the table (id, no, published_at) come through the same shuffle, before the others of their id."""
+    both = valid.withColumn("_old", F.lit(0)).unionByName(old.withColumn("_old", F.lit(1)), allowMissingColumns=True)
+    dealt = shape.dealt(both).withColumn("_part", shape.part(int(valid.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    w = Window.partitionBy("bucket", "_part", "id").orderBy(F.desc("_old"), F.desc_nulls_last("published_at"), *(F.desc_nulls_last(F.col(c)) for c in ("title", "summary")))
+    head = lambda c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    each = dealt.withColumn("_r", F.row_number().over(w)).withColumn("_known", head("_old")).withColumn("no", head("no")).withColumn("_had", F.when(F.col("_known") == 1, head("published_at")))
+    return each.where("_old = 0 and _r = 1 + _known and (no is null or _had is null or published_at >= _had)").drop("_old", "_r", "_known", "_had", "_part", "bucket")
 
 
 def ingested(store: Store, batch: DataFrame, stream: str, number: int, factory: Callable = models.hashing_embedder) -> tuple[Store, dict[str, int]]:
@@ -77,26 +88,19 @@ def ingested(store: Store, batch: DataFrame, stream: str, number: int, factory:
     change = store.change()
     for name, shape in SHAPES.items():
         change.create(name, shape)
-    w = Window.partitionBy("id").orderBy(F.desc_nulls_last("published_at"), *(F.desc_nulls_last(F.col(c)) for c in ("title", "summary")))
-    latest = staged.where("problem is null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "problem")
-    old = change.read("papers", change.touched("papers", latest)).select("id", "no", F.col("published_at").alias("had_at"))
-    newer = latest.join(old, "id", "left").where("no is null or had_at is null or published_at >= had_at").drop("had_at")
+    valid = staged.where("problem is null").drop("problem")
+    old = change.read("papers", change.touched("papers", valid)).select("id", "no", "published_at")
+    newer = _newer(valid, old, SHAPES["papers"]).withColumn("at", F.monotonically_increasing_id())
     newer.write.mode("overwrite").parquet(f"{path}/papers")
-    newer = spark.read.schema(f"{PAPER}, no long").parquet(f"{path}/papers")
-    first = int(store.notes.get("papers", 0))
-    fresh = _numbered(newer.where("no is null").drop("no"), first)
-    fresh.write.mode("overwrite").parquet(f"{path}/fresh")
-    fresh = spark.read.schema(f"{PAPER}, no long").parquet(f"{path}/fresh")
-    changed = newer.where("no is not null").unionByName(fresh)
-
-    n = changed.count()
+    newer = spark.read.schema(f"{PAPER}, no long, at long").parquet(f"{path}/papers")
+    changed, n, following = _numbered(newer, int(store.notes.get("papers", 0)))
     if n:
-        change.merge("papers", changed, "published_at")
-        chunks = chunked(changed)
-        change.replace("chunks", chunks, "id", changed)
-        vectors = models.embed(chunks, "text", factory)
-        change.replace("vectors", vectors.select("id", "chunk_id", "embedding", "error"), "id", changed)
-        change.note(index=str(_indexed(store, changed).version), papers=str(first + fresh.count()))
+        # The written papers lie by bucket, and so does what is made of each: chunks and vectors are made once and not shuffled.
+        change.merge("papers", changed, "published_at", True)
+        change.replace("chunks", chunked(changed), "id", newer, True)
+        vectors = models.embed(change.placed["chunks"].select("id", "chunk_id", "text"), "text", factory)
+        change.replace("vectors", vectors.select("id", "chunk_id", "embedding", "error"), "id", newer, True)
+        change.note(index=str(_indexed(store, changed).version), papers=str(following))
     bad = staged.where("problem is not null").withColumn("batch", F.lit(number).cast("long"))
     if seen.get["errors"]:
         change.replace("rejects", bad.withColumn("id", F.coalesce("id", F.lit(""))), "id", bad.limit(0))
