@@ -342,3 +342,53 @@ def test_suggestions_do_not_shuffle_terms_for_prefixes(spark):
     batch = pa.RecordBatch.from_pydict({"term": [t for t, _ in rows], "score": [s for _, s in rows]})
     (cut,) = suggest._cut(iter([batch]), "word")
     assert [t for k, t in zip(cut.column("key").to_pylist(), cut.column("term").to_pylist()) if k == "the"] == ["the dog", "the cat the", *(f"the x{chr(97 + i)}" for i in range(19))]
+
+
+def _odd_texts(spark):
+    """Texts and asked texts of few words, with runs that are no words between them."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abc"), rng.integers(2, 6))) for _ in range(25)] + ["ab_c", "abc2", "ABC", "\u00e9abc", "Cab,", "bca."]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 30, 120)] + [None, "", "abc", "  "]
+    return (spark.createDataFrame([(t,) for t in some], "text string") for some in (texts, texts[::9]))
+
+
+ODD_PREFIXES = ["ab", "abc", "bca", "ca", "abc b", "abc abc c", "cab ", " abc", "abc  a", "a", "", "zz", "aabbccaabb", "abc ab"]
+
+
+def test_table_for_some_prefixes_equals_the_whole_table(spark, monkeypatch):
+    """Single words and the phrases that a prefix can get are counted, nothing else; the answers stay the same."""
+    from textquarry.operators import suggest
+    from textquarry.operators.storage import new_path
+
+    monkeypatch.setattr(suggest, "WORDS", 70)  # several blocks in a batch
+    docs, asked = _odd_texts(spark)
+    whole = {r["term"]: (r["df"], r["qf"] or 0) for r in suggest.vocabulary(docs, "text").join(suggest.vocabulary(asked, "text").withColumnRenamed("df", "qf"), "term", "left").collect()}
+    got = {r["term"]: (r["df"], r["qf"]) for r in suggest.vocabulary_for(docs, asked, "text", ODD_PREFIXES).collect()}
+    can = lambda t: " " not in t or any(len(p) > 1 and t.startswith(p) or set(p.split(" ")) & set(t.split(" ")) for p in ODD_PREFIXES)
+    assert got == {t: n for t, n in whole.items() if can(t)} and len(got) < len(whole)
+    scored = suggest.scored(spark.createDataFrame([(t, *n) for t, n in whole.items()], "term string, df long, qf long"))
+    tables = suggest.completions(scored, new_path(spark, "t")), suggest.completions_for(suggest.scored(suggest.vocabulary_for(docs, asked, "text", ODD_PREFIXES)), new_path(spark, "t"), ODD_PREFIXES)
+    assert not [r for r in tables[1].vocab.collect() if " " in r["term"]] and {r["key"] for r in tables[1].best("prefix").collect()} <= set(ODD_PREFIXES)
+    prefixes = spark.createDataFrame([(p,) for p in ODD_PREFIXES], "prefix string")
+    for f in (suggest.by_prefix, suggest.related, suggest.suggest, lambda own, p, k: suggest.fuzzy(own.vocab, p, k)):
+        want, found = (sorted(map(tuple, f(own, prefixes, 8).collect())) for own in tables)
+        assert found == want and want
+
+
+def test_stored_table_is_made_for_the_prefixes_that_are_known(spark, tmp_path, monkeypatch):
+    from textquarry.operators import suggest
+
+    docs, asked = _odd_texts(spark)
+    path, asked_path = str(tmp_path / "d.parquet"), str(tmp_path / "a.parquet")
+    docs.write.parquet(path)
+    asked.write.parquet(asked_path)
+    prefixes = spark.createDataFrame([(p,) for p in ("abc b", "ca", None)], "prefix string")
+    stored = lambda some: suggest.stored(spark, path, "text", spark.read.parquet(asked_path), asked_path, some)
+    own = stored(prefixes)
+    phrases = lambda t: t.vocab.where("term LIKE '% %'").count()
+    assert own == stored(prefixes) and own.folder != stored(prefixes.limit(1)).folder and not phrases(own)
+    monkeypatch.setattr(suggest, "BATCH", 1)
+    whole = stored(prefixes)  # of more prefixes than are sent to the texts
+    assert phrases(whole) and whole.folder != own.folder
+    monkeypatch.undo()
+    assert stored(prefixes) == whole  # a table for every prefix is there now

@@ -69,23 +69,25 @@ def _prefixes(spark, d):
     return one.union(low.select(F.regexp_extract("t", "[a-z]{3,} [a-z]{2}", 0))).where("prefix != ''").distinct()
 
 
-def _completions(spark, d):
-    """Terms of the documents; what users wrote counts as asked."""
+def _completions(spark, d, prefixes):
+    """Terms of the documents that the prefixes can get; what users wrote counts as asked."""
     path = f"{d}/conversations.parquet"
-    asked = suggest.vocabulary(spark.read.parquet(path).where("role = 'user'"), "text").withColumnRenamed("df", "qf")
-    return suggest.stored(spark, f"{d}/documents.parquet", "text", asked, path)
+    return suggest.stored(spark, f"{d}/documents.parquet", "text", spark.read.parquet(path).where("role = 'user'"), path, prefixes)
 
 
 def suggest_prefix(spark, d):
-    return suggest.by_prefix(_completions(spark, d), _prefixes(spark, d), 5)
+    prefixes = _prefixes(spark, d)
+    return suggest.by_prefix(_completions(spark, d, prefixes), prefixes, 5)
 
 
 def suggest_fuzzy(spark, d):
-    return suggest.fuzzy(_completions(spark, d).vocab, _prefixes(spark, d), 5)
+    prefixes = _prefixes(spark, d)
+    return suggest.fuzzy(_completions(spark, d, prefixes).vocab, prefixes, 5)
 
 
 def suggest_all(spark, d):
-    return suggest.suggest(_completions(spark, d), _prefixes(spark, d), 8)
+    prefixes = _prefixes(spark, d)
+    return suggest.suggest(_completions(spark, d, prefixes), prefixes, 8)
 
 
 def _pages(spark, d):
