@@ -392,3 +392,19 @@ def test_stored_table_is_made_for_the_prefixes_that_are_known(spark, tmp_path, m
     assert phrases(whole) and whole.folder != own.folder
     monkeypatch.undo()
     assert stored(prefixes) == whole  # a table for every prefix is there now
+
+
+def test_single_words_alone_are_counted_for_fuzzy_matches(spark, tmp_path):
+    from textquarry.operators import suggest
+
+    docs, _ = _odd_texts(spark)
+    docs.write.parquet(path := str(tmp_path / "d.parquet"))
+    prefixes = spark.createDataFrame([(p,) for p in ODD_PREFIXES], "prefix string")
+    words = lambda t: {(r["term"], r["df"]) for r in t.vocab.collect()}
+    own = suggest.stored(spark, path, prefixes=prefixes, single=True)
+    assert words(own) == {(r["term"], r["df"]) for r in suggest.vocabulary(spark.read.parquet(path), "text").where("term NOT LIKE '% %'").collect()}
+    assert not own.best("word").count() and not own.best("prefix").count()
+    assert suggest.stored(spark, path, prefixes=prefixes.limit(3), single=True) == own  # whatever the prefixes
+    lists = suggest.stored(spark, path, prefixes=prefixes)
+    assert lists.folder != own.folder and words(lists) == words(own) and lists.best("word").count()
+    assert suggest.stored(spark, path, prefixes=prefixes, single=True) == lists  # its words are the same

@@ -69,10 +69,10 @@ def _prefixes(spark, d):
     return one.union(low.select(F.regexp_extract("t", "[a-z]{3,} [a-z]{2}", 0))).where("prefix != ''").distinct()
 
 
-def _completions(spark, d, prefixes):
+def _completions(spark, d, prefixes, single=False):
     """Terms of the documents that the prefixes can get; what users wrote counts as asked."""
     path = f"{d}/conversations.parquet"
-    return suggest.stored(spark, f"{d}/documents.parquet", "text", spark.read.parquet(path).where("role = 'user'"), path, prefixes)
+    return suggest.stored(spark, f"{d}/documents.parquet", "text", spark.read.parquet(path).where("role = 'user'"), path, prefixes, single)
 
 
 def suggest_prefix(spark, d):
@@ -82,7 +82,7 @@ def suggest_prefix(spark, d):
 
 def suggest_fuzzy(spark, d):
     prefixes = _prefixes(spark, d)
-    return suggest.fuzzy(_completions(spark, d, prefixes).vocab, prefixes, 5)
+    return suggest.fuzzy(_completions(spark, d, prefixes, single=True).vocab, prefixes, 5)
 
 
 def suggest_all(spark, d):
