@@ -408,3 +408,19 @@ def test_single_words_alone_are_counted_for_fuzzy_matches(spark, tmp_path):
     lists = suggest.stored(spark, path, prefixes=prefixes)
     assert lists.folder != own.folder and words(lists) == words(own) and lists.best("word").count()
     assert suggest.stored(spark, path, prefixes=prefixes, single=True) == lists  # its words are the same
+
+
+def test_registered_suggestions_make_no_table_of_every_phrase(spark, tmp_path):
+    """suggest_all leaves a table of its prefixes, which the others find."""
+    import os
+
+    from textquarry.operators import storage, suggest
+    from textquarry.plans import texts
+
+    os.symlink("/root/testdata/sf0.001", d := str(tmp_path / "d"))
+    at = f"{storage.shared_dir(spark).rstrip('/')}/textquarry"
+    there = lambda: {n for n in storage.listed(spark, at) if n.startswith("completions-")}
+    before, count = there(), texts.suggest_all(spark, d).count()
+    (made,) = there() - before
+    assert count and not suggest.Completions(spark, f"{at}/{made}").vocab.where("term LIKE '% %'").count()
+    assert texts.suggest_prefix(spark, d).count() and texts.suggest_fuzzy(spark, d).count() and there() - before == {made}
